@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import hinted, staged
 
-K, TABLES, LEAF, OFFERS, ROUNDS, SETTLED = 14, 4, 200, 7, 6, 0.02
-BEAM, STEP = 64, 12
+K, TABLES, LEAF, OFFERS, ROUNDS, SETTLED = 20, 8, 1500, 8, 4, 0.02
+BEAM, STEP = 96, 32
 LISTS = pa.schema([("u", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 LISTS_DDL = "u long, ids array<long>, scores array<float>"
 
@@ -57,7 +57,7 @@ def _groups(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Tabl
 
 def _matrix(codes: Iterable[bytes]) -> np.ndarray:
     codes = list(codes)
-    return np.frombuffer(b"".join(codes), np.float16).reshape(len(codes), -1).astype(np.float32)
+    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
 
 
 def _lists(rows: list[tuple]) -> pa.RecordBatch:
@@ -111,15 +111,18 @@ def _merge(k: int):
     return run
 
 
-def _encode(norm: float):
-    """float16 codes of the vectors over the largest norm, with the component that evens the norms."""
+def _encode(norm: float, most: float):
+    """Byte codes of the vectors, with the component that evens the norms; ``most`` is the largest component's size."""
+
+    scale = 127 * norm / most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.array(batch.column(1).to_pylist(), np.float64) / norm
-            x = np.c_[x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))].astype(np.float16)
+            x = np.c_[x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))]
+            x = np.clip(np.rint(x * scale), -127, 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "code"])
 
     return run
@@ -185,7 +188,7 @@ def _step(beam: int):
                 met = [m for m in r["met"] or () if m["id"] not in have]
                 if met:
                     x = _matrix([m["code"] for m in met])
-                    q = np.frombuffer(r["code"], np.float16).astype(np.float32).copy()
+                    q = np.frombuffer(r["code"], np.int8).astype(np.float32).copy()
                     q[-1] = 0
                     have |= {m["id"]: (float(s), True) for m, s in zip(met, x @ q, strict=True)}
                 best = sorted(have.items(), key=lambda kv: (-kv[1][0], kv[0]))[:beam]
@@ -232,8 +235,11 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     members = members.withColumn("id", F.first("vec_id").over(first))
     members = staged(members, "ann-members")
     firsts = members.filter("r = 1").select("id", "x")
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c)))).first()[0] or 1.0
-    nodes = staged(firsts.mapInArrow(_encode(float(norm)), "id long, code binary"), "ann-nodes")
+    squares = F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c)
+    sizes = rows.agg(F.max(F.sqrt(squares)).alias("norm"), F.min(F.sqrt(squares)).alias("least"), F.max(F.array_max(F.transform("x", F.abs))).alias("most")).first()
+    norm, low = sizes["norm"] or 1.0, sizes["least"] or 1.0
+    most = max(sizes["most"] or 1.0, (max(norm * norm - low * low, 0.0)) ** 0.5)
+    nodes = staged(firsts.mapInArrow(_encode(float(norm), float(most)), "id long, code binary"), "ann-nodes")
     asked = staged(rows.filter(queries).join(firsts, "x").select(F.col("vec_id").alias("q"), "id", "x"), "ann-queries")
     starts = asked.select("q", "id").join(nodes, "id").select("q", F.col("id").alias("node"), "code")
     found = walk(starts, nodes, graph(nodes))
