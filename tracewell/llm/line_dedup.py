@@ -40,7 +40,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The chunks to remove: doc_id, th, start, n, hash."""
-    each = lambda: chunked(docs, id_col, text_col).select("doc_id", "th", F.explode("chunks").alias("c")).filter("c.n > 1").select("doc_id", "th", "c.start", "c.n", "c.body", F.md5("c.body").alias("hash"))
+    # explode_outer, as for explode Spark infers a filter on the array and evaluates all that makes it once more for each use
+    each = lambda: chunked(docs, id_col, text_col).select("doc_id", "th", F.explode_outer("chunks").alias("c")).filter("c.n > 1").select("doc_id", "th", "c.start", "c.n", "c.body", F.md5("c.body").alias("hash"))
     places = staged(each().drop("body"), "line-places")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "start")).alias("first")
     often = staged(places.groupBy("hash").agg(F.count("*").alias("times"), first).filter("times > 1"), "line-often")
