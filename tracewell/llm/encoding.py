@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 #: Places where a text may be cut. White space here is what any Unicode version calls so.
 STABLE = re.compile("(?<=[^\\s\u180e])(?=[ \\t-\\r])")
 _ENDS_BLANK = re.compile("[\\s\u180e]\\Z")
@@ -28,6 +30,17 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+class Kept(dict):
+    """Values by word; words asked for in vain are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.new.append(word)
+
+
 class Pieces:
     """Values of pieces of texts (their token counts, or their ids), kept for up to ``most`` pieces.
 
@@ -35,38 +48,64 @@ class Pieces:
     value and sends its text down the slower path, which cuts at every stable place.
     """
 
-    def __init__(self, path: str, value, most: int = 400_000):
+    def __init__(self, path: str, value, most: int = 1_200_000):
         self.tokenizer, self.value, self.most = load(path), value, most
-        self.kept: dict[str, object] = {}
+        self.kept, self.blank = Kept(), False
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level files write a space
 
     def encode(self, texts: list[str]) -> list:
         if not texts:
             return []
         return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spaced(self, words: list[str], run: int = 1000) -> list:
+        """Values of words with a space before each. Many are encoded as one text, whose cuts are all stable; as
+        no word holds a space, exactly the tokens that begin with one begin a word."""
+        out: list = []
+        runs = [words[i : i + run] for i in range(0, len(words), run)]
+        for at in range(0, len(runs), 16):
+            part = runs[at : at + 16]
+            found = self.tokenizer.encode_batch_fast(["".join(" " + w for w in r) for r in part], add_special_tokens=False)
+            for r, e in zip(part, found, strict=True):
+                ids = e.ids
+                starts = np.nonzero(self.opens[ids])[0].tolist()
+                if len(starts) != len(r) or starts[0]:
+                    out += self.encode([" " + w for w in r])
+                else:
+                    starts.append(len(ids))
+                    out += [self.value(ids[a:b]) for a, b in zip(starts, starts[1:])]
+        return out
+
     def of(self, texts: list[str]) -> list[tuple[list, list[str]]]:
         """For each text the values of its pieces in order, and its words."""
         words = [t.split(" ") for t in texts]
-        new = set()
-        for w in words:
-            new.update(w[1:])
-        new.difference_update(self.kept)
-        todo = [w for w in new if w and not _ENDS_BLANK.search(w)]
-        self.kept.update(zip(new, [None] * len(new), strict=True))
-        self.kept.update(zip(todo, self.encode([" " + w for w in todo]), strict=True))
+        get, new = self.kept.__getitem__, self.kept.new
+        drafts = [list(map(get, w[1:])) for w in words]
+        if new:
+            fresh = list(dict.fromkeys(new))
+            new.clear()
+            todo = [w for w in fresh if w and not _ENDS_BLANK.search(w)]
+            self.kept.update(dict.fromkeys(fresh))
+            self.blank |= len(todo) < len(fresh)
+            self.kept.update(zip(todo, self.spaced(todo), strict=True))
+            for w, values in zip(words, drafts, strict=True):
+                for i in [i for i, v in enumerate(values, 1) if v is None]:
+                    values[i - 1] = get(w[i])
+        else:
+            fresh = []
         firsts = self.encode([w[0] for w in words])
-        get = self.kept.__getitem__
         out = []
-        for text, w, first in zip(texts, words, firsts, strict=True):
-            values = list(map(get, w[1:]))
-            if None in values or (len(w) > 1 and (not w[0] or _ENDS_BLANK.search(w[0]))):
+        for text, w, values, first in zip(texts, words, drafts, firsts, strict=True):
+            if (self.blank and None in values) or (len(w) > 1 and (not w[0] or _ENDS_BLANK.search(w[0]))):
                 # a last word may end as it likes, but that is rare enough to share the slow path
                 values = self.encode(STABLE.split(text))
             else:
                 values.insert(0, first)
             out.append((values, w))
         if len(self.kept) > self.most:
-            for w in new:
+            for w in fresh:
                 self.kept.pop(w, None)
         return out
 

@@ -21,22 +21,27 @@ from pyspark.sql import functions as F
 from .encoding import ids as pieces_of
 from .encoding import load
 
-WINDOW, SHARD_CHARS, END = 2048, 4 << 20, 1
+WINDOW, SHARD_CHARS, END = 2048, 2 << 20, 1
 
 
 class Index:
-    """BM25 over the documents of a shard; terms are given as integers."""
+    """BM25 over the documents of a shard, fewer than 2**20; terms are given as integers.
 
-    def __init__(self, terms: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    Terms of one document find no other, and terms in more than the share ``common`` of the documents tell none apart.
+    """
+
+    def __init__(self, terms: list[np.ndarray], k1: float = 1.2, b: float = 0.75, common: float = 0.25):
         self.n = len(terms)
         lengths = np.array([len(t) for t in terms], np.int64)
-        docs = np.repeat(np.arange(self.n), lengths)
-        flat = np.concatenate(terms) if self.n else np.empty(0, np.int64)
-        _, term = np.unique(flat, return_inverse=True)
-        pair, tf = np.unique(term * np.int64(max(1, self.n)) + docs, return_counts=True)
-        term, doc = pair // max(1, self.n), pair % max(1, self.n)
+        # term and document in one number: one sort groups the postings
+        key = np.concatenate(terms) if self.n else np.empty(0, np.int64)
+        key = (key & ((1 << 43) - 1)) << 20 | np.repeat(np.arange(self.n), lengths)
+        key.sort()
+        at = np.nonzero(np.diff(key, prepend=-1))[0]
+        tf, key = np.diff(at, append=len(key)), key[at]
+        doc, term = key & ((1 << 20) - 1), np.cumsum(np.diff(key >> 20, prepend=-1) != 0) - 1
         df = np.bincount(term) if len(term) else np.empty(0, np.int64)
-        shared = df[term] > 1  # a term of one document finds no other
+        shared = ((df > 1) & (df <= max(2, common * self.n)))[term]
         term, doc, tf = term[shared], doc[shared], tf[shared]
         idf = np.log1p((self.n - df[term] + 0.5) / (df[term] + 0.5))
         norm = k1 * (1 - b + b * lengths[doc] / max(1.0, lengths.mean() if self.n else 1.0))
@@ -54,9 +59,20 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
+def ranked(score: np.ndarray, few: int = 24) -> Iterator[int]:
+    """The documents with a score, best first, ties by number; few are sorted at first, all only if those do not do."""
+    found = np.nonzero(score > 0)[0]
+    if len(found) > 4 * few:
+        least = np.partition(score[found], len(found) - few)[len(found) - few]
+        top = found[score[found] >= least]
+        yield from top[np.argsort(-score[top], kind="stable")]
+        found = found[score[found] < least]
+    yield from found[np.argsort(-score[found], kind="stable")]
+
+
 def order_and_cut(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length): every document once, whole, cut where windows end."""
-    unused, sequences, current, room, follow = np.ones(len(lengths), bool), [], [], window, []
+    unused, sequences, current, room = np.ones(len(lengths), bool), [], [], window
     next_seed = 0
 
     def place(doc: int) -> int:
@@ -84,10 +100,8 @@ def order_and_cut(lengths: np.ndarray, index: Index, window: int = WINDOW) -> li
             place(seed)
         score = index.scores(seed)
         score[~unused] = 0
-        found = np.nonzero(score > 0)[0]
-        follow = found[np.lexsort((found, -score[found]))]
         seed = None
-        for doc in follow:
+        for doc in ranked(score):
             if place(int(doc)):
                 seed = int(doc) if current else None
                 break
