@@ -1,8 +1,8 @@
 """A linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Fitting sees a bounded sample of labelled rows: tasks count in how many texts of either label each hashed
-n-gram occurs, the counts are added block by block, and the n-grams whose log-count ratio stands out by
-``least_z`` standard errors are kept with that ratio as their value. A logistic regression on those values
+n-gram occurs, the counts are added block by block, and the n-grams whose log-count ratio stands out
+most, by ``least_z`` standard errors at least, are kept with that ratio as their value. A logistic regression on those values
 is fitted to the sample's few kept n-grams. Scoring looks every n-gram of a whole text up in one table.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import hinted, staged
 
-BITS, BLOCK, ORDERS, SLICE = 20, 1 << 12, (3, 4, 5, 6), 1 << 20
+BITS, BLOCK, ORDERS, SLICE, FEATURES = 20, 1 << 12, (3, 4, 5, 6), 1 << 20, 2000
 _STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,8 +85,9 @@ def _kept(of: tuple[int, int], least_z: float):
                 sums[block] = sums[block] + part if block in sums else part
         for block, (no, yes) in sums.items():
             ratio = np.log((yes + 1) / (of[1] + 2)) - np.log((no + 1) / (of[0] + 2))
-            keep = np.nonzero(np.abs(ratio) >= least_z * np.sqrt(1 / (yes + 1) + 1 / (no + 1)))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(keep + block * BLOCK, pa.int64()), pa.array(ratio[keep], pa.float64())], names=["feature", "ratio"])
+            z = np.abs(ratio) / np.sqrt(1 / (yes + 1) + 1 / (no + 1))
+            keep = np.nonzero(z >= least_z)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(keep + block * BLOCK, pa.int64()), pa.array(ratio[keep], pa.float64()), pa.array(z[keep], pa.float64())], names=["feature", "ratio", "z"])
 
     return run
 
@@ -106,7 +107,7 @@ def _rows(features: np.ndarray, orders: tuple[int, ...]):
 def regression(rows: list[np.ndarray], labels: np.ndarray, value: np.ndarray, penalty: float = 1.0, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Weights (times value) and bias by full gradients with per-weight step sizes; the rarer label weighs the root of its odds."""
     sizes = np.array([len(r) for r in rows], np.int64)
-    at, own = (np.concatenate(rows) if len(rows) else np.empty(0, np.int64)), np.repeat(np.arange(len(rows)), sizes)
+    at, own = (np.concatenate(rows) if len(rows) else np.empty(0, np.int32)), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     x, y = value[at], labels.astype(float)
     yes, no = max(1.0, y.sum()), max(1.0, (1 - y).sum())
     weight = np.where(y == 1, np.sqrt(max(1.0, no / yes)), np.sqrt(max(1.0, yes / no)))
@@ -127,10 +128,10 @@ def sample(labels: DataFrame, id_col: str, label_col: str, use: Column, most: in
     return pick(0).union(pick(1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, least_z: float = 4.0, orders: tuple[int, ...] = ORDERS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, least_z: float = 4.0, orders: tuple[int, ...] = ORDERS, features: int = FEATURES) -> Model:
     """Fits on at most ``most`` rows of each label among those that ``use`` allows (a documented bound).
 
-    Without rows of both labels the score is the label's share alone.
+    Of the n-grams that stand out the ``features`` that do so most are kept. Without rows of both labels the score is the label's share alone.
     """
     parts = 12
     picked = hinted(sample(labels, id_col, label_col, use, most))
@@ -140,12 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col:
     if not no or not yes:
         return Model(bias=float(np.log((yes + 0.5) / (no + 0.5))), orders=orders)
     blocks = rows.mapInArrow(_counts(orders), "block int, seen binary").repartition(parts, "block")
-    kept = blocks.mapInArrow(_kept((no, yes), least_z), "feature long, ratio double").orderBy("feature").collect()
-    features, ratio = np.array([r["feature"] for r in kept], np.int64), np.array([r["ratio"] for r in kept])
-    found = rows.mapInArrow(_rows(features, orders), "label int, hits array<int>").collect()
+    kept = blocks.mapInArrow(_kept((no, yes), least_z), "feature long, ratio double, z double").orderBy(F.desc("z"), "feature").limit(features).collect()
+    kept.sort(key=lambda r: r["feature"])
+    chosen, ratio = np.array([r["feature"] for r in kept], np.int64), np.array([r["ratio"] for r in kept])
+    found = rows.mapInArrow(_rows(chosen, orders), "label int, hits array<int>").collect()
     found.sort(key=lambda r: (r["label"], r["hits"]))  # sums do not depend on the order of tasks
-    weights, bias = regression([np.array(r["hits"], np.int64) for r in found], np.array([r["label"] for r in found]), ratio)
-    return Model(features, weights, bias, orders)
+    weights, bias = regression([np.array(r["hits"], np.int32) for r in found], np.array([r["label"] for r in found]), ratio)
+    return Model(chosen, weights, bias, orders)
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
