@@ -57,9 +57,6 @@ class Trie:
     def add(self, text: bytes, value) -> None:
         node, at = self.root, 0
         while True:
-            if node.spill is not None:
-                pickle.dump((text[at:], value), node.spill[1], protocol=5)
-                return
             if at == len(text):
                 node.value = value if node.value is None else self.merge(node.value, value)
                 return
@@ -76,6 +73,10 @@ class Trie:
                     self._spill()
                 return
             n = _common(kid.edge, text, at)
+            if kid.spill is not None:  # below the root; its edge is what all its texts begin with
+                kid.edge = kid.edge[:n]
+                pickle.dump((text, value), kid.spill, protocol=5)
+                return
             if n < len(kid.edge):  # split the edge
                 upper = Node(kid.edge[:n])
                 kid.edge = kid.edge[n:]
@@ -100,15 +101,15 @@ class Trie:
         for size, kid in sizes:
             if self.bytes <= self.budget // 2:
                 break
-            kid.spill = ([], tempfile.TemporaryFile())
-            for text, value in self._walk(kid, b"", own=False):
-                pickle.dump((text, value), kid.spill[1], protocol=5)
+            kid.spill = tempfile.TemporaryFile()
+            for text, value in self._walk(kid, b""):
+                pickle.dump((text, value), kid.spill, protocol=5)
             kid.kids = kid.value = None
             self.bytes -= size
             self.spills.append(kid)
 
-    def _walk(self, node: Node, prefix: bytes, own: bool = True) -> Iterator[tuple[bytes, object]]:
-        todo = [(node, prefix + node.edge if own else b"")]
+    def _walk(self, node: Node, prefix: bytes) -> Iterator[tuple[bytes, object]]:
+        todo = [(node, prefix + node.edge)]
         while todo:
             x, text = todo.pop()
             if x.value is not None:
@@ -120,15 +121,16 @@ class Trie:
     def items(self) -> Iterator[tuple[bytes, object]]:
         """All strings with their merged values; spilled subtrees come last, each through a trie of its own."""
         yield from self._walk(self.root, b"")
-        self.root.kids = {c: k for c, k in (self.root.kids or {}).items() if k.spill is not None}
+        self.root.kids = None
         for kid in self.spills:
-            below, file = Trie(self.merge, self.budget), kid.spill[1]
+            below, file = Trie(self.merge, self.budget), kid.spill
             file.seek(0)
             while True:
                 try:
-                    below.add(*pickle.load(file))
+                    text, value = pickle.load(file)
                 except EOFError:
                     break
+                below.add(text[len(kid.edge) :], value)
             file.close()
             for text, value in below.items():
                 yield kid.edge + text, value
