@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a statement separator may stand in without separating.
@@ -23,10 +23,15 @@ def split_statements(text: str) -> list[str]:
     return [s for s in out if bare(s)]
 
 
+def local_name(path: Column) -> Column:
+    """A local file's plain path; other paths stay as they are."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_scripts(spark: SparkSession, folder: str) -> DataFrame:
     """file, text of every .sql file below a folder, by path."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").option("wholetext", "true").text(folder)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).orderBy("file")
+    return rows.select(local_name(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text")).orderBy("file")
 
 
 def read_lineage(spark: SparkSession, path: str) -> DataFrame:
