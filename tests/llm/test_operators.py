@@ -205,7 +205,9 @@ def test_class_shares_sum_to_one():
     rng = np.random.default_rng(1)
     weights, bias = rng.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32), rng.normal(size=lm_score.CLASSES).astype(np.float32)
     rows_ = lm_score.features(rng.integers(0, lm_score.CLASSES, 40), np.array([0, 7, 8]), 0)
-    assert np.exp(lm_score.log_shares(weights, bias, rows_)).sum(axis=1) == pytest.approx(np.ones(40), abs=1e-4)
+    z, e, sums = lm_score.odds(weights, bias, rows_)
+    assert np.exp(z - np.log(sums)).sum(axis=1) == pytest.approx(np.ones(40), abs=1e-4)
+    assert e / sums == pytest.approx(np.exp(z - np.log(sums)), abs=1e-5)
 
 
 def test_ann(spark):
