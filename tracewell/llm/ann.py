@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import hinted, staged
 
-K, TABLES, LEAF, OFFERS, ROUNDS, SETTLED = 20, 8, 1500, 8, 4, 0.02
-BEAM, STEP = 96, 32
+K, TABLES, LEAF, OFFERS, ROUNDS, SETTLED = 20, 10, 4000, 10, 8, 0.02
+BEAM, STEP = 128, 48
 LISTS = pa.schema([("u", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 LISTS_DDL = "u long, ids array<long>, scores array<float>"
 
@@ -74,14 +74,15 @@ def _compare(most: int):
             if len(ids) < 2:
                 continue
             x = _matrix(group.column(2).to_pylist())
-            s = x @ x.T
-            np.fill_diagonal(s, -np.inf)
             n = min(most, len(ids) - 1)
-            best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            rows += [(int(u), ids[b], s[i, b]) for i, (u, b) in enumerate(zip(ids, best, strict=True))]
-            if len(rows) >= 2000:
-                yield _lists(rows)
-                rows = []
+            for low in range(0, len(ids), 512):  # few rows of a large group at a time
+                s = x[low : low + 512] @ x.T
+                s[np.arange(len(s)), np.arange(low, low + len(s))] = -np.inf
+                best = np.argpartition(s, len(ids) - n, axis=1)[:, len(ids) - n :]
+                rows += [(int(ids[low + i]), ids[b], s[i, b]) for i, b in enumerate(best)]
+                if len(rows) >= 2000:
+                    yield _lists(rows)
+                    rows = []
         if rows:
             yield _lists(rows)
 
