@@ -233,8 +233,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
     """docs with one row of each group of equal texts, its columns as they were."""
-    kept = exact_dedup(docs, id_col, text_col, budget).filter("kept").select(F.col("doc_id").alias("_d_id"), F.col("text_sha256").alias("_d_sha"), F.col("n_code_points").alias("_d_n"))
+    # one key that is never null, so that the join's partitions serve the removal of repeated rows as well
+    key = lambda i, sha, n: F.concat_ws("/", F.coalesce(i.cast("string"), F.lit("-")), n.cast("string"), sha)
+    kept = exact_dedup(docs, id_col, text_col, budget).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256"), F.col("n_code_points")).alias("_dedup_kept"))
     plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), " \t\n\x0b\x0c\r", "")
-    keyed = docs.withColumns({"_k_id": F.col(id_col).cast("long"), "_k_sha": F.sha2(plain, 256), "_k_n": F.coalesce(F.length(text_col), F.lit(0)).cast("long")})
-    out = keyed.join(kept, F.col("_k_id").eqNullSafe(F.col("_d_id")) & (F.col("_k_sha") == F.col("_d_sha")) & (F.col("_k_n") == F.col("_d_n")), "left_semi")
-    return out.dropDuplicates(["_k_id", "_k_sha", "_k_n"]).select(*docs.columns)
+    keyed = docs.withColumn("_dedup_key", key(F.col(id_col).cast("long"), F.sha2(plain, 256), F.coalesce(F.length(text_col), F.lit(0))))
+    out = keyed.join(kept, F.col("_dedup_key") == F.col("_dedup_kept"), "left_semi")
+    return out.dropDuplicates(["_dedup_key"]).select(*docs.columns)
