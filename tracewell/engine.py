@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import records, resolve
+from .operators.cut import checkpointed
 from .plans.walk import Walker
 from .sources.catalog import SCHEMA as CATALOG
 from .sources.scripts import read_scripts
@@ -33,14 +34,7 @@ class LineageEngine:
         self.spark, self.engine = spark, engine.lower()
         self.catalog = catalog if catalog is not None else spark.createDataFrame([], CATALOG)
 
-    def _cut(self, df: DataFrame) -> DataFrame:
-        """A checkpoint in the shared folder, so that plans stay short and lost executors cost nothing."""
-        sc = self.spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            import tempfile
-
-            sc.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tracewell-"))
-        return df.checkpoint()
+    _cut = staticmethod(checkpointed)
 
     def _effective(self, tables: DataFrame, created: DataFrame | None) -> DataFrame:
         """file, table_name, column_name, ordinal of the tables that scripts mention."""

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cut import checkpointed
+
 STEP = ["source_table", "source_column", "target_table", "target_column", "ultimate_source_table", "ultimate_source_column", "ultimate_target_table", "ultimate_target_column", "level_top_to_bottom", "level_bottom_to_top"]
 
 
@@ -60,7 +62,7 @@ def chain_paths(records: DataFrame, cut: Callable[[DataFrame], DataFrame] | None
     A column without sources ends a chain if its table is empty or a base table; other dead ends give no
     chain, nor do paths that only run in a circle. ``most`` stops after so many hops (default: no limit).
     """
-    cut = cut or (lambda df: df.checkpoint())
+    cut = cut or checkpointed
     links = cut(edges(records))
     finals = final_outputs(records).select(node("target_table", "target_column").alias("target"))
     sourced = links.select(F.col("target").alias("head")).distinct()
@@ -96,7 +98,7 @@ def chain_steps(records: DataFrame, cut: Callable[[DataFrame], DataFrame] | None
 def cycle_nodes(records: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """table, column of the nodes from which following edges leads back to them: what remains when nodes without
     a way in or out are taken away again and again, less what merely lies between cycles."""
-    cut = cut or (lambda df: df.checkpoint())
+    cut = cut or checkpointed
     links = cut(edges(records).select("source", "target").distinct())
     count = links.count()
     while True:
