@@ -79,3 +79,27 @@ def test_regression_separates():
     w, b = regression(rows, np.array([1, 0, 1, 0] * 5), np.array([2.0, -2.0, 0.1]))
     assert b + w[0] > 0 > b + w[1]
     assert 0 < Model(bias=0.0).scorer()(None) < 1
+
+
+def test_every_gram_that_stands_out_is_kept(spark):
+    """Many words, each in a few toxic texts; texts with one of the rarer ones alone are found as well."""
+    from tracewell.llm import chargrams
+
+    rng = random.Random(6)
+    plain, bad = [f"p{i:03}" for i in range(300)], ["".join(rng.choices("qxzjkvw", k=9)) for _ in range(150)]
+    texts = [" ".join(rng.choices(plain, k=20) + ([bad[(i * 7 + k) % 150] for k in range(60)] if i % 2 else [])) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    model = chargrams.fit(docs, labels, "toxic", F.lit(True))
+    seen = np.zeros((2, 1 << chargrams.BITS))
+    sets = [np.unique(np.concatenate(list(hashed(chargrams.prepared(t))))) for t in texts]
+    for i, s in enumerate(sets):
+        seen[i % 2, s] += 1
+    ratio = np.log((seen[1] + 1) / 202) - np.log((seen[0] + 1) / 202)
+    out = np.nonzero(np.abs(ratio) / np.sqrt(1 / (seen[1] + 1) + 1 / (seen[0] + 1)) >= 4)[0]
+    assert len(out) > 2000 and model.features.tolist() == out.tolist()
+    # the sums of the tasks give what all rows at hand give
+    w, b = regression([np.searchsorted(out, s[np.isin(s, out)]) for s in sets], np.arange(400) % 2, ratio[out])
+    assert model.weights == pytest.approx(w, abs=1e-9) and model.bias == pytest.approx(b, abs=1e-9)
+    score = model.scorer()
+    assert np.mean([score(w) > score("p001") for w in bad]) == 1

@@ -1,14 +1,15 @@
 """A linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Fitting sees a bounded sample of labelled rows: tasks count in how many texts of either label each hashed
-n-gram occurs, the counts are added block by block, and the n-grams whose log-count ratio stands out
-most, by ``least_z`` standard errors at least, are kept with that ratio as their value. A logistic regression on those values
-is fitted to the sample's few kept n-grams. Scoring looks every n-gram of a whole text up in one table.
+n-gram occurs, the counts are added block by block, and all n-grams whose log-count ratio stands out
+by ``least_z`` standard errors are kept with that ratio as their value. A logistic regression on those values
+is fitted by gradients that tasks sum over the sample's rows; the driver sees sums only. Scoring looks
+every n-gram of a whole text up in one table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import hinted, staged
 
-BITS, BLOCK, ORDERS, SLICE, FEATURES = 20, 1 << 12, (3, 4, 5, 6), 1 << 20, 2000
+BITS, BLOCK, ORDERS, SLICE = 20, 1 << 12, (3, 4, 5, 6), 1 << 20
+#: Terms of a gradient are rounded to this part of one, so that their sum does not depend on the order of tasks.
+GRAIN = 1 << 24
 _STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,7 +90,7 @@ def _kept(of: tuple[int, int], least_z: float):
             ratio = np.log((yes + 1) / (of[1] + 2)) - np.log((no + 1) / (of[0] + 2))
             z = np.abs(ratio) / np.sqrt(1 / (yes + 1) + 1 / (no + 1))
             keep = np.nonzero(z >= least_z)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(keep + block * BLOCK, pa.int64()), pa.array(ratio[keep], pa.float64()), pa.array(z[keep], pa.float64())], names=["feature", "ratio", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array([(keep + block * BLOCK).tobytes()], pa.binary()), pa.array([ratio[keep].tobytes()], pa.binary())], names=["features", "ratios"])
 
     return run
 
@@ -97,28 +100,82 @@ def _rows(features: np.ndarray, orders: tuple[int, ...]):
         table = np.full(1 << BITS, -1, np.int32)
         table[features] = np.arange(len(features), dtype=np.int32)
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1), strict=True):
-                hits = np.unique(np.concatenate([np.empty(0, np.int32)] + [k[k >= 0] for k in (table[h] for h in hashed(prepared(text.as_py()), orders))]))
-                yield pa.RecordBatch.from_arrays([pa.array([label.as_py()], pa.int32()), pa.array([hits.tolist()], pa.list_(pa.int32()))], names=["label", "hits"])
+            hits = [np.unique(np.concatenate([np.empty(0, np.int32)] + [k[k >= 0] for k in (table[h] for h in hashed(prepared(text.as_py()), orders))])) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([h.tobytes() for h in hits], pa.binary())], names=["label", "hits"])
 
     return run
 
 
-def regression(rows: list[np.ndarray], labels: np.ndarray, value: np.ndarray, penalty: float = 1.0, rounds: int = 120) -> tuple[np.ndarray, float]:
-    """Weights (times value) and bias by full gradients with per-weight step sizes; the rarer label weighs the root of its odds."""
-    sizes = np.array([len(r) for r in rows], np.int64)
-    at, own = (np.concatenate(rows) if len(rows) else np.empty(0, np.int32)), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    x, y = value[at], labels.astype(float)
-    yes, no = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    weight = np.where(y == 1, np.sqrt(max(1.0, no / yes)), np.sqrt(max(1.0, yes / no)))
-    w, b, g2, b2 = np.zeros(len(value)), float(np.log(yes / no)), np.full(len(value), 1e-8), 1e-8
-    for _ in range(rounds):
-        m = np.bincount(own, x * w[at], minlength=len(rows)) + b
-        e = (1 / (1 + np.exp(-np.clip(m, -60, 60))) - y) * weight
-        g, gb = np.bincount(at, x * e[own], minlength=len(value)) + penalty * w, e.sum()
-        g2, b2 = g2 + g * g, b2 + gb * gb
-        w, b = w - 0.05 * g / np.sqrt(g2), b - 0.05 * gb / np.sqrt(b2)
-    return w * value, float(b)
+def gradient(rows: list[np.ndarray], labels: np.ndarray, value: np.ndarray, weight: tuple[float, float], point: np.ndarray) -> np.ndarray:
+    """Of the weighted log loss at a point, the weights and the bias behind them: the loss and its gradient, in whole GRAINs."""
+    out = np.zeros(len(point) + 1)
+    w = value * point[:-1]
+    for low in range(0, len(rows), 256):  # few rows at a time
+        part, y = rows[low : low + 256], labels[low : low + 256].astype(float)
+        at, own = np.concatenate(part), np.repeat(np.arange(len(part)), [len(r) for r in part])
+        m = np.bincount(own, w[at], minlength=len(part)) + point[-1]
+        share = np.where(y == 1, weight[1], weight[0])
+        e = (1 / (1 + np.exp(-np.clip(m, -60, 60))) - y) * share
+        out[0] += np.rint((np.logaddexp(0, m) - y * m) * share * GRAIN).sum()
+        out[1:-1] += np.bincount(at, np.rint(value[at] * e[own] * GRAIN), minlength=len(value))
+        out[-1] += np.rint(e * GRAIN).sum()
+    return out
+
+
+def minimised(at: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, most: int = 120, settled: float = 1e-3) -> np.ndarray:
+    """L-BFGS from x on, until the gradient is the share ``settled`` of what it was at first, or for ``most`` gradients."""
+    v, g = at(x)
+    enough, seen, past = settled * np.linalg.norm(g), 1, []
+    while np.linalg.norm(g) > enough and seen < most:
+        q, shares = g.copy(), []
+        for s, y in reversed(past):
+            shares.append((s @ q) / (s @ y))
+            q -= shares[-1] * y
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.linalg.norm(g))
+        for (s, y), share in zip(past, reversed(shares), strict=True):
+            q += s * (share - (y @ q) / (s @ y))
+        slope, step = g @ q, 1.0
+        while True:
+            new = x - step * q
+            v_new, g_new = at(new)
+            seen += 1
+            if v_new <= v - 1e-4 * step * slope:
+                break
+            if seen >= most or step < 1e-8:
+                return x
+            step *= min(0.5, max(0.1, slope * step / (2 * (v_new - v + slope * step))))
+        if (new - x) @ (g_new - g) > 0:
+            past = [*past[-9:], (new - x, g_new - g)]
+        x, v, g = new, v_new, g_new
+    return x
+
+
+def fitted(sums: Callable[[tuple[float, float], np.ndarray], np.ndarray], no: int, yes: int, value: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights (times value) and bias from sums of gradients; the rarer label weighs the root of its odds."""
+    weight = (float(np.sqrt(max(1.0, yes / no))), float(np.sqrt(max(1.0, no / yes))))
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        out, w = sums(weight, x) / GRAIN, np.append(x[:-1], 0.0)
+        return out[0] + penalty * (w @ w) / 2, out[1:] + penalty * w
+
+    x = minimised(at, np.append(np.zeros(len(value)), np.log(yes / no)))
+    return x[:-1] * value, float(x[-1])
+
+
+def regression(rows: list[np.ndarray], labels: np.ndarray, value: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """The fit to rows at hand."""
+    yes = int(labels.sum())
+    return fitted(lambda weight, x: gradient(rows, labels, value, weight, x), len(labels) - yes, yes, value, penalty)
+
+
+def _gradients(value: np.ndarray, weight: tuple[float, float], point: np.ndarray):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(point) + 1)
+        for batch in batches:
+            out += gradient([np.frombuffer(h, np.int32) for h in batch.column(1).to_pylist()], batch.column(0).to_numpy(), value, weight, point)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    return run
 
 
 def sample(labels: DataFrame, id_col: str, label_col: str, use: Column, most: int) -> DataFrame:
@@ -128,10 +185,10 @@ def sample(labels: DataFrame, id_col: str, label_col: str, use: Column, most: in
     return pick(0).union(pick(1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, least_z: float = 4.0, orders: tuple[int, ...] = ORDERS, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, least_z: float = 4.0, orders: tuple[int, ...] = ORDERS) -> Model:
     """Fits on at most ``most`` rows of each label among those that ``use`` allows (a documented bound).
 
-    Of the n-grams that stand out the ``features`` that do so most are kept. Without rows of both labels the score is the label's share alone.
+    All n-grams that stand out are kept. Without rows of both labels the score is the label's share alone.
     """
     parts = 12
     picked = hinted(sample(labels, id_col, label_col, use, most))
@@ -141,12 +198,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col:
     if not no or not yes:
         return Model(bias=float(np.log((yes + 0.5) / (no + 0.5))), orders=orders)
     blocks = rows.mapInArrow(_counts(orders), "block int, seen binary").repartition(parts, "block")
-    kept = blocks.mapInArrow(_kept((no, yes), least_z), "feature long, ratio double, z double").orderBy(F.desc("z"), "feature").limit(features).collect()
-    kept.sort(key=lambda r: r["feature"])
-    chosen, ratio = np.array([r["feature"] for r in kept], np.int64), np.array([r["ratio"] for r in kept])
-    found = rows.mapInArrow(_rows(chosen, orders), "label int, hits array<int>").collect()
-    found.sort(key=lambda r: (r["label"], r["hits"]))  # sums do not depend on the order of tasks
-    weights, bias = regression([np.array(r["hits"], np.int32) for r in found], np.array([r["label"] for r in found]), ratio)
+    kept = blocks.mapInArrow(_kept((no, yes), least_z), "features binary, ratios binary").collect()
+    chosen, ratio = np.frombuffer(b"".join(r["features"] for r in kept), np.int64), np.frombuffer(b"".join(r["ratios"] for r in kept), np.float64)
+    order = np.argsort(chosen)
+    chosen, ratio = chosen[order], ratio[order]
+    hits = staged(rows.mapInArrow(_rows(chosen, orders), "label int, hits binary"), "grams-hits")
+
+    def sums(weight: tuple[float, float], x: np.ndarray) -> np.ndarray:
+        return sum(np.frombuffer(r["sums"], np.float64) for r in hits.mapInArrow(_gradients(ratio, weight, x), "sums binary").collect())
+
+    weights, bias = fitted(sums, no, yes, ratio)
     return Model(chosen, weights, bias, orders)
 
 
