@@ -229,3 +229,22 @@ def test_ann(spark):
         hit += len(set(best) & {g[1] for g in got})
     assert hit >= 0.95 * 20 * 15
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_ann_with_some_long_vectors(spark):
+    """Vectors of 10 to 1000 times the usual norm are found, and the others still are told apart."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i, times in zip(range(7, 1200, 200), (10, 30, 100, 300, 1000, 1000), strict=True):
+        x[i] *= times
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    s, hit = x @ x.T, 0
+    for q in range(0, 1200, 20):
+        best = sorted((i for i in range(1200) if i != q), key=lambda i: (-s[q, i], i))[:20]
+        hit += len(set(best) & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert hit >= 0.95 * 20 * 60

@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, queries walk it greedily.
 
 Copies of a vector are one node that knows its smallest identifiers. Vectors get one more component
-that makes their norms equal, so the nearest by inner product are nearest by angle. A first graph
-comes from blocks of vectors on the same side of random planes; then, round by round, the neighbours
+that makes their norms equal, so the nearest by inner product are nearest by angle. Nodes carry 32-bit
+floats, and what that component takes off a product is kept apart, so that one long vector costs the
+others no digits. A first graph comes from blocks of vectors on the same side of random planes; then, round by round, the neighbours
 and reverse neighbours of a node are joined and compared with each other, and each keeps its best,
-until few lists change. A query starts at its own node and expands the best nodes it has not expanded
+until few lists change. A query starts at its own node and the longest ones and expands the best nodes it has not expanded
 yet, until its beam holds none. What a beam holds is then measured exactly on the original vectors.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import hinted, staged
 
 K, TABLES, LEAF, OFFERS, ROUNDS, SETTLED = 20, 10, 4000, 10, 8, 0.02
-BEAM, STEP = 128, 48
+BEAM, STEP, ENTRIES = 128, 48, 32
 LISTS = pa.schema([("u", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 LISTS_DDL = "u long, ids array<long>, scores array<float>"
 
@@ -56,8 +57,9 @@ def _groups(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Tabl
 
 
 def _matrix(codes: Iterable[bytes]) -> np.ndarray:
+    """Rows of codes: the vector, minus the component that evens the norms, and its shortfall."""
     codes = list(codes)
-    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
+    return np.frombuffer(b"".join(codes), np.float32).reshape(len(codes), -1)
 
 
 def _lists(rows: list[tuple]) -> pa.RecordBatch:
@@ -74,9 +76,11 @@ def _compare(most: int):
             if len(ids) < 2:
                 continue
             x = _matrix(group.column(2).to_pylist())
+            other = np.delete(x, -2, axis=1).T
+            x = x[:, :-1]
             n = min(most, len(ids) - 1)
             for low in range(0, len(ids), 512):  # few rows of a large group at a time
-                s = x[low : low + 512] @ x.T
+                s = x[low : low + 512] @ other
                 s[np.arange(len(s)), np.arange(low, low + len(s))] = -np.inf
                 best = np.argpartition(s, len(ids) - n, axis=1)[:, len(ids) - n :]
                 rows += [(int(ids[low + i]), ids[b], s[i, b]) for i, b in enumerate(best)]
@@ -112,18 +116,21 @@ def _merge(k: int):
     return run
 
 
-def _encode(norm: float, most: float):
-    """Byte codes of the vectors, with the component that evens the norms; ``most`` is the largest component's size."""
+def _encode(norm: float):
+    """Codes of the vectors, divided by the largest norm.
 
-    scale = 127 * norm / most
+    With e the component that makes a norm 1, the product of two nodes is x.y + e(x) e(y). It is used less
+    e(x), the same for all that x is compared with: x.y - e(x) d(y), where d = 1 - e = |y|^2 / (1 + e).
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.array(batch.column(1).to_pylist(), np.float64) / norm
-            x = np.c_[x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))]
-            x = np.clip(np.rint(x * scale), -127, 127).astype(np.int8)
+            squares = (x * x).sum(axis=1)
+            e = np.sqrt(np.maximum(0, 1 - squares))
+            x = np.c_[x, -e, squares / (1 + e)].astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "code"])
 
     return run
@@ -134,7 +141,7 @@ def _leaves(tables: int, planes: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1).to_pylist())
+            x = _matrix(batch.column(1).to_pylist())[:, :-2]  # the component that evens the norms would drown the others
             for t in range(tables):
                 normals = np.random.default_rng(100 + t).standard_normal((x.shape[1], planes)).astype(np.float32)
                 side = (x @ normals > 0) @ (1 << np.arange(planes, dtype=np.int64))
@@ -174,8 +181,8 @@ def graph(nodes: DataFrame, k: int = K, tables: int = TABLES, leaf: int = LEAF,
 BEAMS_DDL = "q long, node long, code binary, ids array<long>, scores array<float>, open array<boolean>"
 
 
-def _step(beam: int):
-    """Rows of a query's beam and what it met: the best of both, those met for the first time open."""
+def _step(beam: int, entries: list[dict]):
+    """Rows of a query's beam and what it met, and ``entries``: the best of all, those met for the first time open."""
     schema = pa.schema([("q", pa.int64()), ("node", pa.int64()), ("code", pa.binary()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("open", pa.list_(pa.bool_()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +193,11 @@ def _step(beam: int):
                 for i in r["asked"] or ():
                     if i in have:
                         have[i] = (have[i][0], False)
-                met = [m for m in r["met"] or () if m["id"] not in have]
+                met = [m for m in [*(r["met"] or ()), *entries] if m["id"] not in have]
                 if met:
                     x = _matrix([m["code"] for m in met])
-                    q = np.frombuffer(r["code"], np.int8).astype(np.float32).copy()
-                    q[-1] = 0
-                    have |= {m["id"]: (float(s), True) for m, s in zip(met, x @ q, strict=True)}
+                    q = np.frombuffer(r["code"], np.float32)
+                    have |= {m["id"]: (float(s), True) for m, s in zip(met, x[:, :-2] @ q[:-2], strict=True)}
                 best = sorted(have.items(), key=lambda kv: (-kv[1][0], kv[0]))[:beam]
                 out.append((r["q"], r["node"], r["code"], [i for i, _ in best], [s for _, (s, _) in best], [o for _, (_, o) in best]))
             if out:
@@ -200,8 +206,8 @@ def _step(beam: int):
     return run
 
 
-def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = BEAM, step: int = STEP) -> DataFrame:
-    """starts: q, node, code. Returns q, id: the nodes left in each query's beam, its own node among them."""
+def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, entries: list[dict], beam: int = BEAM, step: int = STEP) -> DataFrame:
+    """starts: q, node, code; entries: nodes (id, code) that all queries meet first. Returns q, id: the nodes left in each query's beam, its own node among them."""
     edges = staged(edges.select("u", F.col("ids").alias("to")), "ann-edges")
     both = edges.select("u", F.explode("to").alias("v"))
     near = Window.partitionBy("v").orderBy(F.xxhash64("u", "v"), "u")
@@ -218,7 +224,8 @@ def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = BEAM
         met = front.select("q", F.explode("asked").alias("u")).join(hops, "u").select("q", F.col("v").alias("id")).distinct()
         met = met.join(nodes, "id").groupBy("q").agg(F.collect_list(F.struct("id", "code")).alias("met"))
         rows = state.join(front, "q", "left").join(met, "q", "left").select(*state.columns, "asked", "met")
-        state = staged(rows.mapInArrow(_step(beam), BEAMS_DDL), "ann-beams")
+        state = staged(rows.mapInArrow(_step(beam, entries), BEAMS_DDL), "ann-beams")
+        entries = []
 
 
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20) -> DataFrame:
@@ -237,13 +244,13 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     members = staged(members, "ann-members")
     firsts = members.filter("r = 1").select("id", "x")
     squares = F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c)
-    sizes = rows.agg(F.max(F.sqrt(squares)).alias("norm"), F.min(F.sqrt(squares)).alias("least"), F.max(F.array_max(F.transform("x", F.abs))).alias("most")).first()
-    norm, low = sizes["norm"] or 1.0, sizes["least"] or 1.0
-    most = max(sizes["most"] or 1.0, (max(norm * norm - low * low, 0.0)) ** 0.5)
-    nodes = staged(firsts.mapInArrow(_encode(float(norm), float(most)), "id long, code binary"), "ann-nodes")
+    norm = rows.agg(F.max(F.sqrt(squares))).first()[0] or 1.0
+    nodes = staged(firsts.mapInArrow(_encode(float(norm)), "id long, code binary"), "ann-nodes")
+    longest = firsts.orderBy(F.desc(squares), "id").limit(ENTRIES).select("id")
+    entries = [r.asDict() for r in nodes.join(F.broadcast(longest), "id").collect()]
     asked = staged(rows.filter(queries).join(firsts, "x").select(F.col("vec_id").alias("q"), "id", "x"), "ann-queries")
     starts = asked.select("q", "id").join(nodes, "id").select("q", F.col("id").alias("node"), "code")
-    found = walk(starts, nodes, graph(nodes))
+    found = walk(starts, nodes, graph(nodes), entries)
     exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
     pairs = found.join(firsts.withColumnRenamed("x", "y"), "id").join(asked.select("q", "x"), "q").select("q", "id", exact.alias("score"))
     spread = pairs.join(members.select("id", "vec_id"), "id").filter("vec_id <> q")
