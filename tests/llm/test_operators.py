@@ -185,29 +185,109 @@ def test_line_dedup(spark, docs, empty):
 
 
 @pytest.mark.parametrize("head", [lm_score.HEAD, 30])
-def test_lm_score(docs, rows, empty, head):
-    found = lm_score.lm_score(docs, head=head).collect()
+def test_lm_score(docs, rows, empty, monkeypatch, head):
+    """All columns against plain loops over the trained weights, and against other splits of the input."""
+    weights = []
+    real = lm_score.trained
+    monkeypatch.setattr(lm_score, "trained", lambda *a, **k: weights.append((real(*a, **k), a[2], a[3])) or weights[-1][0])
+    monkeypatch.setattr(lm_score, "BLOCK_DOCS", 16)
+    run = lambda df: sorted(tuple(r) for r in lm_score.lm_score(df, head=head, piece=700).collect())
+    found = run(docs)
+    table, bias, cls = weights[0]
     texts = [([w.lower() if w.isascii() else w for w in words(r[1])] + [""], zlib.crc32(str(r[0]).encode()) % 7 == 2, r[0]) for r in rows]
     c = collections.Counter(w for t, held, _ in texts if not held for w in t)
     n, v = sum(c.values()), len(c)
-    expected = sorted((i, held, len(t), sum(c[w] > 0 for w in t), n) for t, held, i in texts)
-    assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in found) == expected
-    base = sorted((i, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for t, _, i in texts)
-    assert [x for _, x in sorted((r["doc_id"], r["base_score"]) for r in found)] == pytest.approx([x for _, x in base])
-    held = [r for r in found if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert all(r["score"] < 0 for r in found)
+    base = [(i, held, len(t), sum(c[w] > 0 for w in t), n, pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))) for t, held, i in texts]
+    assert [r[:6] for r in found] == sorted(base, key=lambda r: r[:5])
+
+    # the vocabulary's head: words with counts that fewer than ``head`` words reach
+    ordered = sorted((w for w in c if w), key=lambda w: (-c[w], w.encode()))
+    inside = [w for w in ordered if sum(x >= c[w] for x in c.values()) < head]
+    ids = {"": 0} | {w: i for i, w in enumerate(inside, 1)}
+    of = lambda w: ids.get(w, None) if w in ids else lm_score.slot_of(w.encode())
+    sizes = collections.Counter()
+    for w, k in c.items():
+        sizes[of(w)] += k
+    in_class = collections.defaultdict(set)
+    for i in [*ids.values(), *range(lm_score.HEAD, lm_score.HEAD + lm_score.SLOTS)]:
+        in_class[cls[i]].add(i)
+    of_class = {k: sum(sizes[i] for i in s) for k, s in in_class.items()}
+    share = lambda i: (sizes[i] + 1) / (of_class[cls[i]] + len(in_class[cls[i]]))
+    pairs = collections.Counter()
+    for t, held, _ in texts:
+        if not held:
+            pairs.update(zip([0, *map(of, t)], map(of, t), strict=False))
+    follow, different = collections.Counter(), collections.Counter()
+    for (h, w), k in pairs.items():
+        follow[h, cls[w]] += k
+        different[h, cls[w]] += 1
+
+    def within(h, w):
+        if cls[w] < lm_score.SINGLE:
+            return 1.0
+        k = follow[h, cls[w]]
+        return (max(pairs[h, w] - 1, 0) + different[h, cls[w]] * share(w)) / k if k else share(w)
+
+    def inside_slot(w):
+        if w in ids:
+            return 1.0
+        own = [x for x in c if x not in ids and of(x) == of(w)]
+        size, once = sum(c[x] for x in own), sum(c[x] == 1 for x in own)
+        unseen = min((once + 0.5) / (size + 1), 0.5) if size else 1.0
+        return (1 - unseen) * (c[w] + 1) / (size + len(own)) if c[w] else unseen
+
+    logs = []
+    for t, _, i in texts:
+        own = np.array([of(w) for w in t])
+        rows_ = lm_score.features(own, np.array([0]))
+        total = 0.0
+        for k, w in enumerate(own.tolist()):
+            z = sum(table[r[k]].astype(float) for r in rows_) + bias
+            total += math.log10(np.exp(z - z.max())[cls[w]] / np.exp(z - z.max()).sum()) + math.log10(within(own[k - 1] if k else 0, w)) + math.log10(inside_slot(t[k]))
+        logs.append((i, total))
+    assert [r[6] for r in found] == pytest.approx([x for _, x in sorted(logs)], rel=1e-4)
+    # what may follow a context adds up to one
+    for h in (0, of(ordered[0]), of(ordered[60])):
+        for k in (lm_score.SINGLE, lm_score.CLASSES - 1):
+            assert sum(within(h, i) for i in in_class[k]) == pytest.approx(1)
+    again = run(docs.repartition(5))
+    assert [r[:5] for r in again] == [r[:5] for r in found]
+    assert [r[6] for r in again] == pytest.approx([r[6] for r in found], rel=1e-5)
     if head == lm_score.HEAD:
         assert lm_score.lm_score(empty).count() == 0
 
 
-def test_class_shares_sum_to_one():
-    rng = np.random.default_rng(1)
-    weights, bias = rng.normal(size=(lm_score.ROWS, lm_score.CLASSES)).astype(np.float32), rng.normal(size=lm_score.CLASSES).astype(np.float32)
-    rows_ = lm_score.features(rng.integers(0, lm_score.CLASSES, 40), np.array([0, 7, 8]), 0)
-    z, e, sums = lm_score.odds(weights, bias, rows_)
-    assert np.exp(z - np.log(sums)).sum(axis=1) == pytest.approx(np.ones(40), abs=1e-4)
-    assert e / sums == pytest.approx(np.exp(z - np.log(sums)), abs=1e-5)
+def test_lm_score_learns_word_order(spark):
+    """Held-out texts of a fluent source score above their shuffled words, and above an interpolated bigram model."""
+    rng = __import__("random").Random(8)
+    follow = {f"w{i}": [f"w{rng.randrange(400)}" for _ in range(4)] for i in range(400)}
+    texts = []
+    for i in range(4000):
+        w = [f"w{rng.randrange(400)}"]
+        while len(w) < 40:
+            w.append(rng.choice(follow[w[-1]]))
+        texts.append((i, " ".join(w)))
+    shuffled = [(i + 10_000, " ".join(rng.sample(t.split(), 40))) for i, t in texts if zlib.crc32(str(i).encode()) % 7 == 2]
+    shuffled = [(next(k for k in range(i, 10**6) if zlib.crc32(str(k).encode()) % 7 == 2), t) for i, t in shuffled]
+    found = lm_score.lm_score(spark.createDataFrame(texts + shuffled, "doc_id long, text string").repartition(4)).collect()
+    held = [r for r in found if r["held_out"]]
+    mean = lambda rows, c: sum(r[c] for r in rows) / sum(r["n_tokens"] for r in rows)
+    fluent, mixed = [r for r in held if r["doc_id"] < 4000], [r for r in held if r["doc_id"] >= 4000]
+    assert mean(fluent, "score") > mean(mixed, "score") + 0.3
+    one, two, n = collections.Counter(), collections.Counter(), 0
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = [*t.split(), ""]
+            one.update(w)
+            two.update(zip(["", *w], w, strict=False))
+            n += len(w)
+    bigram = tokens_ = 0
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 == 2:
+            w = [*t.split(), ""]
+            tokens_ += len(w)
+            bigram += sum(math.log10(0.7 * two[a, b] / one[a] + 0.3 * (one[b] + 1) / (n + len(one) + 1)) for a, b in zip(["", *w], w, strict=False))
+    assert mean(fluent, "score") > bigram / tokens_
 
 
 def test_ann(spark):
