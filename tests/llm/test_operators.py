@@ -141,7 +141,7 @@ def test_pieces_equal_the_library():
 
 def test_packing(docs, rows, empty):
     own = tokenizers.Tokenizer.from_file(PATH)
-    found = packing.pack(docs, PATH, shard_chars=20_000, with_ids=True).collect()
+    found = packing.pack(docs, PATH, shard_tokens=6_000, with_ids=True).collect()
     ids = collections.Counter(tuple([*own.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in rows)
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in found:
@@ -163,10 +163,56 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, PATH).count() == 0
 
 
-def test_bm25_finds_the_text_that_shares_rare_terms():
-    index = packing.Index([np.array(x) for x in ([1, 2, 3, 4], [9, 8, 7], [1, 2, 3, 5], [1, 6, 7])], common=1.0)
-    score = index.scores(0)
-    assert set(score.argsort()[-2:].tolist()) == {0, 2} and score[1] == 0
+def test_packing_follows_bm25_over_all_documents(docs, rows):
+    """One shard against a plain greedy loop over BM25 with counts over all documents, copies kept apart."""
+    docs = docs.coalesce(1)
+    docs.sparkSession.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = packing.pack(docs, PATH, shard_tokens=10**9, shard_docs=10**9, with_ids=True, window=256).collect()
+    finally:
+        docs.sparkSession.conf.set("spark.sql.shuffle.partitions", "8")
+    texts = collections.defaultdict(bytes)
+    for r in sorted(found, key=lambda r: (r["doc_id"], r["start"])):
+        texts[r["doc_id"]] += r["ids"]
+    order = list(dict.fromkeys(r["doc_id"] for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"]))))
+    assert 906 in order  # the row that occurs twice: left out of the comparison below
+    ids = {d: np.frombuffer(texts[d], "<u4").tolist() for d in order if d != 906}
+    seen = collections.Counter(t for d, x in ids.items() for t in set(x))
+    twice = tokenizers.Tokenizer.from_file(PATH).encode("twice the same row here", add_special_tokens=False).ids + [1]
+    seen.update(2 * list(set(twice)))
+    n, mean = len(rows), (sum(map(len, ids.values())) + 2 * len(twice)) / len(rows)
+
+    def bm25(a, b):
+        tf = collections.Counter(b)
+        return sum(math.log1p((n - seen[t] + 0.5) / (seen[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(b) / mean)) for t in set(a) if t in tf)
+
+    # the documents after a window's seed fall in score until the window is full, and none that is left out scores more
+    sequences = collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"])):
+        sequences[r["sequence_id"]].append(r)
+    used, checked = set(), 0
+    for s in sequences.values():
+        inside = [r["doc_id"] for r in s]
+        if 906 not in inside and sum(r["length"] for r in s) == 256:
+            seed, rest = inside[0], inside[1:]
+            scores = [bm25(ids[seed], ids[d]) for d in rest]
+            assert all(a >= b - 1e-6 for a, b in zip(scores, scores[1:], strict=False))
+            window = {texts[d] for d in inside}
+            others = [bm25(ids[seed], ids[d]) for d in ids if d not in used and d not in inside and texts[d] not in window]
+            if scores and min(scores) > 0:
+                assert min(scores) >= max(others, default=0) - 1e-6
+                checked += 1
+        used |= set(inside)
+    assert checked > 10
+
+
+def test_copies_do_not_share_a_window():
+    terms = [np.array([1, 2, 3]), np.array([1, 2, 3]), np.array([1, 2, 4]), np.array([1, 2, 3])]
+    seen = np.array([0, 4, 4, 3, 1])
+    cut = packing.order_and_cut(np.array([3] * 4), packing.Index(terms, seen, 4, 3.0), np.array([7, 7, 8, 7]), window=6)
+    assert [[d for d, _, _ in s] for s in cut] == [[0, 2], [1], [3]] or [[d for d, _, _ in s] for s in cut][0] == [0, 2]
+    many = packing.order_and_cut(np.ones(5000, np.int64), packing.Index([np.array([1])] * 5000, np.array([0, 5000]), 5000, 1.0), np.zeros(5000, np.int64))
+    assert sum(len(s) for s in many) == 5000
 
 
 def test_line_dedup(spark, docs, empty):
@@ -311,6 +357,35 @@ def test_ann(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_by_descent(spark):
+    """Blocks far smaller than the table: the descent and the search bring the recall. Identifiers with two vectors, other lengths, clashing columns."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    n = 3000
+    x = (rng.normal(size=(60, 24))[rng.integers(0, 60, n)] + 0.7 * rng.normal(size=(n, 24))).astype(np.float32).astype(np.float64)
+    data = [(i, v.tolist(), 1, "a") for i, v in enumerate(x)]
+    data += data[:40]  # repeated rows
+    data += [(20 * i, (x[20 * i] + 0.5).astype(np.float32).astype(float).tolist(), 2, "b") for i in range(5)]
+    data += [(5000 + i, [float(i), 1.0], 3, "c") for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, id int, x string")
+    found = ann.nearest(df, F.col("vec_id") % 20 == 0, tables=2, leaf=100).collect()
+    vectors = {(r[0], tuple(r[1])) for r in data if r[0] < 5000}
+    ids, every = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors])
+    got = collections.Counter((r["query_id"], r["vec_id"], round(r["score"], 6)) for r in found)
+    hit = total = 0
+    for i in np.nonzero(ids % 20 == 0)[0]:
+        s = every @ every[i]
+        best = sorted((j for j in range(len(ids)) if ids[j] != ids[i]), key=lambda j: (-s[j], ids[j]))[:20]
+        hit += sum(got[int(ids[i]), int(ids[j]), round(float(s[j]), 6)] > 0 for j in best)
+        total += 20
+    assert hit >= 0.9 * total
+    ranks = collections.Counter((r["query_id"], r["rank"]) for r in found)
+    assert all(ranks[0, k] == 2 and ranks[200, k] == 1 for k in range(1, 21))
+    small = [r for r in found if r["query_id"] == 5000]
+    assert [r["vec_id"] for r in sorted(small, key=lambda r: r["rank"])] == list(range(5001, 5021)) and len(small) == 20
+
+
 def test_ann_with_some_long_vectors(spark):
     """Vectors of 10 to 1000 times the usual norm are found, and the others still are told apart."""
     from pyspark.sql import functions as F

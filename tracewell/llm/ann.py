@@ -3,9 +3,9 @@
 Copies of a vector are one node that knows its smallest identifiers. Vectors get one more component
 that makes their norms equal, so the nearest by inner product are nearest by angle. Nodes carry 32-bit
 floats, and what that component takes off a product is kept apart, so that one long vector costs the
-others no digits. A first graph comes from blocks of vectors on the same side of random planes; then, round by round, the neighbours
-and reverse neighbours of a node are joined and compared with each other, and each keeps its best,
-until few lists change. A query starts at its own node and the longest ones and expands the best nodes it has not expanded
+others no digits. A first, rough graph comes from small blocks of vectors on the same side of random planes;
+then, round by round, the neighbours and some reverse neighbours of a node, others in each round, are joined
+and compared with each other, and each keeps its best, until few lists change. A query starts at its own node and the longest ones and expands the best nodes it has not expanded
 yet, until its beam holds none. What a beam holds is then measured exactly on the original vectors.
 """
 
@@ -21,19 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import hinted, staged
 
-K, TABLES, LEAF, OFFERS, ROUNDS, SETTLED = 20, 10, 4000, 10, 8, 0.02
-BEAM, STEP, ENTRIES = 128, 48, 32
+K, TABLES, LEAF, OFFERS, SETTLED = 32, 6, 400, 12, 0.02
+BEAM, STEP, ENTRIES = 160, 64, 32
 LISTS = pa.schema([("u", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 LISTS_DDL = "u long, ids array<long>, scores array<float>"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, x of the rows that take part: all components finite, not all zero, and of the commonest length."""
+    """vec_id, x of the rows that take part: all components finite, not all zero."""
     x = F.col(vector_col).cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & finite & F.exists("x", lambda c: c != 0))
-    sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.filter(F.size("x") == (sizes["d"] if sizes else 0))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & finite & F.exists("x", lambda c: c != 0))
 
 
 def _groups(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
@@ -155,8 +153,13 @@ def _sorted_groups(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(parts, key).sortWithinPartitions(key)
 
 
-def graph(nodes: DataFrame, k: int = K, tables: int = TABLES, leaf: int = LEAF, offers: int = OFFERS, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
-    """nodes: id, code. Returns u, ids, scores: a list of up to k near nodes for each node, best first."""
+def graph(nodes: DataFrame, k: int = K, tables: int = TABLES, leaf: int = LEAF, offers: int = OFFERS, settled: float = SETTLED) -> DataFrame:
+    """nodes: id, code. Returns u, ids, scores: a list of up to k near nodes for each node, best first.
+
+    A round goes over by whom a node is listed as well, ``k`` of them at a time, drawn anew in each round. The
+    rounds end when less than the share ``settled`` of all places in lists changed hands; as lists only
+    get better, that comes.
+    """
     n = nodes.count()
     planes = max(0, math.ceil(math.log2(max(1, n / leaf))))
     placed = staged(nodes.mapInArrow(_leaves(tables, planes), "leaf long, id long, code binary"), "ann-leaves")
@@ -165,9 +168,11 @@ def graph(nodes: DataFrame, k: int = K, tables: int = TABLES, leaf: int = LEAF,
     lists = _sorted_groups(split, "g").mapInArrow(_compare(k), LISTS_DDL).withColumn("own", F.lit(False))
     merged = f"{LISTS_DDL}, fresh int"
     found = staged(_sorted_groups(lists, "u").mapInArrow(_merge(k), merged), "ann-graph")
-    for _ in range(rounds):
+    turn = 0
+    while True:
+        turn += 1
         ahead = found.select("u", F.explode("ids").alias("v"))
-        near = Window.partitionBy("v").orderBy(F.xxhash64("u", "v"), "u")
+        near = Window.partitionBy("v").orderBy(F.xxhash64("u", "v", F.lit(turn)), "u")
         back = ahead.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k)
         around = ahead.select(F.col("u").alias("c"), F.col("v").alias("id")).union(back.select(F.col("v"), F.col("u"))).distinct()
         offered = _sorted_groups(around.join(nodes, "id").select("c", "id", "code"), "c").mapInArrow(_compare(offers), LISTS_DDL)
@@ -228,31 +233,49 @@ def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, entries: list[di
         entries = []
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, tables: int = TABLES, leaf: int = LEAF) -> DataFrame:
     """For the rows that the condition ``queries`` on vec_id selects: query_id, rank, vec_id, score.
 
     The score is the inner product of the original vectors in double precision; ties go to the smaller
-    identifier. A row is no candidate of its own query, its copies are. Rows without identifier and
-    vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of
-    another length than the commonest; repeated rows count once. Fewer candidates than ``top`` are all
-    returned; an empty table gives no rows.
+    identifier. A row is no candidate of its own query, its copies are. An identifier with several
+    vectors makes several rows: each is a query of its own, with ranks of its own, and none is a candidate of
+    another of that identifier. Rows without identifier and vectors that are null, zero or hold null or
+    non-finite components take no part; repeated rows count once. Inner products are of vectors of one
+    length: each length found is a table of its own. Fewer candidates than ``top`` are all returned; an empty
+    table gives no rows; other columns are not read.
     """
     rows = staged(usable(vectors, id_col, vector_col).dropDuplicates(["vec_id", "x"]), "ann-rows")
+    lengths = [r["d"] for r in rows.select(F.size("x").alias("d")).distinct().orderBy("d").collect()]
+    found = [_nearest(rows.filter(F.size("x") == d), queries, top, tables, leaf) for d in lengths] or [_ranked(rows, queries)]
+    for more in found[1:]:
+        found[0] = found[0].union(more)
+    return found[0]
+
+
+def _ranked(rows: DataFrame, queries: Column) -> DataFrame:
+    """No rows, in the result's columns."""
+    return rows.filter(queries & F.lit(False)).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+
+
+def _nearest(rows: DataFrame, queries: Column, top: int, tables: int, leaf: int) -> DataFrame:
     first = Window.partitionBy("x").orderBy("vec_id")
     members = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= top + 1)
-    members = members.withColumn("id", F.first("vec_id").over(first))
-    members = staged(members, "ann-members")
-    firsts = members.filter("r = 1").select("id", "x")
+    members = staged(members.withColumn("id", F.first("vec_id").over(first)), "ann-members")
+    # a node's number: the first identifier of its copies may have other vectors too
+    firsts = staged(members.filter("r = 1").withColumn("node", F.monotonically_increasing_id()).select(F.col("node").alias("id"), "x"), "ann-firsts")
+    members = staged(members.select("x", "vec_id").join(firsts, "x").select("id", "vec_id"), "ann-copies")
     squares = F.aggregate("x", F.lit(0.0), lambda s, c: s + c * c)
-    norm = rows.agg(F.max(F.sqrt(squares))).first()[0] or 1.0
+    norm = firsts.agg(F.max(F.sqrt(squares))).first()[0] or 1.0
     nodes = staged(firsts.mapInArrow(_encode(float(norm)), "id long, code binary"), "ann-nodes")
     longest = firsts.orderBy(F.desc(squares), "id").limit(ENTRIES).select("id")
     entries = [r.asDict() for r in nodes.join(F.broadcast(longest), "id").collect()]
-    asked = staged(rows.filter(queries).join(firsts, "x").select(F.col("vec_id").alias("q"), "id", "x"), "ann-queries")
+    # queries have numbers of their own, as an identifier may occur with several vectors
+    asked = rows.filter(queries).join(firsts, "x").select(F.monotonically_increasing_id().alias("q"), "vec_id", "id", "x")
+    asked = staged(asked, "ann-queries")
     starts = asked.select("q", "id").join(nodes, "id").select("q", F.col("id").alias("node"), "code")
-    found = walk(starts, nodes, graph(nodes), entries)
+    found = walk(starts, nodes, graph(nodes, tables=tables, leaf=leaf), entries)
     exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
-    pairs = found.join(firsts.withColumnRenamed("x", "y"), "id").join(asked.select("q", "x"), "q").select("q", "id", exact.alias("score"))
-    spread = pairs.join(members.select("id", "vec_id"), "id").filter("vec_id <> q")
+    pairs = found.join(firsts.withColumnRenamed("x", "y"), "id").join(asked.select("q", F.col("vec_id").alias("query_id"), "x"), "q").select("q", "query_id", "id", exact.alias("score"))
+    spread = pairs.join(members, "id").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return spread.withColumn("rank", rank).filter(F.col("rank") <= top).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")
+    return spread.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

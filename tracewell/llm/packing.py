@@ -1,10 +1,12 @@
 """Packing documents into training sequences, each seed followed by its nearest texts.
 
-The documents a task reads are taken in shards of bounded size. A shard has its own inverted index
-with BM25 weights. A window's seed is the document that stands at its start; the unused documents
-nearest to it follow, best first, until the window is full, and what does not fit opens the next
-window. A shard's last window is cut at powers of two, so it needs no padding. Shards are
-independent of each other: nothing is shuffled, and a lost task repeats its own shards alike.
+The terms of a document are its token ids. How many documents hold a term, and how long documents are, is counted
+over all of them. A signature of each document, the sides of some planes on which its weighted terms lie,
+deals the documents out by range, so that texts with the same rare terms meet, however large a group; in that
+order they form shards of bounded size. A shard has an inverted index with BM25 weights of those overall
+counts. A window's seed is the document that stands at its start; the unused documents nearest to it
+follow, best first, until the window is full, and what does not fit opens the next window. Copies of a text do
+not share a window while there is another text. A shard's last window is cut at powers of two, so it needs no padding.
 """
 
 from __future__ import annotations
@@ -14,41 +16,42 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 from .encoding import ids as pieces_of
 from .encoding import load
 
-WINDOW, SHARD_CHARS, END = 2048, 2 << 20, 1
+WINDOW, END = 2048, 1
+SHARD_TOKENS, SHARD_DOCS, PLANES, BLOCK = 600_000, 4096, 16, 1 << 12
+K1, B = 1.2, 0.75
 
 
 class Index:
-    """BM25 over the documents of a shard, fewer than 2**20; terms are given as integers.
+    """BM25 over the documents of a shard, fewer than 2**20; terms are small integers.
 
-    Terms of one document find no other, and terms in more than the share ``common`` of the documents tell none apart.
+    ``seen`` tells for each term how many of all ``total`` documents hold it, ``mean`` is the mean length of all.
     """
 
-    def __init__(self, terms: list[np.ndarray], k1: float = 1.2, b: float = 0.75, common: float = 0.25):
+    def __init__(self, terms: list[np.ndarray], seen: np.ndarray, total: int, mean: float):
         self.n = len(terms)
         lengths = np.array([len(t) for t in terms], np.int64)
         # term and document in one number: one sort groups the postings
-        key = np.concatenate(terms) if self.n else np.empty(0, np.int64)
-        key = (key & ((1 << 43) - 1)) << 20 | np.repeat(np.arange(self.n), lengths)
+        key = np.concatenate(terms).astype(np.int64) if self.n else np.empty(0, np.int64)
+        key = key << 20 | np.repeat(np.arange(self.n), lengths)
         key.sort()
         at = np.nonzero(np.diff(key, prepend=-1))[0]
         tf, key = np.diff(at, append=len(key)), key[at]
-        doc, term = key & ((1 << 20) - 1), np.cumsum(np.diff(key >> 20, prepend=-1) != 0) - 1
-        df = np.bincount(term) if len(term) else np.empty(0, np.int64)
-        shared = ((df > 1) & (df <= max(2, common * self.n)))[term]
-        term, doc, tf = term[shared], doc[shared], tf[shared]
-        idf = np.log1p((self.n - df[term] + 0.5) / (df[term] + 0.5))
-        norm = k1 * (1 - b + b * lengths[doc] / max(1.0, lengths.mean() if self.n else 1.0))
-        self.doc, self.weight = doc, idf * tf * (k1 + 1) / (tf + norm)
-        self.stops = np.cumsum(np.bincount(term, minlength=len(df)))
+        doc, term = key & ((1 << 20) - 1), key >> 20
+        norm = K1 * (1 - B + B * lengths[doc] / max(1.0, mean))
+        self.doc, self.weight = doc, idf(seen, total)[term] * tf * (K1 + 1) / (tf + norm)
+        number = np.cumsum(np.diff(term, prepend=-1) != 0) - 1
+        self.stops = np.cumsum(np.bincount(number))
         order = np.argsort(doc, kind="stable")
-        self.terms, self.starts = term[order], np.searchsorted(doc[order], np.arange(self.n + 1))
+        self.terms, self.starts = number[order], np.searchsorted(doc[order], np.arange(self.n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all documents, for the terms of one."""
@@ -59,6 +62,10 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
+def idf(seen: np.ndarray, total: int) -> np.ndarray:
+    return np.log1p((total - seen + 0.5) / (seen + 0.5))
+
+
 def ranked(score: np.ndarray, few: int = 24) -> Iterator[int]:
     """The documents with a score, best first, ties by number; few are sorted at first, all only if those do not do."""
     found = np.nonzero(score > 0)[0]
@@ -70,39 +77,53 @@ def ranked(score: np.ndarray, few: int = 24) -> Iterator[int]:
     yield from found[np.argsort(-score[found], kind="stable")]
 
 
-def order_and_cut(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length): every document once, whole, cut where windows end."""
+def order_and_cut(lengths: np.ndarray, index: Index, same: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (document, start, length): every document once, whole, cut where windows end.
+
+    Documents with the same number in ``same`` have the same text.
+    """
     unused, sequences, current, room = np.ones(len(lengths), bool), [], [], window
-    next_seed = 0
+    number = np.unique(same, return_inverse=True)[1]
+    inside = np.zeros(len(lengths), bool)  # texts of the window, by number
 
-    def place(doc: int) -> int:
-        """Appends a document; the number of windows that it filled."""
+    def place(doc: int) -> bool:
+        """Appends a document; whether a window became full."""
         nonlocal current, room
         unused[doc] = False
-        start, left, full = 0, int(lengths[doc]), 0
+        inside[number[doc]] = True
+        start, left, full = 0, int(lengths[doc]), False
         while left:
             take = min(room, left)
             current.append((doc, start, take))
             start, left, room = start + take, left - take, room - take
             if not room:
                 sequences.append(current)
-                current, room, full = [], window, full + 1
+                current, room, full = [], window, True
+                inside[:] = False
+                inside[number[doc]] = left > 0
         return full
 
-    seed = None
+    first, seed = 0, None
     while True:
+        free = unused & ~inside[number]
         if seed is None:
-            while next_seed < len(lengths) and not unused[next_seed]:
-                next_seed += 1
-            if next_seed == len(lengths):
+            while first < len(lengths) and not unused[first]:
+                first += 1
+            if first == len(lengths):
                 break
-            seed = next_seed
+            seed = int(free.argmax()) if free.any() else first  # a copy only where no other text is left
             place(seed)
+            free = unused & ~inside[number]
+            if not current:
+                seed = None
+        if seed is None or not free.any():
+            seed = None
+            continue
         score = index.scores(seed)
-        score[~unused] = 0
+        score[~free] = 0
         seed = None
         for doc in ranked(score):
-            if place(int(doc)):
+            if not inside[number[doc]] and place(int(doc)):
                 seed = int(doc) if current else None
                 break
     if current:  # the rest, at powers of two
@@ -121,60 +142,136 @@ def order_and_cut(lengths: np.ndarray, index: Index, window: int = WINDOW) -> li
     return sequences
 
 
+TOKENS_DDL = "uid long, doc_id long, ids binary"
+
+
+def _ids(path: str, end: int, kind: str):
+    """Rows (doc_id, text) to their ids, the last of them ``end``."""
+    tail = np.array([end], kind).tobytes()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                texts = part.column(1).to_pylist()
+                if path.endswith(".model"):
+                    found = [np.array(x, kind).tobytes() for x in load(path).encode(texts, num_threads=1)]
+                else:
+                    found = [b"".join(values) for values, _ in pieces_of(path).of(texts)]
+                    if kind != "<u4":
+                        found = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(texts))), part.column(0), pa.array([x + tail for x in found], pa.binary())], names=["uid", "doc_id", "ids"])
+                uid += len(texts)
+
+    return run
+
+
+def _seen(kind: str, terms: int):
+    """Of a task's rows: in how many each term occurs, in blocks of terms."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                seen[np.unique(np.frombuffer(x.as_buffer(), kind))] += 1
+        for block in range(len(seen) // BLOCK):
+            part = seen[block * BLOCK : (block + 1) * BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "seen"])
+
+    return run
+
+
+def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[block] = sums.get(block, 0) + np.frombuffer(seen, np.int64)
+    for block, seen in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([seen.tobytes()], pa.binary())], names=["block", "seen"])
+
+
+def _signed(kind: str, seen: np.ndarray, total: int):
+    """Adds a signature: of the sum of a row's different terms, by weight, the sides of random planes, less what is usual."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normals = np.random.default_rng(17).standard_normal((len(seen), PLANES)).astype(np.float32)
+        normals *= idf(seen, total)[:, None].astype(np.float32)
+        normals -= (seen @ normals / max(1, seen.sum())).astype(np.float32)
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(2)]
+            sums = np.array([normals[np.unique(x)].sum(axis=0) for x in own]).reshape(len(own), PLANES)
+            sig = (sums > 0) @ (1 << np.arange(PLANES)[::-1])
+            same = [xxhash.xxh3_64_intdigest(x) >> 1 for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int32()), pa.array(same, pa.int64()), *batch.columns], names=["sig", "same", "uid", "doc_id", "ids"])
+
+    return run
+
+
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(path: str, window: int, shard_chars: int, end: int, with_ids: bool):
+def _pack(kind: str, window: int, shard_tokens: int, shard_docs: int, seen: np.ndarray, total: int, mean: float, with_ids: bool):
+    """Rows (same, doc_id, ids) in the order in which shards are formed."""
     schema = pa.schema(FIELDS + ([("ids", pa.binary())] if with_ids else []))
-    tail = np.array([end], "<u4").tobytes()
 
-    def shard(doc_ids: list, tokens: list[bytes], terms: list[np.ndarray], base: int) -> tuple[list[pa.RecordBatch], int]:
-        lengths = np.array([len(t) // 4 for t in tokens], np.int64)
-        sequences = order_and_cut(lengths, Index(terms), window)
+    def shard(doc_ids: list, same: list, ids: list[np.ndarray], base: int) -> tuple[list[pa.RecordBatch], int]:
+        sequences = order_and_cut(np.array([len(x) for x in ids], np.int64), Index(ids, seen, total, mean), np.array(same), window)
         rows = []
         for k, pieces in enumerate(sequences):
             offset = 0
             for doc, start, length in pieces:
-                own = tokens[doc][4 * start : 4 * (start + length)]
-                rows.append((doc_ids[doc], start, length, zlib.crc32(own), int(lengths[doc]), base + k, offset, *([own] if with_ids else [])))
+                own = ids[doc][start : start + length].astype("<u4").tobytes()
+                rows.append((doc_ids[doc], start, length, zlib.crc32(own), len(ids[doc]), base + k, offset, *([own] if with_ids else [])))
                 offset += length
         out = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 5000]), schema, strict=True)], schema=schema) for i in range(0, len(rows), 5000)]
         return out, base + len(sequences)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
-        doc_ids, tokens, terms, held = [], [], [], 0
+        doc_ids, same, ids, held = [], [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = part.column(1).to_pylist()
-                if path.endswith(".model"):
-                    found = [([np.array(x, "<u4").tobytes()], t.split(" ")) for x, t in zip(load(path).encode(texts, num_threads=1), texts, strict=True)]
-                else:
-                    found = pieces_of(path).of(texts)
-                for doc_id, text, (values, words) in zip(part.column(0).to_pylist(), texts, found, strict=True):
-                    doc_ids.append(doc_id)
-                    tokens.append(b"".join(values) + tail)
-                    terms.append(np.fromiter(map(hash, words), np.int64, len(words)))
-                    held += len(text)
-                    if held >= shard_chars:
-                        out, base = shard(doc_ids, tokens, terms, base)
-                        yield from out
-                        doc_ids, tokens, terms, held = [], [], [], 0
+            for hash_, doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                doc_ids.append(doc_id)
+                same.append(hash_)
+                ids.append(np.frombuffer(own, kind))
+                held += len(ids[-1])
+                if held >= shard_tokens or len(ids) >= shard_docs:
+                    out, base = shard(doc_ids, same, ids, base)
+                    yield from out
+                    doc_ids, same, ids, held = [], [], [], 0
         if doc_ids:
-            yield from shard(doc_ids, tokens, terms, base)[0]
+            yield from shard(doc_ids, same, ids, base)[0]
 
     return run
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_chars: int = SHARD_CHARS, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS, end: int = END, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids on demand.
 
     A document is its ids and the id ``end``; null and empty texts are that id alone. A document may
     lie in several sequences, one piece behind the other. Repeated rows are packed each. An empty
-    table gives none; other columns are not read. Documents that share no term with a window's seed
-    follow in the order they were read.
+    table gives none; other columns are not read. Documents of equal score follow in the order of their
+    shard; so do those that may not follow yet, at the next seed.
     """
+    spark = docs.sparkSession
+    if path.endswith(".model"):
+        terms = load(path).get_piece_size()
+    else:
+        terms = max(load(path).get_vocab(with_added_tokens=True).values(), default=0) + 1
+    terms = max(terms, end + 1)
+    kind = "<u2" if terms <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_pack(path, window, shard_chars, end, with_ids), DDL + (", ids binary" if with_ids else ""))
+    own = staged(rows.mapInArrow(_ids(path, end, kind), TOKENS_DDL), "pack-ids")
+    total, tokens = own.agg(F.count("*"), F.sum(F.octet_length("ids"))).first()
+    mean = (tokens or 0) / np.dtype(kind).itemsize / max(1, total)
+    blocks = own.select("ids").mapInArrow(_seen(kind, terms), "block int, seen binary").repartition(-(-terms // BLOCK), "block")
+    seen = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64)
+    for r in blocks.mapInArrow(_added, "block int, seen binary").collect():
+        seen[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["seen"], np.int64)
+    signed = staged(own.mapInArrow(_signed(kind, seen, total), f"sig int, same long, {TOKENS_DDL}"), "pack-signed")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = signed.repartitionByRange(parts, "sig", "same", "uid").sortWithinPartitions("sig", "same", "uid").select("same", "doc_id", "ids")
+    return dealt.mapInArrow(_pack(kind, window, shard_tokens, shard_docs, seen, total, mean, with_ids), DDL + (", ids binary" if with_ids else ""))
