@@ -57,6 +57,36 @@ def test_quality(labelled):
     assert quality.quality(docs.limit(0), labels, host=F.col("source"), path=F.col("lang")).count() == 0
 
 
+def test_score_against_plain_loops(labelled, monkeypatch):
+    """All of a document's score but the classifier's evidence, from sums over the other documents."""
+    docs, labels = labelled
+    parts = []
+    real = quality.shrunk
+    monkeypatch.setattr(quality, "shrunk", lambda e: parts.append((real(e), e)) or parts[-1][0])
+    found = quality.quality(docs, labels, host=F.col("source"), path=F.concat(F.col("source"), (F.col("doc_id") % 50).cast("string"))).collect()
+    strengths = parts[0][0].first()
+    rows = [(r["host"], r["path"], r["evidence"]) for r in parts[0][1].collect()]
+    prior = np.mean([e for _, _, e in rows])
+    odds = lambda p: np.log(max(p, 1e-9) / max(1 - p, 1e-9))
+    expected = []
+    for i, (host, path, e) in enumerate(rows):
+        host_others = [x for j, (h, _, x) in enumerate(rows) if h == host and j != i]
+        path_others = [x for j, (h, p, x) in enumerate(rows) if h == host and p == path and j != i]
+        at_host = (sum(host_others) + strengths["k_host"] * prior) / (len(host_others) + strengths["k_host"])
+        at_path = (sum(path_others) + strengths["k_path"] * at_host) / (len(path_others) + strengths["k_path"])
+        expected.append(1 / (1 + np.exp(-(odds(e) + odds(at_path) - odds(prior)))))
+    assert sorted(r["score"] for r in found) == pytest.approx(sorted(expected), abs=1e-9)
+
+
+def test_labels_that_clash_and_repeated_identifiers(spark):
+    from tracewell.llm import chargrams
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "two"), (3, "three"), (4, "four")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (3, 0), (3, 1), (None, 1), (4, 7)], "doc_id long, toxic int")
+    assert {(r["_id"], r["_label"]) for r in chargrams.sample(labels, "doc_id", "toxic", F.lit(True), 10).collect()} == {(1, 0), (2, 1)}
+    assert chargrams.fit(docs, labels, "toxic", F.lit(True), most=1).bias == pytest.approx(chargrams.fit(docs, labels, "toxic", F.lit(True)).bias)
+
+
 def test_sparse_sites_are_drawn_to_the_prior(spark):
     rows = [("big", "a", 0.9 if i % 10 else 0.7) for i in range(200)] + [("poor", "a", 0.2 + 0.1 * (i % 3)) for i in range(200)] + [("tiny", "a", 0.1)]
     out = {r["host"]: r for r in quality.shrunk(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}

@@ -116,7 +116,25 @@ def test_ngram_join(docs, rows, empty, monkeypatch, small, block):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == expected
     if small == 64:
         assert ngram_join.ngram_join(empty).count() == 0
-        assert ngram_join.one_of_each(docs).columns == docs.columns
+        left = ngram_join.one_of_each(docs)
+        blank = [r for i, r in enumerate(rows) if not sets[i]]
+        assert left.columns == docs.columns
+        assert sorted(r["doc_id"] for r in left.collect()) == sorted([*(least[top(i)] for i in {top(k) for k in range(len(rows))} if sets[i]), *(r[0] for r in blank)])
+
+
+def test_one_row_stays_of_rows_with_one_identifier(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, a + " more"), (1, b), (2, b + " x"), (None, a + " y"), (3, None), (3, None), (4, " ")]
+    left = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in left) == [1, 1, 3, 3, 4]
+    assert {(r["text"] or " ")[0] for r in left if r["doc_id"] == 1} == {"a", "b"}
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HUB", 3)
+    edges = [(f"n{i:02}", "n00") for i in range(1, 30)] + [(f"m{i}", f"m{i + 1}") for i in range(6)] + [("z1", "z0")]
+    found = {r["node"]: r["label"] for r in ngram_join.connected(spark.createDataFrame(edges, "key string, root string")).collect()}
+    assert found == {x: x[0] + ("00" if x[0] == "n" else "0") for e in edges for x in e}
 
 
 def test_token_counts(docs, rows, empty):

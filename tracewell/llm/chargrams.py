@@ -179,8 +179,9 @@ def _gradients(value: np.ndarray, weight: tuple[float, float], point: np.ndarray
 
 
 def sample(labels: DataFrame, id_col: str, label_col: str, use: Column, most: int) -> DataFrame:
-    """Up to ``most`` labelled identifiers of either label, the first by hash."""
-    good = labels.filter(use & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropDuplicates(["_id"])
+    """Up to ``most`` labelled identifiers of either label, the first by hash; one with both labels is not used."""
+    good = labels.filter(use & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
+    good = good.agg(F.min(label_col).cast("int").alias("_label"), F.max(label_col).alias("_other")).filter(F.col("_label") == F.col("_other")).drop("_other")
     pick = lambda v: good.filter(F.col("_label") == v).orderBy(F.xxhash64("_id"), "_id").limit(most)
     return pick(0).union(pick(1))
 
@@ -188,11 +189,12 @@ def sample(labels: DataFrame, id_col: str, label_col: str, use: Column, most: in
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, least_z: float = 4.0, orders: tuple[int, ...] = ORDERS) -> Model:
     """Fits on at most ``most`` rows of each label among those that ``use`` allows (a documented bound).
 
+    Of rows with one identifier the least text is used, so the bound holds however often one occurs.
     All n-grams that stand out are kept. Without rows of both labels the score is the label's share alone.
     """
     parts = 12
     picked = hinted(sample(labels, id_col, label_col, use, most))
-    rows = staged(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id").select("_text", "_label").repartition(parts), "grams-sample")
+    rows = staged(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label").repartition(parts, F.xxhash64("_id")), "grams-sample")
     of = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     no, yes = of.get(0, 0), of.get(1, 0)
     if not no or not yes:

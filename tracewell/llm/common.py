@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
         found = spark.conf.get("tracewell.staging.dir", "")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: the executors need a folder that they share with the driver")
     if not found:
         found = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("tracewell.staging.dir", found)
@@ -41,7 +43,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _paths(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._in_shared_folder = True
+    return out
 
 
 _STAGED: dict[str, list[str]] = {}
@@ -72,12 +76,14 @@ def fold(doc_id: Column, of: int) -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if df has at most so many rows; reads no more than that to tell."""
-    return df.limit(rows + 1).count() <= rows
+    """True if df, a staged table, has at most so many rows; its files' footers tell."""
+    return df.count() <= rows
 
 
 def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is checked to be small, else as it is."""
+    """df with a broadcast hint if it is checked to be small, else as it is; it is staged for that, so that its plan runs once."""
+    if not getattr(df, "_in_shared_folder", False):
+        df = staged(df, "checked")
     return F.broadcast(df) if small(df, rows) else df
 
 

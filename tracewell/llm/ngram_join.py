@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .common import hinted, staged
 from .shingles import MinHash, bands_for, digest, grams
 
-SMALL, BLOCK = 64, 256
+SMALL, BLOCK, HUB = 64, 256, 200
 
-SIG = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("empty", pa.bool_()), ("bands", pa.list_(pa.int64()))])
-SIG_DDL = "doc_id long, key binary, empty boolean, bands array<long>"
+SIG = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("key", pa.binary()), ("empty", pa.bool_()), ("bands", pa.list_(pa.int64()))])
+SIG_DDL = "doc_id long, th long, key binary, empty boolean, bands array<long>"
 
 
 def _signatures(n: int, bands: int, rows: int):
@@ -32,13 +32,13 @@ def _signatures(n: int, bands: int, rows: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                words = [(t or b"").split() for t in part.column(1).to_pylist()]
+                words = [(t or b"").split() for t in part.column(2).to_pylist()]
                 found = [grams(w, n) for w in words]
                 some = [i for i, g in enumerate(found) if len(g)]
                 sigs: list = [None] * len(found)
                 for i, s in zip(some, hashes.of([found[i] for i in some]).view(np.int64), strict=True):
                     sigs[i] = s
-                cols = [part.column(0), pa.array([digest(w) for w in words], pa.binary()), pa.array([not len(g) for g in found]), pa.array(sigs, pa.list_(pa.int64()))]
+                cols = [part.column(0), part.column(1), pa.array([digest(w) for w in words], pa.binary()), pa.array([not len(g) for g in found]), pa.array(sigs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, schema=SIG)
 
     return run
@@ -149,15 +149,25 @@ def _verify(threshold: float):
 
 
 def connected(edges: DataFrame, a: str = "key", b: str = "root") -> DataFrame:
-    """node, label: the smallest node of its component. Smallest labels spread over edges and are shortened each round."""
-    both = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).filter("u <> v").distinct(), "cc-edges")
+    """node, label: the smallest node of its component. Smallest labels spread over edges and are shortened each round.
+
+    The edges of a node with very many are dealt out by salts, and its label goes to each.
+    """
+    both = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).filter("u <> v").distinct(), "cc-pairs")
+    hubs = both.groupBy("v").agg(F.ceil(F.count("*") / HUB).cast("int").alias("salts")).filter("salts > 1").withColumnRenamed("v", "hub")
+    hubs = hinted(hubs)
+    salts = F.coalesce("salts", F.lit(1))
+    both = staged(both.join(hubs, F.col("v") == F.col("hub"), "left").select("u", "v", F.pmod(F.xxhash64("u"), salts).cast("int").alias("salt")), "cc-edges")
+    dealt = lambda labels, node: labels.join(hubs, F.col(node) == F.col("hub"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("hub", "salts")
     labels = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "cc-labels")
     while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
+        near = both.join(dealt(labels, "node"), (F.col("v") == F.col("node")) & (F.col("salt") == F.col("_salt"))).groupBy("u").agg(F.min("label").alias("near"))
         new = labels.join(near, F.col("node") == F.col("u"), "left").select("node", "label", F.least("label", "near").alias("to"))
         new = staged(new, "cc-spread")
         jump = new.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
-        nxt = staged(new.join(jump, F.col("to") == F.col("_n"), "left").select("node", F.col("label").alias("was"), F.least("to", "_to").alias("label")), "cc-labels")
+        jump = dealt(jump, "_n")
+        to_salt = new.join(hubs, F.col("to") == F.col("hub"), "left").withColumn("_own", F.pmod(F.xxhash64("node"), salts).cast("int"))
+        nxt = staged(to_salt.join(jump, (F.col("to") == F.col("_n")) & (F.col("_own") == F.col("_salt")), "left").select("node", F.col("label").alias("was"), F.least("to", "_to").alias("label")), "cc-labels")
         labels = nxt.select("node", "label")
         if nxt.filter("was <> label").isEmpty():
             return labels
@@ -173,12 +183,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pair at the threshold is found with the given recall, more similar ones with more. An empty table
     gives no rows; other columns are not read.
     """
+    sig, classes = _classed(docs, id_col, text_col, threshold, recall, n)
+    out = sig.select("doc_id", "key", "empty").join(classes, "key", "left")
+    none = lambda c, v: F.when(F.col("empty"), v).otherwise(F.col(c)).alias(c)
+    return out.select("doc_id", none("class_id", F.col("doc_id")), none("n_links", F.lit(0)), none("n_text_links", F.lit(0)), none("copies", F.lit(1)))
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's text, and every text's class with ``lead``: the row (identifier, hash of the text) that comes first in it."""
     bands, rows = bands_for(threshold, recall)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t"))
     sig = staged(ids.mapInArrow(_signatures(n, bands, rows), SIG_DDL), "ngram-sig")
-    reps = sig.filter("not empty").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    reps = sig.filter("not empty").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
     reps = staged(reps, "ngram-reps")
     spots = reps.select("key", F.posexplode("bands").alias("band", "hash"))
     full = spots.groupBy("band", "hash").agg(F.count("*").alias("m")).filter("m > 1")
@@ -205,15 +223,27 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counts = links.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     labels = connected(links)
-    classes = reps.select("key", "first_id", "copies").join(labels, F.col("key") == F.col("node"), "left").join(counts, "key", "left")
-    least = classes.filter("label is not null").groupBy("label").agg(F.min("first_id").alias("class_first"))
-    classes = classes.join(least, "label", "left").select("key", F.coalesce("class_first", "first_id").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    out = sig.select("doc_id", "key", "empty").join(staged(classes, "ngram-classes"), "key", "left")
-    none = lambda c, v: F.when(F.col("empty"), v).otherwise(F.col(c)).alias(c)
-    return out.select("doc_id", none("class_id", F.col("doc_id")), none("n_links", F.lit(0)), none("n_text_links", F.lit(0)), none("copies", F.lit(1)))
+    classes = reps.select("key", "first_id", "lead", "copies").join(labels, F.col("key") == F.col("node"), "left").join(counts, "key", "left")
+    least = classes.filter("label is not null").groupBy("label").agg(F.min("first_id").alias("class_first"), F.min("lead").alias("class_lead"))
+    classes = classes.join(least, "label", "left").select("key", F.coalesce("class_first", "first_id").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", F.coalesce("class_lead", "lead").alias("lead"))
+    return sig, staged(classes, "ngram-classes")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """docs without the rows whose identifier leads no class; their columns as they were."""
-    kept = ngram_join(docs, id_col, text_col, threshold).filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_lead")).distinct()
-    return docs.join(hinted(staged(kept, "ngram-kept")), F.col(id_col).cast("long").eqNullSafe(F.col("_lead")), "left_semi")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9995, n: int = 5) -> DataFrame:
+    """docs with one row of each class, the one with the smallest identifier, then by a hash of its text; columns as they were.
+
+    Rows without words are a class each and all stay. Rows alike in identifier and text are one row.
+    """
+    sig, classes = _classed(docs, id_col, text_col, threshold, recall, n)
+    leads = classes.select(F.col("lead.doc_id").alias("_lead_id"), F.col("lead.th").alias("_lead_th"))
+    leads = staged(leads.union(sig.filter("empty").select("doc_id", "th")).distinct(), "ngram-kept")
+    again = sig.filter("not empty").groupBy("doc_id", "th").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_lead_id"), F.col("th").alias("_lead_th"))
+    again = staged(again, "ngram-repeated")
+    is_one = F.col(id_col).cast("long").eqNullSafe(F.col("_lead_id")) & (F.xxhash64(text_col) == F.col("_lead_th"))
+    if again.isEmpty():
+        return docs.join(hinted(leads), is_one, "left_semi")
+    once = docs.join(hinted(staged(leads.exceptAll(again), "ngram-once")), is_one, "left_semi")
+    repeated = docs.join(hinted(staged(leads.intersect(again), "ngram-repeated")), is_one, "left_semi")
+    text_hash = F.xxhash64(text_col)
+    first = repeated.withColumn("_one_th", text_hash).dropDuplicates([id_col, "_one_th"]).drop("_one_th")
+    return once.unionByName(first)
