@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -120,10 +121,8 @@ def counts(path: str) -> Pieces:
     return _PIECES[path, "n"]
 
 
-def ids(path: str) -> Pieces:
-    """Kept by worker process: a piece's ids as little-endian unsigned 32-bit numbers."""
-    if (path, "ids") not in _PIECES:
-        from array import array
-
-        _PIECES[path, "ids"] = Pieces(path, lambda x: array("I", x).tobytes())
-    return _PIECES[path, "ids"]
+def ids(path: str, code: str = "I") -> Pieces:
+    """Kept by worker process: a piece's ids as little-endian unsigned numbers of 32 bits, or of 16 with the code H."""
+    if (path, code) not in _PIECES:
+        _PIECES[path, code] = Pieces(path, lambda x: array(code, x).tobytes())
+    return _PIECES[path, code]

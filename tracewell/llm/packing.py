@@ -145,40 +145,42 @@ def order_and_cut(lengths: np.ndarray, index: Index, same: np.ndarray, window: i
 TOKENS_DDL = "uid long, doc_id long, ids binary"
 
 
-def _ids(path: str, end: int, kind: str):
-    """Rows (doc_id, text) to their ids, the last of them ``end``."""
+class Different:
+    """The different terms of a document, in order."""
+
+    def __init__(self, terms: int):
+        self.mark = np.zeros(terms, bool)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        self.mark[ids] = True
+        out = np.flatnonzero(self.mark)
+        self.mark[out] = False
+        return out
+
+
+def _ids(path: str, end: int, kind: str, terms: int):
+    """Rows (doc_id, text) to their ids, the last of them ``end``; behind them, with negative uid, in how many of the
+    task's rows each term occurs, in blocks of terms."""
     tail = np.array([end], kind).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
+        seen, different = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64), Different(terms)
+        out = lambda uids, doc_ids, blobs: pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), doc_ids, pa.array(blobs, pa.binary())], names=["uid", "doc_id", "ids"])
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = part.column(1).to_pylist()
                 if path.endswith(".model"):
-                    found = [np.array(x, kind).tobytes() for x in load(path).encode(texts, num_threads=1)]
+                    found = [np.array(x, kind).tobytes() + tail for x in load(path).encode(texts, num_threads=1)]
                 else:
-                    found = [b"".join(values) for values, _ in pieces_of(path).of(texts)]
-                    if kind != "<u4":
-                        found = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(texts))), part.column(0), pa.array([x + tail for x in found], pa.binary())], names=["uid", "doc_id", "ids"])
+                    found = [b"".join([*values, tail]) for values, _ in pieces_of(path, "H" if kind == "<u2" else "I").of(texts)]
+                for x in found:
+                    seen[different.of(np.frombuffer(x, kind))] += 1
+                yield out(np.arange(uid, uid + len(texts)), part.column(0), found)
                 uid += len(texts)
-
-    return run
-
-
-def _seen(kind: str, terms: int):
-    """Of a task's rows: in how many each term occurs, in blocks of terms."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                seen[np.unique(np.frombuffer(x.as_buffer(), kind))] += 1
-        for block in range(len(seen) // BLOCK):
-            part = seen[block * BLOCK : (block + 1) * BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "seen"])
+        blocks = [k for k in range(len(seen) // BLOCK) if seen[k * BLOCK : (k + 1) * BLOCK].any()]
+        yield out([-k - 1 for k in blocks], pa.nulls(len(blocks), pa.int64()), [seen[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in blocks])
 
     return run
 
@@ -199,9 +201,10 @@ def _signed(kind: str, seen: np.ndarray, total: int):
         normals = np.random.default_rng(17).standard_normal((len(seen), PLANES)).astype(np.float32)
         normals *= idf(seen, total)[:, None].astype(np.float32)
         normals -= (seen @ normals / max(1, seen.sum())).astype(np.float32)
+        different = Different(len(seen))
         for batch in batches:
             own = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(2)]
-            sums = np.array([normals[np.unique(x)].sum(axis=0) for x in own]).reshape(len(own), PLANES)
+            sums = np.array([normals[different.of(x)].sum(axis=0) for x in own]).reshape(len(own), PLANES)
             sig = (sums > 0) @ (1 << np.arange(PLANES)[::-1])
             same = [xxhash.xxh3_64_intdigest(x) >> 1 for x in own]
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int32()), pa.array(same, pa.int64()), *batch.columns], names=["sig", "same", "uid", "doc_id", "ids"])
@@ -264,10 +267,11 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     terms = max(terms, end + 1)
     kind = "<u2" if terms <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = staged(rows.mapInArrow(_ids(path, end, kind), TOKENS_DDL), "pack-ids")
+    both = staged(rows.mapInArrow(_ids(path, end, kind, terms), TOKENS_DDL), "pack-ids")
+    own = both.filter("uid >= 0")
     total, tokens = own.agg(F.count("*"), F.sum(F.octet_length("ids"))).first()
     mean = (tokens or 0) / np.dtype(kind).itemsize / max(1, total)
-    blocks = own.select("ids").mapInArrow(_seen(kind, terms), "block int, seen binary").repartition(-(-terms // BLOCK), "block")
+    blocks = both.filter("uid < 0").select((-F.col("uid") - 1).cast("int").alias("block"), "ids").repartition(-(-terms // BLOCK), "block")
     seen = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64)
     for r in blocks.mapInArrow(_added, "block int, seen binary").collect():
         seen[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["seen"], np.int64)
