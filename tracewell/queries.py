@@ -121,6 +121,183 @@ k AS (SELECT *, row_number() OVER (PARTITION BY stmt, target_column, origin_colu
 SELECT stmt, idx, expression, target_column, origin_column FROM k WHERE n = 1"""
 
 
+# ---- statements made from rows: a customer or an order is a statement or a query, its orders are the branches,
+# ---- its line items the elements, references and origins
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each order and line number: o_orderkey, o_custkey, o_orderstatus, n, flag, status."""
+    items = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    return items.join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "o_custkey", "o_orderstatus", F.col("l_linenumber").alias("n"), "flag", "status")
+
+
+_ITEMS = """i AS (SELECT o_orderkey, o_custkey, o_orderstatus, l_linenumber AS n, min(l_returnflag) AS flag, min(l_linestatus) AS status
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderstatus, l_linenumber)"""
+
+
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(resolve.Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return _table(spark, sf_dir, "orders").select(_key("o_custkey").alias("query"), place.alias("branch"), _key("o_orderkey").alias("scope"))
+
+
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as projected elements: every fourth has two origins, returned ones have no name."""
+    rows = _items(spark, sf_dir).withColumn("origin_ord", F.explode(F.when(F.col("n") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    name = F.when(F.col("flag") != "R", F.concat("flag", "status"))
+    return rows.select(_key("o_orderkey").alias("scope"), F.col("n").alias("proj"), F.lit(0).alias("el"), F.when(F.col("status") == "F", "t.x").otherwise("f(x)").alias("expression"), name.alias("output_column"), "origin_ord", F.lit("part").alias("origin_table"), F.concat(F.lit("p"), _key("n"), F.lit("_"), _key("origin_ord")).alias("origin_column"))
+
+
+def query_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query of several branches shows: of elements of one name the first, unnamed ones by their only origin."""
+    out = resolve.query_index(_outputs(spark, sf_dir), _branches(spark, sf_dir))
+    return out.select("query", "name", F.col("pos.branch").alias("branch"), F.col("pos.proj").alias("proj"), "origin_ord", "origin_table", "origin_column")
+
+
+_OUTPUTS = f"""{_ITEMS},
+e AS (SELECT CAST(o_custkey AS VARCHAR) AS query, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS branch, n AS proj, CASE WHEN flag <> 'R' THEN flag || status END AS output_column,
+    status, flag, o_custkey, o_orderkey, CASE WHEN n % 4 = 0 THEN 2 ELSE 1 END AS origins FROM i),
+ord AS (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place FROM orders),
+x AS (SELECT e.query, place AS branch, proj, output_column, status, origins, CAST(k AS INTEGER) AS origin_ord, 'p' || proj || '_' || k AS origin_column
+  FROM e JOIN ord USING (o_custkey, o_orderkey), unnest(range(origins)) AS u(k))"""
+_QUERY_COLUMNS_SQL = f"""WITH {_OUTPUTS},
+n AS (SELECT *, coalesce(output_column, CASE WHEN origins = 1 AND status = 'F' THEN origin_column END) AS name FROM x),
+f AS (SELECT *, rank() OVER (PARTITION BY query, name ORDER BY branch, proj) AS r FROM n WHERE name IS NOT NULL)
+SELECT query, name, branch, proj, origin_ord, 'part' AS origin_table, origin_column FROM f WHERE r = 1"""
+
+
+def _statements(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    listed = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("AF"), F.lit("NO"), F.lit("AF"))).otherwise(F.array().cast("array<string>"))
+    return _table(spark, sf_dir, "customer").select(F.lit("rows").alias("file"), F.col("c_custkey").alias("stmt"), F.lit(kind).alias("kind"), F.lit("sales").alias("target_table"), listed.alias("target_cols"), _key("c_custkey").alias("root"))
+
+
+def created_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE TABLE AS of each customer's orders: every origin of every element, numbered through the branches."""
+    rows = records.elements(_statements(spark, sf_dir, "ctas"), _outputs(spark, sf_dir), _branches(spark, sf_dir))
+    return records.created(rows).select("stmt", "idx", "origin_ord", "target_table", "target_column", "origin_table", "origin_column")
+
+
+_ELEMENTS = f"""{_OUTPUTS}, d AS (SELECT *, CAST(query AS BIGINT) AS stmt, CAST(dense_rank() OVER (PARTITION BY query ORDER BY branch, proj) - 1 AS INTEGER) AS idx, 'p' || proj || '_0' AS first_column FROM x)"""
+_CREATED_SQL = f"WITH {_ELEMENTS} SELECT stmt, idx, origin_ord, 'sales' AS target_table, coalesce(output_column, first_column) AS target_column, 'part' AS origin_table, origin_column FROM d"
+
+
+def inserted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT of each customer's orders, every third with a column list."""
+    rows = records.elements(_statements(spark, sf_dir, "insert"), _outputs(spark, sf_dir), _branches(spark, sf_dir))
+    schema = spark.createDataFrame([("rows", "sales", c, i) for i, c in enumerate(("AF", "NO", "p1_0"))], "file string, table_name string, column_name string, ordinal int")
+    return records.inserted(rows, schema).select("stmt", "idx", "origin_ord", "target_column", "origin_column")
+
+
+_INSERTED_SQL = f"""WITH {_ELEMENTS},
+made AS (SELECT stmt, list(name ORDER BY idx) AS cols FROM (SELECT stmt, idx, coalesce(output_column, first_column) AS name FROM d WHERE origin_ord = 0) m WHERE name IN ('AF', 'NO', 'p1_0') GROUP BY stmt),
+c AS (SELECT d.*, CASE WHEN d.stmt % 3 = 0 THEN ['AF', 'NO', 'AF'] ELSE coalesce(made.cols, CAST([] AS VARCHAR[])) END AS cols FROM d LEFT JOIN made ON made.stmt = d.stmt),
+a AS (SELECT *, cols[idx + 1] AS spot FROM c),
+t AS (SELECT *, CASE WHEN idx < len(cols) THEN CASE WHEN spot = first_column OR spot = output_column THEN spot END ELSE output_column END AS placed FROM a)
+SELECT stmt, idx, origin_ord, coalesce(placed, CASE WHEN list_contains(cols, output_column) THEN output_column END) AS target_column, origin_column FROM t
+WHERE coalesce(placed, CASE WHEN list_contains(cols, output_column) THEN output_column END) IS NOT NULL"""
+
+
+def assigned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPDATE ... FROM of finished orders, MERGE of the others: a line item is an assignment that names one column."""
+    rows = _items(spark, sf_dir)
+    key = [F.lit("rows").alias("file"), F.col("o_orderkey").alias("stmt")]
+    statements = _table(spark, sf_dir, "orders").select(*key, F.when(F.col("o_orderstatus") == "F", "update").otherwise("merge").alias("kind"), F.lit("main.orders").alias("target_table"))
+    target = F.concat(F.lit("c"), _key("n"))
+    assignments = rows.select(*key, "n", target.alias("target_column"), F.col("status").alias("expression"), F.when(F.col("n") % 2 == 0, "lineitem").alias("from_table"))
+    qualifier = F.when(F.col("flag") == "A", "orders").when(F.col("flag") == "R", "lineitem")
+    name = F.when(F.col("status") == "F", "o_totalprice").when(F.col("n") % 3 == 0, "l_tax").otherwise("unheard")
+    refs = rows.select(*key, "n", F.lit(0).alias("ref_ord"), qualifier.alias("qualifier"), name.alias("name"))
+    schema = spark.createDataFrame([("rows", "main.orders", "o_totalprice", 0), ("rows", "lineitem", "l_tax", 0)], "file string, table_name string, column_name string, ordinal int")
+    return records.assigned(statements, assignments, refs, schema).select("stmt", "idx", "kind", "target_column", "origin_table", "origin_column")
+
+
+_ASSIGNED_SQL = f"""WITH {_ITEMS},
+r AS (SELECT *, o_orderstatus = 'F' AS up, n % 2 = 0 AS joined, CASE WHEN status = 'F' THEN 'o_totalprice' WHEN n % 3 = 0 THEN 'l_tax' ELSE 'unheard' END AS name FROM i)
+SELECT o_orderkey AS stmt, n AS idx, CASE WHEN up THEN 'update' ELSE 'merge' END AS kind, 'c' || n AS target_column, name AS origin_column,
+  CASE WHEN up AND flag = 'A' THEN 'main.orders' WHEN up AND flag = 'R' AND joined THEN 'lineitem' WHEN name = 'o_totalprice' THEN 'main.orders' WHEN up AND joined AND name = 'l_tax' THEN 'lineitem' END AS origin_table FROM r"""
+
+
+def expression_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is an expression: what its nested SELECT (the customer) comes from, then its columns (the line items)."""
+    orders, rows = _table(spark, sf_dir, "orders"), _items(spark, sf_dir)
+    scope = _key("o_orderkey").alias("scope")
+    projections = orders.select(scope, F.lit(0).alias("proj"), F.lit("expression").alias("kind"), F.lit("v").alias("out_name"), F.lit(None).cast("string").alias("qualifier"), F.lit("a + b").alias("expression"), F.lit(False).alias("is_column"))
+    table = F.when(F.col("status") == "F", "part").when(F.col("flag") == "A", "supplier")
+    answers = rows.select(scope, F.lit(0).alias("proj"), F.col("n").alias("ref_ord"), F.lit(0).alias("ans_ord"), table.alias("origin_table"), F.col("flag").alias("origin_column"))
+    subs = orders.filter("o_orderkey % 2 = 0").select(scope, F.lit(0).alias("proj"), F.lit(0).alias("sub_ord"), F.concat(F.lit("c"), _key("o_custkey")).alias("sub_scope"))
+    outputs = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), _key("c_custkey")).alias("scope"), F.lit(0).alias("proj"), F.lit(0).alias("el"), F.lit("x").alias("expression"), F.lit("x").alias("output_column"), F.lit(0).alias("origin_ord"), F.when(F.col("c_custkey") % 5 > 0, "customer").alias("origin_table"), F.when(F.col("c_custkey") % 5 > 0, F.substring("c_mktsegment", 1, 1)).alias("origin_column"))
+    return resolve.projection_origins(projections, answers, subs, outputs).select("scope", "output_column", "origin_ord", "origin_table", "origin_column")
+
+
+_ORIGINS_SQL = f"""WITH {_ITEMS},
+a AS (SELECT o_orderkey, 1 AS part, n AS k, CASE WHEN status = 'F' THEN 'part' WHEN flag = 'A' THEN 'supplier' END AS t, flag AS c FROM i
+  UNION ALL SELECT o_orderkey, 0, 0, 'customer', substr(c_mktsegment, 1, 1) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 0 AND c_custkey % 5 > 0),
+g AS (SELECT o_orderkey, t, c, min(part * 1000 + k) AS place FROM a GROUP BY o_orderkey, t, c),
+w AS (SELECT *, bool_or(t IS NOT NULL) OVER (PARTITION BY o_orderkey, c) AS tabled, min(place) OVER (PARTITION BY o_orderkey, c) AS first FROM g),
+o AS (SELECT o_orderkey, t, c, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY first, place) - 1 AS INTEGER) AS k FROM w WHERE t IS NOT NULL OR NOT tabled)
+SELECT CAST(orders.o_orderkey AS VARCHAR) AS scope, 'v' AS output_column, coalesce(k, 0) AS origin_ord, t AS origin_table, c AS origin_column FROM orders LEFT JOIN o USING (o_orderkey)"""
+
+
+def _lone_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer is a scope, of four kinds: one table; two tables; a query and a table; two queries."""
+    source = lambda ord_, alias, kind, table=None, child=None: F.struct(F.lit(ord_).alias("src_ord"), F.lit(alias).alias("alias"), F.lit(kind).alias("kind"), F.lit(table).cast("string").alias("table_name"), (F.lit(None) if child is None else child).cast("string").alias("child"))
+    own = _key("c_nationkey")
+    k = F.col("c_custkey") % 4
+    kinds = F.when(k == 0, F.array(source(0, "o", "table", "orders"))).when(k == 1, F.array(source(0, "o", "table", "orders"), source(1, "l", "table", "lineitem")))
+    kinds = kinds.when(k == 2, F.array(source(0, "q", "query", child=own), source(1, "l", "table", "lineitem"))).otherwise(F.array(source(0, "q", "query", child=own), source(1, "r", "query", child=own)))
+    rows = _table(spark, sf_dir, "customer").select(_key("c_custkey").alias("scope"), F.explode(kinds).alias("s"))
+    return rows.select(F.lit("rows").alias("file"), "scope", "s.src_ord", "s.alias", "s.kind", "s.table_name", "s.child", F.array().cast("array<string>").alias("names"))
+
+
+def resolve_lone_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names asked of one source, of the one table whose schema has them, of queries by alias, and of nobody."""
+    scopes = _lone_scopes(spark, sf_dir)
+    schema = spark.createDataFrame([("rows", "orders", "o_totalprice", 0), ("rows", "lineitem", "l_tax", 0), ("rows", "lineitem", "l_quantity", 1)], "file string, table_name string, column_name string, ordinal int")
+    index = _table(spark, sf_dir, "nation").select(_key("n_nationkey").alias("query"), F.lit("shown").alias("name"), F.struct(F.lit(0).alias("branch"), F.lit(0).alias("proj"), F.lit(0).alias("el")).alias("pos"), F.lit(0).alias("origin_ord"), F.lit("nation").alias("origin_table"), F.col("n_name").alias("origin_column"))
+    none = spark.createDataFrame([], _NO_PIVOTS)
+    asked = F.array(*[F.struct(F.lit(i).alias("ref_ord"), F.lit(q).cast("string").alias("qualifier"), F.lit(n).alias("name")) for i, (q, n) in enumerate([(None, "l_tax"), (None, "strange"), ("q", "shown"), ("nobody", "shown"), (None, "shown")])])
+    refs = _table(spark, sf_dir, "customer").select(_key("c_custkey").alias("scope"), F.lit(0).alias("proj"), F.explode(asked).alias("r")).select("scope", "proj", "r.*")
+    out = resolve.resolve_refs(refs, scopes, resolve.source_columns(scopes, schema, index, none), schema, none)
+    return out.select("scope", "ref_ord", "ans_ord", "origin_table", "origin_column")
+
+
+_LONE_SQL = """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS scope, c_custkey % 4 AS k, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+a AS (
+  SELECT scope, 0 AS ref_ord, CASE WHEN k = 0 THEN 'orders' WHEN k IN (1, 2) THEN 'lineitem' END AS origin_table, 'l_tax' AS origin_column FROM c
+  UNION ALL SELECT scope, 1, CASE WHEN k IN (0, 1) THEN 'orders' WHEN k = 2 THEN 'lineitem' END, 'strange' FROM c
+  UNION ALL SELECT scope, 2, CASE WHEN k >= 2 THEN 'nation' END, CASE WHEN k >= 2 THEN n_name ELSE 'shown' END FROM c
+  UNION ALL SELECT scope, 3, NULL, 'shown' FROM c
+  UNION ALL SELECT scope, 4, CASE WHEN k = 0 THEN 'orders' WHEN k = 1 THEN 'orders' WHEN k = 2 THEN 'lineitem' ELSE 'nation' END, CASE WHEN k = 3 THEN n_name ELSE 'shown' END FROM c)
+SELECT scope, ref_ord, 0 AS ans_ord, origin_table, origin_column FROM a UNION ALL SELECT scope, 4, 1, 'nation', n_name FROM c WHERE k = 3"""
+
+
+def resolve_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a table behind a pivot, for each customer: generated ones come from what the aggregate mentions, or from all."""
+    c = _table(spark, sf_dir, "customer")
+    sources = c.select(F.lit("rows").alias("file"), _key("c_custkey").alias("scope"), F.lit(0).alias("src_ord"), F.lit("o").alias("alias"), F.lit("table").alias("kind"), F.lit("orders").alias("table_name"), F.lit(None).cast("string").alias("child"), F.array().cast("array<string>").alias("names"))
+    mentioned = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("o_totalprice"))).otherwise(F.array().cast("array<string>"))
+    pivots = c.filter("c_custkey % 3 > 0").select(_key("c_custkey").alias("scope"), F.lit(0).alias("src_ord"), F.array(F.substring("c_mktsegment", 1, 3), F.lit("o_custkey")).alias("names"), mentioned.alias("refs"))
+    schema = spark.createDataFrame([("rows", "orders", n, i) for i, n in enumerate(("o_orderkey", "o_custkey", "o_totalprice"))], "file string, table_name string, column_name string, ordinal int")
+    out = resolve.source_columns(sources, schema, spark.createDataFrame([], _NO_INDEX), pivots)
+    return out.select("scope", "name", "origin_ord", "origin_table", "origin_column")
+
+
+_PIVOTS_SQL = """WITH b AS (SELECT * FROM (VALUES ('o_orderkey', 0), ('o_custkey', 1), ('o_totalprice', 2)) v(name, k)),
+c AS (SELECT CAST(c_custkey AS VARCHAR) AS scope, c_custkey % 3 > 0 AS pivoted, c_custkey % 2 = 0 AS mentions, substr(c_mktsegment, 1, 3) AS made FROM customer)
+SELECT scope, name, 0 AS origin_ord, 'orders' AS origin_table, name AS origin_column FROM c, b WHERE NOT (pivoted AND name = 'o_custkey')
+UNION ALL SELECT scope, m, CASE WHEN mentions THEN 0 ELSE k END, 'orders', name FROM c, b, unnest([made, 'o_custkey']) AS u(m) WHERE pivoted AND (NOT mentions OR name = 'o_totalprice')"""
+
+
+def records_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a record stands in its statement's result: targets in order of first appearance, then their origins."""
+    rows = _items(spark, sf_dir).select(F.lit("rows").alias("file"), F.col("o_orderkey").alias("stmt"), F.col("n").alias("idx"), F.lit(0).alias("origin_ord"), F.lit("e").alias("expression"), F.col("flag").alias("target_column"), F.lit(None).cast("string").alias("target_table"), F.lit("part").alias("origin_table"), _key("n").alias("origin_column"))
+    place = F.row_number().over(resolve.Window.partitionBy("file", "stmt").orderBy("target_seq", "seq"))
+    return records.tidied(rows).select("stmt", "target_column", "origin_column", place.alias("place"))
+
+
+_ORDER_SQL = f"""WITH {_ITEMS}, f AS (SELECT *, min(n) OVER (PARTITION BY o_orderkey, flag) AS first FROM i)
+SELECT o_orderkey AS stmt, flag AS target_column, CAST(n AS VARCHAR) AS origin_column, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY first, n) AS INTEGER) AS place FROM f"""
+
+
 def update_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     return dml.update(o, F.col("o_orderstatus") == "O", {"o_totalprice": F.col("o_totalprice") * 2, "o_orderstatus": F.lit("P")})
@@ -215,7 +392,15 @@ QUERIES: dict[str, Query] = {
     "chain_cycle_nodes": lambda s, d: chains.cycle_nodes(circular(s, d)).select(F.col("table").alias("table_name"), F.col("column").alias("column_name")),
     "resolve_names": resolve_names,
     "resolve_stars": resolve_stars,
+    "resolve_lone_names": resolve_lone_names,
+    "resolve_query_columns": query_columns,
+    "resolve_origins": expression_origins,
+    "resolve_pivots": resolve_pivots,
     "records_tidied": tidy_records,
+    "records_in_order": records_in_order,
+    "records_created": created_columns,
+    "records_inserted": inserted_columns,
+    "records_assigned": assigned_columns,
     "exec_update": update_orders,
     "exec_merge": merge_customers,
     "exec_insert": insert_suppliers,
@@ -233,7 +418,15 @@ ORACLES: dict[str, str] = {
     "chain_cycle_nodes": "SELECT 'customer' AS table_name, CAST(c_custkey AS VARCHAR) AS column_name FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT DISTINCT 'nation', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey % 5 = 0",
     "resolve_names": _NAMES_SQL,
     "resolve_stars": _STARS_SQL,
+    "resolve_lone_names": _LONE_SQL,
+    "resolve_query_columns": _QUERY_COLUMNS_SQL,
+    "resolve_origins": _ORIGINS_SQL,
+    "resolve_pivots": _PIVOTS_SQL,
     "records_tidied": _TIDY_SQL,
+    "records_in_order": _ORDER_SQL,
+    "records_created": _CREATED_SQL,
+    "records_inserted": _INSERTED_SQL,
+    "records_assigned": _ASSIGNED_SQL,
     "exec_update": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'P' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders",
     "exec_merge": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE c_nationkey + 100 END AS c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
     "exec_insert": "SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier",
