@@ -47,6 +47,9 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["chains", str(tmp_path / "o"), str(tmp_path / "c")]) == 0
     steps = spark.read.csv(str(tmp_path / "c"), header=True).collect()
     assert {(r["source_table"], r["target_table"], r["level_top_to_bottom"]) for r in steps} == {("x", "t", "1"), ("t", None, "2")}
+    assert cli.main(["chains", str(tmp_path / "o"), str(tmp_path / "steps.csv")]) == 0
+    lines = (tmp_path / "steps.csv").read_text().splitlines()
+    assert len(lines) == 1 + len(steps) and lines[0].startswith("source_table,source_column")
     assert cli.main(["chains"]) == 1
 
 

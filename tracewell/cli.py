@@ -1,5 +1,7 @@
-"""python -m tracewell.cli lineage --sql-folder DIR --output DIR [--schema JSON | --schema-file F | --schema-csv F]
-python -m tracewell.cli chains INPUT_CSV OUTPUT_DIR
+"""python -m tracewell.cli lineage --sql-folder DIR --output PATH [--schema JSON | --schema-file F | --schema-csv F] [--mode M]
+python -m tracewell.cli chains INPUT_CSV OUTPUT_PATH
+
+An output path that ends in .csv is one file, any other a folder.
 
 Exit codes: 0 done, 1 a schema that cannot be read or wrong arguments, 2 no SQL files.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sinks
 from .engine import LineageEngine
 from .operators import chains
-from .operators.records import RECORD
+from .operators.records import MODES, RECORD
 from .sources.catalog import catalog_from_csv, catalog_from_json, read_json
 from .sources.scripts import read_lineage, read_scripts
 
@@ -64,7 +66,7 @@ def lineage(spark: SparkSession, args: argparse.Namespace) -> int:
     if scripts.isEmpty():
         log.error("no SQL files in %s", args.sql_folder)
         return 2
-    found = LineageEngine(spark, with_overlays(catalog, args.sql_folder), args.engines.split(",")[0]).extract(scripts)
+    found = LineageEngine(spark, with_overlays(catalog, args.sql_folder), args.engines.split(",")[0], args.mode).extract(scripts)
     if args.show:
         found.show(1000, truncate=False)
     n = sinks.write_csv(found, args.output, RECORD)
@@ -87,6 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     one = kinds.add_parser("lineage")
     for flag, value in (("--sql-folder", "sql"), ("--engines", "spark,hive"), ("--output", "lineage_csv"), ("--schema", None), ("--schema-file", None), ("--schema-csv", None)):
         one.add_argument(flag, default=value)
+    one.add_argument("--mode", default="compat", choices=MODES)
     one.add_argument("--show", action="store_true")
     two = kinds.add_parser("chains")
     two.add_argument("input")

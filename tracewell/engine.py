@@ -14,24 +14,31 @@ from .sources.scripts import read_scripts
 FINAL = "file string, stmt int, seq int, source_table string, source_column string, expression string, target_column string, target_table string"
 
 
-def _wave(relations: dict[str, DataFrame], catalog: DataFrame, wave: int, cut) -> DataFrame:
+def _wave(relations: dict[str, DataFrame], catalog: DataFrame, wave: int, cut, mode: str) -> DataFrame:
     statements = relations["statements"].filter((F.col("wave") == wave) & F.col("error").isNull())
-    own = relations | {"branches": relations["branches"]}
-    outputs = resolve.resolve(own, catalog, cut)
+    refs = relations["refs"] if mode == "compat" else relations["refs"].filter("not inner")
+    outputs = resolve.resolve(relations | {"refs": refs}, catalog, cut)
     rows = records.elements(statements, outputs, relations["branches"])
     keep = ["file", "stmt", "idx", "origin_ord", "expression", "target_column", "target_table", "origin_table", "origin_column"]
-    plain = records.created(rows).select(*keep).unionByName(records.assigned(statements, relations["assignments"], relations["assigned"], catalog).select(*keep))
-    tidy = records.tidied(records.inserted(rows, catalog).select(*keep).unionByName(records.selected(rows).select(*keep)))
+    changed = records.assigned(statements, relations["assignments"], relations["assigned"], catalog, outputs, relations["branches"], mode)
+    plain = records.created(rows, mode).select(*keep).unionByName(changed.select(*keep))
+    tidy = records.tidied(records.inserted(rows, catalog, mode).select(*keep).unionByName(records.selected(rows).select(*keep)))
     order = F.row_number().over(resolve.Window.partitionBy("file", "stmt").orderBy("a", "b"))
     both = plain.select(*keep, F.struct("idx", "origin_ord").alias("a"), F.struct("idx", "origin_ord").alias("b")).unionByName(tidy.select(*keep, F.col("target_seq").alias("a"), F.col("seq").alias("b")))
     return both.select("file", "stmt", (order - 1).alias("seq"), F.col("origin_table").alias("source_table"), F.col("origin_column").alias("source_column"), "expression", "target_column", "target_table")
 
 
 class LineageEngine:
-    """engine.extract(scripts) -> records; catalog rows without a file hold for every script, a script's own go before them."""
+    """engine.extract(scripts) -> records; catalog rows without a file hold for every script, a script's own go before them.
 
-    def __init__(self, spark: SparkSession, catalog: DataFrame | None = None, engine: str = "spark"):
-        self.spark, self.engine = spark, engine.lower()
+    mode: ``compat`` or ``resolved``, see ``records.MODES``; they differ in MERGE, UPDATE ... FROM, INSERT,
+    column lists of views, WITH inside a derived table, and in columns of nested SELECTs, which compat asks of the outer one too.
+    """
+
+    def __init__(self, spark: SparkSession, catalog: DataFrame | None = None, engine: str = "spark", mode: str = "compat"):
+        if mode not in records.MODES:
+            raise ValueError(f"mode is one of {', '.join(records.MODES)}")
+        self.spark, self.engine, self.mode = spark, engine.lower(), mode
         self.catalog = catalog if catalog is not None else spark.createDataFrame([], CATALOG)
 
     _cut = staticmethod(checkpointed)
@@ -48,7 +55,7 @@ class LineageEngine:
 
     def statements(self, scripts: DataFrame) -> dict[str, DataFrame]:
         """The flat relations of scripts (file, text). Texts come to the driver one by one: its parser reads them."""
-        walker = Walker(self.spark)
+        walker = Walker(self.spark, self.mode)
         for row in scripts.select("file", "text").toLocalIterator(prefetchPartitions=True):
             walker.script(row["file"], row["text"])
         return walker.relations()
@@ -67,7 +74,7 @@ class LineageEngine:
         found, created = None, None
         for wave in waves:
             part = relations if len(waves) == 1 else self._of_wave(relations, wave)
-            rows = self._cut(_wave(part, self._cut(self._effective(mentioned, created)), wave, self._cut))
+            rows = self._cut(_wave(part, self._cut(self._effective(mentioned, created)), wave, self._cut, self.mode))
             found = rows if found is None else found.unionByName(rows)
             made = relations["statements"].filter((F.col("wave") == wave) & (F.col("kind") == "ctas")).select("file", "stmt")
             new = rows.join(made, ["file", "stmt"]).filter("target_column is not null and target_table is not null")

@@ -1,21 +1,8 @@
-"""Column functions of the lineage engine."""
+"""Names as the lineage engine compares them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def norm(name: Column) -> Column:
-    """An identifier without outer white space and quotes, in lower case; null stays null."""
-    bare = F.regexp_replace(name, r"^\s+|\s+$", "")
-    return F.lower(F.btrim(F.btrim(bare, F.lit("`")), F.lit('"')))
-
-
-def last_part(name: Column) -> Column:
-    return F.element_at(F.split(name, r"\."), -1)
-
 
 def normalized(name: str | None) -> str | None:
-    """norm for a single name, where rows are made on the driver."""
+    """An identifier without outer white space and quotes, in lower case; null stays null."""
     return None if name is None else name.strip().strip("`").strip('"').lower()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resolve import _concrete
+from .resolve import _concrete, query_index
 
 RECORD = ["source_table", "source_column", "expression", "target_column", "target_table", "file"]
 
@@ -19,17 +19,37 @@ def elements(statements: DataFrame, outputs: DataFrame, branches: DataFrame) ->
     return rows.withColumns({"idx": idx, "first_column": first})
 
 
-def created(rows: DataFrame) -> DataFrame:
-    """CREATE ... AS SELECT: every origin of every element; unnamed elements are named by their first origin."""
-    return rows.filter("kind = 'ctas'").withColumn("target_column", F.coalesce("output_column", "first_column"))
+#: ``compat`` keeps the rules that existing records were made by, ``resolved`` follows SQL where the two differ.
+MODES = ("compat", "resolved")
 
 
-def inserted(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def created(rows: DataFrame, mode: str = "compat") -> DataFrame:
+    """CREATE ... AS SELECT: every origin of every element; unnamed elements are named by their first origin.
+
+    With a list of columns the element at a column's place is that column (resolved); in compat the list takes the
+    target's name away.
+    """
+    rows, listed = rows.filter("kind = 'ctas'"), F.size("target_cols") > 0
+    name = F.coalesce("output_column", "first_column")
+    if mode == "resolved":
+        return rows.withColumn("target_column", F.when(listed, F.get("target_cols", F.col("idx"))).otherwise(name))
+    return rows.withColumns({"target_column": name, "target_table": F.when(~listed, F.col("target_table"))})
+
+
+def inserted(rows: DataFrame, catalog: DataFrame, mode: str = "compat") -> DataFrame:
     """INSERT: elements map to the target's columns by name at their place.
 
-    Without a column list the produced names that the target has, in produced order, are the list.
+    Without a column list the produced names that the target has, in produced order, are the list. In resolved
+    mode the place alone decides, among the listed columns or those of the target's schema; without either
+    an element keeps its name. A further branch starts at the first column again.
     """
     rows = rows.filter("kind = 'insert'")
+    if mode == "resolved":
+        schema = catalog.groupBy("file", F.col("table_name").alias("target_table")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))), lambda x: x["column_name"]).alias("schema_cols"))
+        rows = rows.join(schema, ["file", "target_table"], "left").withColumn("cols", F.when(F.size("target_cols") > 0, F.col("target_cols")).otherwise(F.col("schema_cols")))
+        place = F.col("idx") - F.min("idx").over(Window.partitionBy("file", "stmt", "branch"))
+        named = F.coalesce("output_column", "first_column")
+        return rows.withColumn("target_column", F.when(F.size("cols") > 0, F.get("cols", place)).otherwise(named)).filter("target_column is not null").drop("cols", "schema_cols")
     stmt = ["file", "stmt"]
     has = catalog.select("file", F.col("table_name").alias("target_table"), F.col("column_name").alias("produced"), F.lit(True).alias("in_target"))
     produced = rows.filter("origin_ord = 0").withColumn("produced", F.coalesce("output_column", "first_column"))
@@ -46,12 +66,16 @@ def selected(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'select'").withColumn("target_column", F.col("output_column"))
 
 
-def assigned(statements: DataFrame, assignments: DataFrame, refs: DataFrame, catalog: DataFrame) -> DataFrame:
+def assigned(statements: DataFrame, assignments: DataFrame, refs: DataFrame, catalog: DataFrame, outputs: DataFrame | None = None, branches: DataFrame | None = None, mode: str = "compat") -> DataFrame:
     """UPDATE and MERGE: the columns of each assigned expression.
 
     In an UPDATE a qualifier is matched against the names of the target and the FROM table, then the first of
-    them whose schema has the column counts; in a MERGE the target if its schema has it.
+    them whose schema has the column counts; in a MERGE the target if its schema has it. In resolved mode
+    a qualifier is an alias or name of the target or the source, which may be a query; a name without
+    one is the source's if that is known to have it, else the target's, else the source's if its columns are unknown.
     """
+    if mode == "resolved":
+        return _assigned_by_source(statements, assignments, refs, catalog, query_index(outputs, branches))
     rows = statements.join(assignments, ["file", "stmt"]).join(refs, ["file", "stmt", "n"], "left")
     tables = F.array(F.struct(F.lit(0).alias("o"), F.col("target_table").alias("t")), F.struct(F.lit(1).alias("o"), F.col("from_table").alias("t")))
     asked = rows.select("file", "stmt", "n", "ref_ord", "kind", "qualifier", "name", F.explode(F.when(F.col("kind") == "update", tables).otherwise(F.slice(tables, 1, 1))).alias("x"))
@@ -65,6 +89,29 @@ def assigned(statements: DataFrame, assignments: DataFrame, refs: DataFrame, cat
     return rows.select("file", "stmt", F.col("n").alias("idx"), F.col("ref_ord").alias("origin_ord"), "kind", "expression", "target_column", "target_table", "origin_table", F.col("name").alias("origin_column"))
 
 
+def _assigned_by_source(statements: DataFrame, assignments: DataFrame, refs: DataFrame, catalog: DataFrame, index: DataFrame) -> DataFrame:
+    key = ["file", "stmt", "n", "ref_ord"]
+    rows = statements.join(assignments, ["file", "stmt"]).join(refs, ["file", "stmt", "n"], "left").withColumn("ref_ord", F.coalesce("ref_ord", F.lit(0)))
+    side = lambda o, alias, t, q: F.struct(F.lit(o).alias("o"), F.col(alias).alias("alias"), F.col(t).alias("t"), q.alias("q"))
+    sides = F.array(side(0, "from_alias", "from_table", F.col("from_query")), side(1, "target_alias", "target_table", F.lit(None).cast("string")))
+    asked = rows.filter("name is not null").select(*key, "qualifier", "name", F.explode(sides).alias("x")).select(*key, "qualifier", "name", "x.*").filter("t is not null or q is not null")
+    has = catalog.select("file", F.col("table_name").alias("t"), F.col("column_name").alias("name"), F.lit(True).alias("has"))
+    known = catalog.select("file", F.col("table_name").alias("t"), F.lit(True).alias("known")).distinct()
+    shown = index.select(F.col("query").alias("q"), "name", F.lit(True).alias("shown")).distinct()
+    asked = asked.join(has, ["file", "t", "name"], "left").join(known, ["file", "t"], "left").join(shown, ["q", "name"], "left")
+    called = F.coalesce((F.col("qualifier") == F.col("t")) | (F.element_at(F.split("t", r"\."), -1) == F.col("qualifier")), F.lit(False))
+    bare, there = F.col("qualifier").isNull(), F.coalesce("has", F.lit(False)) | F.coalesce("shown", F.lit(False))
+    by_alias = F.coalesce(F.col("qualifier") == F.col("alias"), F.lit(False))
+    best = asked.withColumn("p", F.when(by_alias, 0).when(called, 1).when(bare & there, 2).when(bare & F.col("q").isNull() & F.col("known").isNull(), 3)).filter("p is not null")
+    best = best.groupBy(*key).agg(F.min(F.struct("p", "o", "t", "q")).alias("m")).select(*key, "m.t", "m.q")
+    rows = rows.join(best, key, "left")
+    through = index.select(F.col("query").alias("q"), "name", F.col("origin_ord").alias("k"), "origin_table", F.col("origin_column").alias("c"))
+    rows = rows.join(through, ["q", "name"], "left")
+    number = F.row_number().over(Window.partitionBy("file", "stmt", "n").orderBy("ref_ord", "k")) - 1
+    from_query = F.col("q").isNotNull() & F.col("k").isNotNull()
+    return rows.select("file", "stmt", F.col("n").alias("idx"), number.alias("origin_ord"), "kind", "expression", "target_column", "target_table", F.when(from_query, F.col("origin_table")).otherwise(F.col("t")).alias("origin_table"), F.when(from_query, F.col("c")).otherwise(F.col("name")).alias("origin_column"))
+
+
 def tidied(rows: DataFrame) -> DataFrame:
     """Passes over SELECT and INSERT rows: exact repeats, placeholders beside concrete rows of the same expression
     and of the same target, repeats of the same pair; the order is that of targets' first appearance."""

@@ -8,15 +8,16 @@ branches     query, branch, scope            the SELECTs of a query in order
 sources      scope, src_ord, alias, kind, table_name, child, names      FROM items in order
 pivots       scope, src_ord, names, refs     generated columns and the columns they aggregate
 projections  scope, proj, kind, out_name, qualifier, expression, is_column
-refs         scope, proj, ref_ord, qualifier, name
+refs         scope, proj, ref_ord, qualifier, name, inner (it stands in a nested SELECT)
 subs         scope, proj, sub_ord, sub_scope SELECTs nested in a projection
-assignments  file, stmt, n, target_column, expression, from_table
+assignments  file, stmt, n, target_column, expression, from_table, target_alias, from_alias, from_query
 assigned     file, stmt, n, ref_ord, qualifier, name
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,9 @@ SCHEMAS = {
     "sources": "file string, scope string, src_ord int, alias string, kind string, table_name string, child string, names array<string>",
     "pivots": "scope string, src_ord int, names array<string>, refs array<string>",
     "projections": "scope string, proj int, kind string, out_name string, qualifier string, expression string, is_column boolean",
-    "refs": "scope string, proj int, ref_ord int, qualifier string, name string",
+    "refs": "scope string, proj int, ref_ord int, qualifier string, name string, inner boolean",
     "subs": "scope string, proj int, sub_ord int, sub_scope string",
-    "assignments": "file string, stmt int, n int, target_column string, expression string, from_table string",
+    "assignments": "file string, stmt int, n int, target_column string, expression string, from_table string, target_alias string, from_alias string, from_query string",
     "assigned": "file string, stmt int, n int, ref_ord int, qualifier string, name string",
 }
 
@@ -60,6 +61,7 @@ def _name(parts) -> str:
 @dataclass
 class Walker:
     spark: SparkSession
+    mode: str = "compat"  # in compat a WITH in a nested query names no queries
     rows: dict[str, list[tuple]] = field(default_factory=lambda: {name: [] for name in SCHEMAS})
     _made: int = 0
 
@@ -79,7 +81,7 @@ class Walker:
             except Exception as error:  # noqa: BLE001  the parser's own, or py4j's around it
                 self.rows["statements"].append((file, stmt, wave, "error", None, [], None, str(error).strip().split("\n")[0]))
                 continue
-            self.file, self.sql, self.ctes, self.from_table = file, parsed, {}, normalized(update["source"]) if update else None
+            self.file, self.sql, self.ctes, self.using = file, parsed, {}, (None, None, None, None)
             made = self._statement(plan, stmt)
             if made is not None:
                 kind, target, cols, root = made
@@ -95,16 +97,19 @@ class Walker:
             target = plan.name() if kind.endswith("Select") else (plan.child() if kind == "CreateView" else None)
             name = self._identifier(target) if target is not None else normalized(plan.name().unquotedString())
             query = plan.query() if kind != "CreateViewCommand" else plan.plan()
-            return "ctas", name, [], self._root(query)
+            listed = [normalized(c._1()) for c in _seq(plan.userSpecifiedColumns())] if kind.startswith("CreateView") else []
+            return "ctas", name, listed, self._root(query)
         if kind == "InsertIntoStatement":
             cols = [normalized(c) for c in _seq(plan.userSpecifiedCols())]
             return "insert", self._identifier(plan.table()), cols, self._root(plan.query())
         if kind == "UpdateTable":
-            target = self._identifier(plan.table())
+            target, table = self._identifier(plan.table()), plan.table()
+            self.using = (None, normalized(table.identifier().name()) if _kind(table) == "SubqueryAlias" else None, None, None)
             self._assign(stmt, [(a.key(), a.value()) for a in _seq(plan.assignments())], 0)
             return "update", target, [], None
         if kind == "MergeIntoTable":
             n = 0
+            self.using = self._using(plan)
             for action in [*_seq(plan.matchedActions()), *_seq(plan.notMatchedActions())]:
                 if _kind(action) in ("UpdateAction", "InsertAction"):
                     n = self._assign(stmt, [(a.key(), a.value()) for a in _seq(action.assignments())], n)
@@ -112,6 +117,19 @@ class Walker:
         root = self._root(plan)
         return ("select", None, [], root) if root else None
 
+    def _using(self, plan) -> tuple[str | None, str | None, str | None, str | None]:
+        """Of a MERGE: the source's table, the target's alias, the source's alias, the source's query."""
+        alias = lambda node: normalized(node.identifier().name()) if _kind(node) == "SubqueryAlias" else None
+        source, target = plan.sourceTable(), plan.targetTable()
+        table = self._identifier(source)
+        query = self.ctes.get(table)
+        inner = source
+        while _kind(inner) == "SubqueryAlias":
+            inner = inner.child()
+        if table is None and _kind(inner) in ("Project", "Aggregate", *_SETS, *_AROUND, "UnresolvedWith"):
+            query = self._root(inner)
+        return (None if query else table), alias(target), alias(source) or (table if query else None), query
+
     def _identifier(self, node) -> str | None:
         while _kind(node) == "SubqueryAlias":
             node = node.child()
@@ -198,7 +216,7 @@ class Walker:
             width = [a.name() for a in _seq(plan.output())] if kind == "LocalRelation" else _seq(plan.names())
             add(alias or "_values", "values", cols=names or [normalized(c) for c in width])
         elif kind in ("Project", "Aggregate", *_SETS, "UnresolvedWith"):
-            child = self._query(plan)
+            child = self._root(plan) if self.mode == "resolved" else self._query(plan)
             if child:
                 add(alias or "_q_derived", "query", child=child)
 
@@ -221,20 +239,23 @@ class Walker:
             return self.sql[o.startIndex().get() : o.stopIndex().get() + 1]
         return e.sql()
 
-    def _attributes(self, e, nested: bool = True) -> list:
-        """Column references in an expression, those of nested queries included."""
-        out, todo = [], [e]
+    def _attributes(self, e) -> list:
+        return [a for a, _ in self._placed(e)]
+
+    def _placed(self, e) -> list[tuple]:
+        """Column references in an expression, and whether they stand in a nested query."""
+        out, todo = [], deque([(e, False)])
         while todo:
-            x = todo.pop(0)
+            x, inner = todo.popleft()
             if _kind(x) == "UnresolvedAttribute":
-                out.append(x)
-            todo += _seq(x.children())
-            if nested and _kind(x) in _SUBQUERIES:
-                plans = [x.plan()]
+                out.append((x, inner))
+            todo.extend((c, inner) for c in _seq(x.children()))
+            if _kind(x) in _SUBQUERIES:
+                plans = deque([x.plan()])
                 while plans:
-                    p = plans.pop(0)
-                    todo += _seq(p.expressions())
-                    plans += _seq(p.children())
+                    p = plans.popleft()
+                    todo.extend((c, True) for c in _seq(p.expressions()))
+                    plans.extend(_seq(p.children()))
         return out
 
     def _projection(self, scope: str, proj: int, item) -> None:
@@ -253,25 +274,25 @@ class Walker:
         if column and out is None:
             out = normalized(_seq(e.nameParts())[-1])
         self.rows["projections"].append((scope, proj, "expression", out, None, self._text(e), column))
-        for n, a in enumerate(self._attributes(e)):
+        for n, (a, inner) in enumerate(self._placed(e)):
             parts = _seq(a.nameParts())
-            self.rows["refs"].append((scope, proj, n, normalized(parts[-2]) if len(parts) > 1 else None, normalized(parts[-1])))
-        todo, n = [e], 0
+            self.rows["refs"].append((scope, proj, n, normalized(parts[-2]) if len(parts) > 1 else None, normalized(parts[-1]), inner))
+        todo, n = deque([e]), 0
         while todo:
-            x = todo.pop(0)
+            x = todo.popleft()
             if _kind(x) in _SUBQUERIES:
                 before = len(self.rows["branches"])
                 self._query(x.plan())
                 for _, _, nested, _ in self.rows["branches"][before:]:
                     self.rows["subs"].append((scope, proj, n, nested))
                     n += 1
-            todo += _seq(x.children())
+            todo.extend(_seq(x.children()))
 
     def _assign(self, stmt: int, pairs: list, n: int) -> int:
         for key, value in pairs:
             if _kind(key) != "UnresolvedAttribute":
                 continue
-            self.rows["assignments"].append((self.file, stmt, n, normalized(_seq(key.nameParts())[-1]), self._text(value), self.from_table))
+            self.rows["assignments"].append((self.file, stmt, n, normalized(_seq(key.nameParts())[-1]), self._text(value), *self.using))
             for k, a in enumerate(self._attributes(value)):
                 parts = _seq(a.nameParts())
                 self.rows["assigned"].append((self.file, stmt, n, k, normalized(parts[-2]) if len(parts) > 1 else None, normalized(parts[-1])))
