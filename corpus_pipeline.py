@@ -1,7 +1,9 @@
 """Toxicity, exact dedup, n-gram Jaccard join, mixing and packing, one behind the other over documents.
 
 Each stage reads what the one before it wrote and returns the columns of documents; the last returns the
-pieces of the packed sequences. Rows that a stage keeps stay as they were.
+pieces of the packed sequences. Rows that a stage keeps stay as they were. Null texts count as empty, null
+identifiers sort last; an empty table stays empty; names of columns that the operators use on the way begin
+with an underscore and are dropped.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: Trained models, similarity joins and tokenizers are beyond SQL; the tests hold run() against brute force.
+#: Trained models, similarity joins and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds each stage of run() against brute force.
 ORACLE_SQL = None
 
 
