@@ -5,8 +5,10 @@ that makes their norms equal, so the nearest by inner product are nearest by ang
 floats, and what that component takes off a product is kept apart, so that one long vector costs the
 others no digits. A first, rough graph comes from small blocks of vectors on the same side of random planes;
 then, round by round, the neighbours and some reverse neighbours of a node, others in each round, are joined
-and compared with each other, and each keeps its best, until few lists change. A query starts at its own node and the longest ones and expands the best nodes it has not expanded
-yet, until its beam holds none. What a beam holds is then measured exactly on the original vectors.
+and compared with each other, and each keeps its best, until few lists change. A query starts at its own node
+and the longest ones and expands the best nodes it has not expanded yet, until its beam holds none; a node's
+edges are its list and half as many of the nodes that list it. What a beam holds is then measured exactly on
+the original vectors.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import hinted, staged
 
 K, TABLES, LEAF, OFFERS, SETTLED = 32, 6, 400, 12, 0.02
-BEAM, STEP, ENTRIES = 160, 64, 32
+BEAM, STEP, ENTRIES = 160, 32, 32
 LISTS = pa.schema([("u", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 LISTS_DDL = "u long, ids array<long>, scores array<float>"
 
@@ -193,7 +195,7 @@ def _step(beam: int, entries: list[dict]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # what a query met is large: one at a time
                 have = {i: (s, o) for i, s, o in zip(r["ids"], r["scores"], r["open"], strict=True)}
                 for i in r["asked"] or ():
                     if i in have:
@@ -216,7 +218,7 @@ def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, entries: list[di
     edges = staged(edges.select("u", F.col("ids").alias("to")), "ann-edges")
     both = edges.select("u", F.explode("to").alias("v"))
     near = Window.partitionBy("v").orderBy(F.xxhash64("u", "v"), "u")
-    back = both.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= 2 * K).select(F.col("v").alias("u"), F.col("u").alias("v"))
+    back = both.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= K // 2).select(F.col("v").alias("u"), F.col("u").alias("v"))
     hops = staged(both.union(back).distinct(), "ann-hops")
     zero = F.lit(float("inf")).cast("float")
     state = staged(starts.select("q", "node", "code", F.array("node").alias("ids"), F.array(zero).alias("scores"), F.array(F.lit(True)).alias("open")), "ann-beams")
