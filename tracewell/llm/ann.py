@@ -56,26 +56,38 @@ def _groups(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _matrix(codes: Iterable[bytes]) -> np.ndarray:
+def _matrix(codes: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of codes: the vector, minus the component that evens the norms, and its shortfall."""
-    codes = list(codes)
-    return np.frombuffer(b"".join(codes), np.float32).reshape(len(codes), -1)
+    if isinstance(codes, pa.ChunkedArray):
+        codes = codes.combine_chunks()
+    wide = np.int64 if pa.types.is_large_binary(codes.type) else np.int32
+    ends = np.frombuffer(codes.buffers()[1], wide)[codes.offset : codes.offset + len(codes) + 1]
+    return np.frombuffer(codes.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(codes), -1)
 
 
-def _lists(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), LISTS, strict=True)], schema=LISTS)
+def _rows(schema: pa.Schema, sizes: list[np.ndarray], columns: list[list]) -> pa.RecordBatch:
+    """Columns of pieces of arrays; those of lists are flat, ``sizes`` tells how many belong to each row."""
+    ends = pa.array(np.r_[0, np.cumsum(np.concatenate(sizes))], pa.int32())
+    arrays = []
+    for field, pieces in zip(schema, columns, strict=True):
+        if pa.types.is_list(field.type):
+            arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pieces), field.type.value_type)))
+        else:
+            arrays.append(pa.array(np.concatenate(pieces) if isinstance(pieces[0], np.ndarray) else pieces, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def _compare(most: int):
     """Groups of (group, id, code): each member's best other members."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        us, near, scores, sizes = [], [], [], []
+        held = 0
         for group in _groups(batches):
             ids = group.column(1).to_numpy()
             if len(ids) < 2:
                 continue
-            x = _matrix(group.column(2).to_pylist())
+            x = _matrix(group.column(2))
             other = np.delete(x, -2, axis=1).T
             x = x[:, :-1]
             n = min(most, len(ids) - 1)
@@ -83,12 +95,17 @@ def _compare(most: int):
                 s = x[low : low + 512] @ other
                 s[np.arange(len(s)), np.arange(low, low + len(s))] = -np.inf
                 best = np.argpartition(s, len(ids) - n, axis=1)[:, len(ids) - n :]
-                rows += [(int(ids[low + i]), ids[b], s[i, b]) for i, b in enumerate(best)]
-                if len(rows) >= 2000:
-                    yield _lists(rows)
-                    rows = []
-        if rows:
-            yield _lists(rows)
+                us.append(ids[low : low + 512])
+                near.append(ids[best].ravel())
+                scores.append(np.take_along_axis(s, best, axis=1).ravel())
+                sizes.append(np.full(len(s), n))
+                held += len(s)
+                if held >= 10000:
+                    yield _rows(LISTS, sizes, [us, near, scores])
+                    us, near, scores, sizes = [], [], [], []
+                    held = 0
+        if held:
+            yield _rows(LISTS, sizes, [us, near, scores])
 
     return run
 
@@ -98,20 +115,24 @@ def _merge(k: int):
     schema = LISTS.append(pa.field("fresh", pa.int32()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        us, near, best, fresh = [], [], [], []
         for group in _groups(batches):
-            ids = np.concatenate(group.column(1).combine_chunks().to_numpy(zero_copy_only=False))
-            scores = np.concatenate(group.column(2).combine_chunks().to_numpy(zero_copy_only=False))
+            lists = group.column(1).combine_chunks()
+            ids = lists.flatten().to_numpy()
+            scores = group.column(2).combine_chunks().flatten().to_numpy()
+            own = ids[np.repeat(group.column(3).to_numpy(), lists.value_lengths().to_numpy())]
             order = np.lexsort((ids, -scores))
             _, first = np.unique(ids[order], return_index=True)
             keep = order[np.sort(first)][:k]
-            own = [i for ids_, o in zip(group.column(1).to_pylist(), group.column(3).to_pylist(), strict=True) if o for i in ids_]
-            rows.append((group.column(0)[0].as_py(), ids[keep], scores[keep], len(set(ids[keep].tolist()) - set(own))))
-            if len(rows) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+            us.append(group.column(0)[0].as_py())
+            near.append(ids[keep])
+            best.append(scores[keep])
+            fresh.append(int((~np.isin(near[-1], own)).sum()))
+            if len(us) >= 2000:
+                yield _rows(schema, [np.array([len(x) for x in near])], [us, near, best, fresh])
+                us, near, best, fresh = [], [], [], []
+        if us:
+            yield _rows(schema, [np.array([len(x) for x in near])], [us, near, best, fresh])
 
     return run
 
@@ -141,7 +162,7 @@ def _leaves(tables: int, planes: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1).to_pylist())[:, :-2]  # the component that evens the norms would drown the others
+            x = _matrix(batch.column(1))[:, :-2]  # the component that evens the norms would drown the others
             for t in range(tables):
                 normals = np.random.default_rng(100 + t).standard_normal((x.shape[1], planes)).astype(np.float32)
                 side = (x @ normals > 0) @ (1 << np.arange(planes, dtype=np.int64))
@@ -176,7 +197,8 @@ def graph(nodes: DataFrame, k: int = K, tables: int = TABLES, leaf: int = LEAF,
         ahead = found.select("u", F.explode("ids").alias("v"))
         near = Window.partitionBy("v").orderBy(F.xxhash64("u", "v", F.lit(turn)), "u")
         back = ahead.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k)
-        around = ahead.select(F.col("u").alias("c"), F.col("v").alias("id")).union(back.select(F.col("v"), F.col("u"))).distinct()
+        # dealt by id, so that neither the removal of repeated pairs nor the join deals them out again
+        around = ahead.select(F.col("u").alias("c"), F.col("v").alias("id")).union(back.select(F.col("v"), F.col("u"))).repartition("id").distinct()
         offered = _sorted_groups(around.join(nodes, "id").select("c", "id", "code"), "c").mapInArrow(_compare(offers), LISTS_DDL)
         both = found.select("u", "ids", "scores", F.lit(True).alias("own")).union(offered.withColumn("own", F.lit(False)))
         found = staged(_sorted_groups(both, "u").mapInArrow(_merge(k), merged), "ann-graph")
@@ -192,23 +214,30 @@ def _step(beam: int, entries: list[dict]):
     """Rows of a query's beam and what it met, and ``entries``: the best of all, those met for the first time open."""
     schema = pa.schema([("q", pa.int64()), ("node", pa.int64()), ("code", pa.binary()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("open", pa.list_(pa.bool_()))])
 
+    more = np.array([e["id"] for e in entries], np.int64)
+    codes = _matrix(pa.array([e["code"] for e in entries], pa.binary())) if entries else None
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # what a query met is large: one at a time
-                have = {i: (s, o) for i, s, o in zip(r["ids"], r["scores"], r["open"], strict=True)}
-                for i in r["asked"] or ():
-                    if i in have:
-                        have[i] = (have[i][0], False)
-                met = [m for m in [*(r["met"] or ()), *entries] if m["id"] not in have]
-                if met:
-                    x = _matrix([m["code"] for m in met])
-                    q = np.frombuffer(r["code"], np.float32)
-                    have |= {m["id"]: (float(s), True) for m, s in zip(met, x[:, :-2] @ q[:-2], strict=True)}
-                best = sorted(have.items(), key=lambda kv: (-kv[1][0], kv[0]))[:beam]
-                out.append((r["q"], r["node"], r["code"], [i for i, _ in best], [s for _, (s, _) in best], [o for _, (_, o) in best]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
+            if not batch.num_rows:
+                continue
+            kept = []
+            for i in range(batch.num_rows):
+                of = lambda name: batch.column(name)[i]  # noqa: B023, E731
+                ids, scores, open_ = (of(c).values.to_numpy(zero_copy_only=False) for c in ("ids", "scores", "open"))
+                q = np.frombuffer(of("code").as_py(), np.float32)[:-2]
+                open_ = open_ & ~np.isin(ids, of("asked").values.to_numpy())
+                found = [(ids, scores, open_)]
+                met = [(of("met").values.field("id").to_numpy(), _matrix(of("met").values.field("code")))] if of("met").is_valid else []
+                for other, x in met + ([(more, codes)] if entries else []):
+                    new = ~np.isin(other, np.concatenate([f[0] for f in found]))
+                    found.append((other[new], x[new][:, :-2] @ q, np.ones(new.sum(), bool)))
+                ids, scores, open_ = (np.concatenate(c) for c in zip(*found, strict=True))
+                best = np.lexsort((ids, -scores))[:beam]
+                kept.append((ids[best], scores[best], open_[best]))
+            sizes = [np.array([len(k[0]) for k in kept])]
+            same = [batch.column(c).to_pylist() for c in ("q", "node", "code")]
+            yield _rows(schema, sizes, [*same, *(list(c) for c in zip(*kept, strict=True))])
 
     return run
 
@@ -224,13 +253,13 @@ def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, entries: list[di
     state = staged(starts.select("q", "node", "code", F.array("node").alias("ids"), F.array(zero).alias("scores"), F.array(F.lit(True)).alias("open")), "ann-beams")
     while True:
         at = F.transform("ids", lambda i, k: F.when(F.get("open", k), i))
-        asked = F.slice(F.array_compact(at), 1, step)
-        front = state.select("q", asked.alias("asked")).filter(F.size("asked") > 0)
+        asking = state.withColumn("asked", F.slice(F.array_compact(at), 1, step))
+        front = asking.select("q", "asked").filter(F.size("asked") > 0)
         if front.isEmpty():
             return state.select("q", F.explode("ids").alias("id"))
-        met = front.select("q", F.explode("asked").alias("u")).join(hops, "u").select("q", F.col("v").alias("id")).distinct()
+        met = front.select("q", F.explode("asked").alias("u")).join(hops, "u").select("q", F.col("v").alias("id")).repartition("id").distinct()
         met = met.join(nodes, "id").groupBy("q").agg(F.collect_list(F.struct("id", "code")).alias("met"))
-        rows = state.join(front, "q", "left").join(met, "q", "left").select(*state.columns, "asked", "met")
+        rows = asking.join(met, "q", "left").select(*state.columns, "asked", "met")
         state = staged(rows.mapInArrow(_step(beam, entries), BEAMS_DDL), "ann-beams")
         entries = []
 
