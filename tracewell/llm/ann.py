@@ -27,6 +27,8 @@ K, TABLES, LEAF, OFFERS, SETTLED = 32, 6, 400, 12, 0.02
 BEAM, STEP, ENTRIES = 160, 32, 32
 LISTS = pa.schema([("u", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 LISTS_DDL = "u long, ids array<long>, scores array<float>"
+GRAPH = LISTS.append(pa.field("new", pa.list_(pa.bool_())))
+GRAPH_DDL = f"{LISTS_DDL}, new array<boolean>"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -36,24 +38,29 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & finite & F.exists("x", lambda c: c != 0))
 
 
-def _groups(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
-    """The runs of equal keys of sorted rows."""
+def _whole(batches: Iterable[pa.RecordBatch], rows: int = 20000) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in batches that end where the first column changes."""
     held: list[pa.RecordBatch] = []
-    at = None
+    count, most = 0, rows
     for batch in batches:
-        keys = batch.column(key)
-        if not len(keys):
+        held.append(batch)
+        count += batch.num_rows
+        if count < most:
             continue
-        values = keys.to_numpy(zero_copy_only=False)
-        starts = np.r_[0, np.nonzero(values[1:] != values[:-1])[0] + 1, len(values)]
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if held and values[a] != at:
-                yield pa.Table.from_batches(held)
-                held = []
-            at = values[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+        joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        last = int(_starts(joined)[-1])
+        held, count = [joined.slice(last)], joined.num_rows - last
+        most = max(rows, 2 * count)  # a long run is not put together again for each batch
+        if last:
+            yield joined.slice(0, last)
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Where the runs of equal values of the first column begin."""
+    values = batch.column(0).to_numpy()
+    return np.r_[0, np.nonzero(values[1:] != values[:-1])[0] + 1]
 
 
 def _matrix(codes: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -78,61 +85,69 @@ def _rows(schema: pa.Schema, sizes: list[np.ndarray], columns: list[list]) -> pa
 
 
 def _compare(most: int):
-    """Groups of (group, id, code): each member's best other members."""
+    """Groups of (group, id, code) or (group, id, code, new, worst): each member's best other members.
+
+    With the latter, pairs of two members that are not new were compared before, and what is no better than the
+    worst of a member's list is of no use to it.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, near, scores, sizes = [], [], [], []
-        held = 0
-        for group in _groups(batches):
-            ids = group.column(1).to_numpy()
-            if len(ids) < 2:
-                continue
-            x = _matrix(group.column(2))
-            other = np.delete(x, -2, axis=1).T
-            x = x[:, :-1]
-            n = min(most, len(ids) - 1)
-            for low in range(0, len(ids), 512):  # few rows of a large group at a time
-                s = x[low : low + 512] @ other
-                s[np.arange(len(s)), np.arange(low, low + len(s))] = -np.inf
-                best = np.argpartition(s, len(ids) - n, axis=1)[:, len(ids) - n :]
-                us.append(ids[low : low + 512])
-                near.append(ids[best].ravel())
-                scores.append(np.take_along_axis(s, best, axis=1).ravel())
-                sizes.append(np.full(len(s), n))
-                held += len(s)
-                if held >= 10000:
-                    yield _rows(LISTS, sizes, [us, near, scores])
-                    us, near, scores, sizes = [], [], [], []
-                    held = 0
-        if held:
-            yield _rows(LISTS, sizes, [us, near, scores])
+        for batch in _whole(batches):
+            every, codes = batch.column(1).to_numpy(), _matrix(batch.column(2))
+            flagged = batch.num_columns > 3
+            news = batch.column(3).to_numpy(zero_copy_only=False) if flagged else None
+            worsts = batch.column(4).to_numpy() if flagged else None
+            starts = _starts(batch)
+            us, near, scores, sizes = [], [], [], []
+            for a, b in zip(starts, np.r_[starts[1:], len(every)], strict=True):
+                if b - a < 2 or (flagged and not news[a:b].any()):
+                    continue
+                ids, x = every[a:b], codes[a:b]
+                other = np.delete(x, -2, axis=1).T
+                n = min(most, b - a - 1)
+                for low in range(0, b - a, 512):  # few rows of a large group at a time
+                    s = x[low : low + 512, :-1] @ other
+                    s[np.arange(len(s)), np.arange(low, low + len(s))] = -np.inf
+                    if flagged:
+                        old = ~news[a:b]
+                        s[np.ix_(old[low : low + 512], old)] = -np.inf
+                        s[s <= worsts[a + low : a + low + len(s), None]] = -np.inf
+                    best = np.argpartition(s, b - a - n, axis=1)[:, b - a - n :]
+                    found = np.take_along_axis(s, best, axis=1)
+                    of_use = found > -np.inf
+                    size = of_use.sum(axis=1)
+                    some = size > 0
+                    us.append(ids[low : low + 512][some])
+                    near.append(ids[best][of_use])
+                    scores.append(found[of_use])
+                    sizes.append(size[some])
+            if us:
+                yield _rows(LISTS, sizes, [us, near, scores])
 
     return run
 
 
 def _merge(k: int):
-    """Groups of (u, ids, scores, own): the best k of all lists, and how many were not in the own list."""
-    schema = LISTS.append(pa.field("fresh", pa.int32()))
+    """Groups of (u, ids, scores, own), own lists first: the best k of all lists, and which were not in the own list."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, near, best, fresh = [], [], [], []
-        for group in _groups(batches):
-            lists = group.column(1).combine_chunks()
-            ids = lists.flatten().to_numpy()
-            scores = group.column(2).combine_chunks().flatten().to_numpy()
-            own = ids[np.repeat(group.column(3).to_numpy(), lists.value_lengths().to_numpy())]
-            order = np.lexsort((ids, -scores))
-            _, first = np.unique(ids[order], return_index=True)
-            keep = order[np.sort(first)][:k]
-            us.append(group.column(0)[0].as_py())
-            near.append(ids[keep])
-            best.append(scores[keep])
-            fresh.append(int((~np.isin(near[-1], own)).sum()))
-            if len(us) >= 2000:
-                yield _rows(schema, [np.array([len(x) for x in near])], [us, near, best, fresh])
-                us, near, best, fresh = [], [], [], []
-        if us:
-            yield _rows(schema, [np.array([len(x) for x in near])], [us, near, best, fresh])
+        for batch in _whole(batches):
+            starts = _starts(batch)
+            group = np.zeros(batch.num_rows, np.int32)
+            group[starts[1:]] = 1
+            lists = batch.column(1)
+            lengths = lists.value_lengths().to_numpy()
+            g = np.repeat(np.cumsum(group), lengths)
+            ids, scores = lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            own = np.repeat(batch.column(3).to_numpy(zero_copy_only=False), lengths)
+            order = np.lexsort((ids, g))  # stable: of a repeated pair that of the own list comes first
+            again = (ids[order[1:]] == ids[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+            order = order[np.r_[True, ~again]]
+            order = order[np.lexsort((-scores[order], g[order]))]
+            count = np.bincount(g[order], minlength=len(starts))
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+            order = order[rank < k]
+            yield _rows(GRAPH, [np.minimum(count, k)], [[batch.column(0).to_numpy()[starts]], [ids[order]], [scores[order]], [~own[order]]])
 
     return run
 
@@ -171,15 +186,16 @@ def _leaves(tables: int, planes: int):
     return run
 
 
-def _sorted_groups(df: DataFrame, key: str) -> DataFrame:
+def _sorted_groups(df: DataFrame, key: str, *order: Column) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, key).sortWithinPartitions(key)
+    return df.repartition(parts, key).sortWithinPartitions(key, *order)
 
 
 def graph(nodes: DataFrame, k: int = K, tables: int = TABLES, leaf: int = LEAF, offers: int = OFFERS, settled: float = SETTLED) -> DataFrame:
     """nodes: id, code. Returns u, ids, scores: a list of up to k near nodes for each node, best first.
 
-    A round goes over by whom a node is listed as well, ``k`` of them at a time, drawn anew in each round. The
+    A round goes over by whom a node is listed as well, ``k`` of them at a time, those that list it since the
+    last round first, others drawn anew. Pairs are compared if one of the two edges that make them is new. The
     rounds end when less than the share ``settled`` of all places in lists changed hands; as lists only
     get better, that comes.
     """
@@ -189,20 +205,23 @@ def graph(nodes: DataFrame, k: int = K, tables: int = TABLES, leaf: int = LEAF,
     blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("blocks"))
     split = placed.join(hinted(blocks), "leaf").select((F.col("leaf") * 1_000_003 + F.pmod(F.xxhash64("id", "leaf"), F.col("blocks"))).alias("g"), "id", "code")
     lists = _sorted_groups(split, "g").mapInArrow(_compare(k), LISTS_DDL).withColumn("own", F.lit(False))
-    merged = f"{LISTS_DDL}, fresh int"
-    found = staged(_sorted_groups(lists, "u").mapInArrow(_merge(k), merged), "ann-graph")
+    merge = lambda both: staged(_sorted_groups(both, "u", F.desc("own")).mapInArrow(_merge(k), GRAPH_DDL), "ann-graph")
+    found = merge(lists)
+    none = F.lit(float("-inf")).cast("float")
     turn = 0
     while True:
         turn += 1
-        ahead = found.select("u", F.explode("ids").alias("v"))
-        near = Window.partitionBy("v").orderBy(F.xxhash64("u", "v", F.lit(turn)), "u")
+        ahead = found.select("u", F.inline(F.arrays_zip(F.col("ids").alias("v"), "new")).alias("v", "new"))
+        near = Window.partitionBy("v").orderBy(F.desc("new"), F.xxhash64("u", "v", F.lit(turn)), "u")
         back = ahead.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k)
         # dealt by id, so that neither the removal of repeated pairs nor the join deals them out again
-        around = ahead.select(F.col("u").alias("c"), F.col("v").alias("id")).union(back.select(F.col("v"), F.col("u"))).repartition("id").distinct()
-        offered = _sorted_groups(around.join(nodes, "id").select("c", "id", "code"), "c").mapInArrow(_compare(offers), LISTS_DDL)
-        both = found.select("u", "ids", "scores", F.lit(True).alias("own")).union(offered.withColumn("own", F.lit(False)))
-        found = staged(_sorted_groups(both, "u").mapInArrow(_merge(k), merged), "ann-graph")
-        if (found.agg(F.sum("fresh")).first()[0] or 0) <= settled * k * n:
+        around = ahead.select(F.col("u").alias("c"), F.col("v").alias("id"), "new").union(back.select("v", "u", "new")).repartition("id").groupBy("c", "id").agg(F.max("new").alias("new"))
+        worst = found.select(F.col("u").alias("id"), F.when(F.size("scores") == k, F.element_at("scores", -1)).otherwise(none).alias("worst"))
+        noted = nodes.join(worst, "id", "left").select("id", "code", F.coalesce("worst", none).alias("worst"))
+        offered = _sorted_groups(around.join(noted, "id").select("c", "id", "code", "new", "worst"), "c").mapInArrow(_compare(offers), LISTS_DDL)
+        found = merge(found.select("u", "ids", "scores", F.lit(True).alias("own")).union(offered.withColumn("own", F.lit(False))))
+        fresh = found.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0
+        if fresh <= settled * k * n:
             break
     return found.select("u", "ids", "scores")
 
@@ -254,10 +273,12 @@ def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, entries: list[di
     while True:
         at = F.transform("ids", lambda i, k: F.when(F.get("open", k), i))
         asking = state.withColumn("asked", F.slice(F.array_compact(at), 1, step))
-        front = asking.select("q", "asked").filter(F.size("asked") > 0)
+        front = asking.select("q", "asked", "ids").filter(F.size("asked") > 0)
         if front.isEmpty():
             return state.select("q", F.explode("ids").alias("id"))
-        met = front.select("q", F.explode("asked").alias("u")).join(hops, "u").select("q", F.col("v").alias("id")).repartition("id").distinct()
+        front = front.select("q", "ids", F.explode("asked").alias("at"))
+        unseen = (F.col("at") == F.col("u")) & ~F.array_contains("ids", F.col("v"))
+        met = front.join(hops, unseen).select("q", F.col("v").alias("id")).repartition("id").distinct()
         met = met.join(nodes, "id").groupBy("q").agg(F.collect_list(F.struct("id", "code")).alias("met"))
         rows = asking.join(met, "q", "left").select(*state.columns, "asked", "met")
         state = staged(rows.mapInArrow(_step(beam, entries), BEAMS_DDL), "ann-beams")
