@@ -177,7 +177,7 @@ def created_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ELEMENTS = f"""{_OUTPUTS}, d AS (SELECT *, CAST(query AS BIGINT) AS stmt, CAST(dense_rank() OVER (PARTITION BY query ORDER BY branch, proj) - 1 AS INTEGER) AS idx, 'p' || proj || '_0' AS first_column FROM x)"""
-_CREATED_SQL = f"WITH {_ELEMENTS} SELECT stmt, idx, origin_ord, 'sales' AS target_table, coalesce(output_column, first_column) AS target_column, 'part' AS origin_table, origin_column FROM d"
+_CREATED_SQL = f"WITH {_ELEMENTS} SELECT stmt, idx, origin_ord, CASE WHEN stmt % 3 <> 0 THEN 'sales' END AS target_table, coalesce(output_column, first_column) AS target_column, 'part' AS origin_table, origin_column FROM d"
 
 
 def inserted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
