@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, line_dedup, lm_score, mixing, ngram_join, packing, quality, token_counts, toxicity
+from . import ann, exact_dedup, lexical, line_dedup, lm_score, mixing, ngram_join, packing, quality, token_counts, toxicity
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_score": op2_lm_score,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ann": op9_ann,
     "op10_packing": op10_packing,
+    "op11_lexical": op11_lexical,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE, "op11_lexical": lexical.ORACLE}
