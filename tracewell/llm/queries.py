@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, lexical, line_dedup, lm_score, mixing, ngram_join, packing, quality, token_counts, toxicity
+from . import ann, exact_dedup, lexical, line_dedup, lm_score, mixing, negatives, ngram_join, packing, quality, token_counts, toxicity
 from .common import table
 
 
@@ -64,6 +64,11 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_score": op2_lm_score,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann": op9_ann,
     "op10_packing": op10_packing,
     "op11_lexical": op11_lexical,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE, "op11_lexical": lexical.ORACLE}
+ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE, "op11_lexical": lexical.ORACLE, "op12_hard_negatives": negatives.ORACLE}
