@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, lexical, line_dedup, lm_score, mixing, negatives, ngram_join, packing, quality, token_counts, toxicity
+from . import ann, exact_dedup, lexical, line_dedup, lm_score, mixing, negatives, ngram_join, packing, quality, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -69,6 +69,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_score": op2_lm_score,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_lexical": op11_lexical,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_substrings": op13_substrings,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE, "op11_lexical": lexical.ORACLE, "op12_hard_negatives": negatives.ORACLE}
+ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE, "op11_lexical": lexical.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_substrings": substrings.ORACLE}
