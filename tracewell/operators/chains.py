@@ -1,20 +1,31 @@
 """Source-to-target chains over lineage records.
 
 Edges go from a source column to a target column. A chain starts at a column of a base table (one that is
-never a target) and follows edges to a final output. Chains are grown upstream from the outputs, a hop a
-round for all of them at once; a round is one join of the growing chains with the edges.
+never a target) and follows edges to a final output. Of what is asked, as little as possible is followed path by path:
+
+- steps: an edge stands in a chain for every source above it and every output below it, at every distance; both
+  sides are carried along the edges once, and a step is an edge with one of each (``chain_steps``);
+- counts: which outputs a column reaches is carried in bitmaps (``fanout``), the numbers of steps come from the two sides (``summary``);
+- paths: rows of a forest, each with its parent, that become arrays at the end by doubling (``chain_paths``, ``trace``).
+
+Only where edges form cycles do simple paths have to remember where they have been, and only those nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cut import checkpointed
+from .graph import components, reach
 
 STEP = ["source_table", "source_column", "target_table", "target_column", "ultimate_source_table", "ultimate_source_column", "ultimate_target_table", "ultimate_target_column", "level_top_to_bottom", "level_bottom_to_top"]
+#: So many hops are followed before the graph is asked for cycles; chains are rarely longer.
+UNCHECKED = 12
+Cut = Callable[[DataFrame], DataFrame]
 
 
 def cleaned(records: DataFrame) -> DataFrame:
@@ -56,29 +67,174 @@ def final_outputs(records: DataFrame) -> DataFrame:
     return targets.filter("target_table = ''").unionByName(unread)
 
 
-def chain_paths(records: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None, most: int | None = None) -> DataFrame:
-    """path: array of nodes from a base column to a final output, every simple path once.
+class Graph:
+    """The edges of records, read once: links (source, target, from_base), without edges from a column to itself.
 
-    A column without sources ends a chain if its table is empty or a base table; other dead ends give no
-    chain, nor do paths that only run in a circle. ``most`` stops after so many hops (default: no limit).
+    ``heads`` are where chains start: columns of base tables, and columns of no table that nothing leads to. ``finals`` are
+    the outputs that something leads to.
     """
-    cut = cut or checkpointed
-    links = cut(edges(records))
-    finals = final_outputs(records).select(node("target_table", "target_column").alias("target"))
-    sourced = links.select(F.col("target").alias("head")).distinct()
-    front = finals.join(links, "target").filter("source <> target").select(F.array("source", "target").alias("path"), "from_base")
-    done, hops = None, 1
+
+    def __init__(self, records: DataFrame, cut: Cut | None = None):
+        self.cut = cut or checkpointed
+        self.rows = self.cut(cleaned(records).filter("target_column <> '' or target_table <> ''").distinct())
+        self.all = self.cut(edges(self.rows))
+        self.links = self.all.filter("source <> target")
+
+    @property
+    def heads(self) -> DataFrame:
+        lonely = self.all.filter("not from_base and source.table = ''").select(F.col("source").alias("node"))
+        lonely = lonely.join(self.all.select(F.col("target").alias("node")), "node", "left_anti")
+        return self.all.filter("from_base").select(F.col("source").alias("node")).union(lonely).distinct()
+
+    @property
+    def finals(self) -> DataFrame:
+        ends = final_outputs(self.rows).select(node("target_table", "target_column").alias("node"))
+        return ends.join(self.links.select(F.col("target").alias("node")), "node", "left_semi")
+
+    def cyclic(self) -> DataFrame:
+        """The nodes of cycles of two edges or more."""
+        return self.cut(components(self.links, self.cut).select("node"))
+
+    def sides(self) -> tuple[DataFrame, DataFrame | None]:
+        """(down, node, end, hops): the heads above each node (down) and the finals below it, with every distance, over paths
+        that touch no cycle; and the nodes of cycles, None if there are none.
+
+        All rows of a round have the same distance, so a round's rows are new by themselves.
+        """
+        both = lambda links: links.select(F.lit(True).alias("down"), F.col("source").alias("node"), F.col("target").alias("to")).unionByName(links.select(F.lit(False).alias("down"), F.col("target").alias("node"), F.col("source").alias("to")))
+        start = self.heads.withColumn("down", F.lit(True)).unionByName(self.finals.withColumn("down", F.lit(False)))
+        cycles, ways = None, both(self.links)
+        front = self.cut(start.select("down", "node", F.col("node").alias("end"), F.lit(0).alias("hops")))
+        done = [front]
+        while True:
+            front = self.cut(front.join(ways, ["down", "node"]).select("down", F.col("to").alias("node"), "end", (F.col("hops") + 1).alias("hops")).distinct())
+            if front.isEmpty():
+                return reduce(DataFrame.unionByName, done), cycles
+            done.append(front)
+            if len(done) == UNCHECKED and cycles is None:
+                cycles = self.cyclic()
+                if cycles.isEmpty():
+                    continue
+                off = lambda df, *cs: reduce(lambda d, c: d.join(cycles.withColumnRenamed("node", c), c, "left_anti"), cs, df)  # noqa: E731, B023
+                ways = both(off(self.links, "source", "target"))
+                front = self.cut(off(done[0], "node"))
+                done = [front]
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """(source, target, head, final, top, bottom) as steps."""
+    values = [F.col(f"{n}.{part}") for n in ("source", "target", "head", "final") for part in ("table", "column")]
+    return rows.select(*[v.alias(name) for v, name in zip([*values, F.col("top"), F.col("bottom")], STEP, strict=True)])
+
+
+def chain_steps(records: DataFrame, cut: Cut | None = None) -> DataFrame:
+    """A row for each hop of each chain, with the chain's ends and the level from either; equal rows once.
+
+    A column without sources starts a chain if its table is empty or a base table; other dead ends give none, nor
+    do paths that only run in a circle. Chains are simple paths: none comes to a column twice.
+    """
+    graph = Graph(records, cut)
+    sides, cycles = graph.sides()
+    above = sides.filter("down").select(F.col("node").alias("source"), F.col("end").alias("head"), (F.col("hops") + 1).alias("top"))
+    below = sides.filter("not down").select(F.col("node").alias("target"), F.col("end").alias("final"), (F.col("hops") + 1).alias("bottom"))
+    straight = _named(graph.links.select("source", "target").join(above, "source").join(below, "target"))
+    if cycles is None or cycles.isEmpty():
+        return straight
+    return straight.unionByName(explode_steps(_paths(graph, graph.finals, cycles, through=True, prune=True))).distinct()
+
+
+def _alive(graph: Graph, ends: DataFrame, cycles: DataFrame | None, through: bool) -> DataFrame:
+    """Links that lie between a head and an end (between a cycle's node and an end, or above one, if paths go ``through`` cycles)."""
+    up, down = graph.links.select("source", "target"), graph.links.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    above, below = closed(up, ends, graph.cut), closed(down, graph.heads, graph.cut)
+    links = graph.links.join(above.withColumnRenamed("node", "target"), "target", "left_semi").join(below.withColumnRenamed("node", "source"), "source", "left_semi")
+    if through:
+        near = closed(down, cycles, graph.cut).unionByName(closed(up, cycles, graph.cut)).distinct()
+        links = links.join(near.withColumnRenamed("node", "target"), "target", "left_semi").join(near.withColumnRenamed("node", "source"), "source", "left_semi")
+    return graph.cut(links)
+
+
+def closed(links: DataFrame, ends: DataFrame, cut: Cut) -> DataFrame:
+    """node: the ends and all that lead to them."""
+    known = front = cut(ends.select("node").distinct())
+    parts = [known]
     while True:
-        front = cut(front)
-        head = front.withColumn("head", F.col("path")[0])
-        open_ends = head.filter("not from_base").join(sourced, "head", "left_anti").filter("head.table = ''")
-        ended = head.filter("from_base").select("path").unionByName(open_ends.select("path"))
-        done = ended if done is None else done.unionByName(ended)
-        hops += 1
-        grown = head.filter("not from_base").join(links.select(F.col("target").alias("head"), "source", F.col("from_base").alias("base")), "head")
-        front = grown.filter(~F.array_contains("path", F.col("source"))).select(F.concat(F.array("source"), "path").alias("path"), F.col("base").alias("from_base"))
-        if (most is not None and hops > most) or front.isEmpty():
-            return done
+        came = links.join(front.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node")).distinct()
+        front = cut(came.join(known, "node", "left_anti"))
+        if front.isEmpty():
+            return known
+        parts.append(front)
+        known = reduce(DataFrame.unionByName, parts)
+
+
+def _paths(graph: Graph, ends: DataFrame, cycles: DataFrame | None = None, through: bool = False, most: int | None = None, prune: bool = False) -> DataFrame:
+    """path: arrays of nodes from a head to an end, each simple path once; only those by way of a cycle's node with ``through``.
+
+    Paths grow upstream as rows (level, id, parent, node) that share what they have in common; ``seen`` holds the nodes
+    of cycles that a path has been to, all that it must not come to again. Where ``cycles`` is not given, it is found out when
+    paths do not end, and growth starts again if there are any. ``prune`` first drops what leads from no head or to no end.
+    """
+    cut, links = graph.cut, _alive(graph, ends, cycles, through) if prune else graph.links
+    on = links.select("source", "target", "from_base")
+    none = F.array().cast("array<struct<table:string,column:string>>")
+    marked = (lambda df: df.join(cycles.select("node", F.lit(True).alias("cyclic")), "node", "left")) if cycles is not None else (lambda df: df.withColumn("cyclic", F.lit(None).cast("boolean")))
+    sourced = graph.all.select(F.col("target").alias("node")).distinct()
+    first = marked(ends.select("node").distinct()).select(F.lit(0).alias("level"), F.monotonically_increasing_id().alias("id"), F.lit(None).cast("long").alias("parent"), "node", F.lit(False).alias("from_base"), F.when(F.col("cyclic"), F.array("node")).otherwise(none).alias("seen"))
+    front, forest, ended, level = cut(first), [], [], 0
+    while True:
+        forest.append(front.select("level", "id", "parent", "node"))
+        if level:
+            over = front.filter("from_base").unionByName(front.filter("not from_base and node.table = ''").join(sourced, "node", "left_anti").select(*front.columns))
+            ended.append((over.filter(F.size("seen") > 0) if through else over).select("level", "id"))
+        level += 1
+        if most is not None and level > most:
+            break
+        if level == UNCHECKED and cycles is None:
+            found = graph.cyclic()
+            if not found.isEmpty():
+                return _paths(graph, ends, found, through, most, True)
+        grown = front.filter("not from_base").select(F.col("id").alias("parent"), F.col("node").alias("target"), "seen").join(on, "target").select("parent", F.col("source").alias("node"), "from_base", "seen")
+        grown = marked(grown).filter(F.col("cyclic").isNull() | ~F.array_contains("seen", F.col("node")))
+        front = cut(grown.select(F.lit(level).alias("level"), F.monotonically_increasing_id().alias("id"), "parent", "node", "from_base", F.when(F.col("cyclic"), F.concat(F.array("node"), "seen")).otherwise(F.col("seen")).alias("seen")))
+        if front.isEmpty():
+            break
+    if not ended:
+        return ends.select(F.array("node").alias("path")).limit(0)
+    rows = reduce(DataFrame.unionByName, forest).select(F.struct("level", "id").alias("row"), F.when(F.col("level") > 0, F.struct((F.col("level") - 1).alias("level"), F.col("parent").alias("id"))).alias("up"), F.array("node").alias("path"))
+    leaves = reduce(DataFrame.unionByName, ended).select(F.struct("level", "id").alias("row"))
+    span = 1
+    while span < len(forest):  # each round doubles the nodes that a row holds
+        next_ = rows.select(F.col("row").alias("up"), F.col("path").alias("rest"), F.col("up").alias("further"))
+        rows = rows.join(next_, "up", "left").select("row", F.col("further").alias("up"), F.when(F.col("rest").isNotNull(), F.concat("path", "rest")).otherwise(F.col("path")).alias("path"))
+        span *= 2
+        if span < len(forest):
+            rows = cut(rows)
+    return rows.join(leaves, "row", "left_semi").select("path")
+
+
+def chain_paths(records: DataFrame, cut: Cut | None = None, most: int | None = None) -> DataFrame:
+    """path: array of nodes from a base column to a final output, every simple path once.
+
+    Chains start and end as those of ``chain_steps``; ``most`` stops after so many hops (default: no limit).
+    """
+    graph = Graph(records, cut)
+    return _paths(graph, graph.finals, None if most is None or most >= UNCHECKED else graph.cyclic(), most=most)
+
+
+def trace(records: DataFrame, targets: DataFrame, cut: Cut | None = None) -> DataFrame:
+    """path: the chains of given columns (table_name, column_name), whether they are final or not.
+
+    Only what lies between base columns and the targets is followed. A target that nothing leads to is a path by itself if it
+    has no table or a base table; a target that only other dead ends lead to has none. Names are trimmed, null is empty.
+    """
+    graph = Graph(records, cut)
+    name = lambda c: F.coalesce(F.trim(F.col(c)), F.lit(""))
+    asked = graph.cut(targets.select(node(name("table_name"), name("column_name")).alias("node")).distinct())
+    paths = _paths(graph, asked, prune=True)
+    alone = asked.join(graph.all.select(F.col("target").alias("node")), "node", "left_anti")
+    base = base_tables(graph.rows).select(F.col("table_name"))
+    alone = alone.filter("node.table = ''").unionByName(alone.join(base, F.col("node.table") == F.col("table_name"), "left_semi"))
+    return paths.unionByName(alone.select(F.array("node").alias("path")))
 
 
 def explode_steps(paths: DataFrame) -> DataFrame:
@@ -86,39 +242,39 @@ def explode_steps(paths: DataFrame) -> DataFrame:
     n = F.size("path")
     hops = F.arrays_zip(F.slice("path", F.lit(1), n - 1).alias("s"), F.slice("path", F.lit(2), n - 1).alias("t"))
     rows = paths.select("path", n.alias("n"), F.posexplode(hops).alias("i", "hop"))
-    first, last = F.col("path")[0], F.element_at("path", -1)
-    values = [F.col("hop.s.table"), F.col("hop.s.column"), F.col("hop.t.table"), F.col("hop.t.column"), first["table"], first["column"], last["table"], last["column"], F.col("i") + 1, F.col("n") - 1 - F.col("i")]
-    return rows.select(*[v.alias(name) for v, name in zip(values, STEP, strict=True)]).distinct()
+    return _named(rows.select(F.col("hop.s").alias("source"), F.col("hop.t").alias("target"), F.col("path")[0].alias("head"), F.element_at("path", -1).alias("final"), (F.col("i") + 1).alias("top"), (F.col("n") - 1 - F.col("i")).alias("bottom"))).distinct()
 
 
-def chain_steps(records: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    return explode_steps(chain_paths(records, cut))
+def cycle_nodes(records: DataFrame, cut: Cut | None = None) -> DataFrame:
+    """table, column of the nodes from which following edges leads back to them: nodes of strongly connected components of
+    two or more, and those with an edge to themselves."""
+    graph = Graph(records, cut)
+    own = graph.all.filter("source = target").select(F.col("source").alias("node"))
+    return graph.cyclic().union(own).distinct().select("node.*")
 
 
-def cycle_nodes(records: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """table, column of the nodes from which following edges leads back to them: what remains when nodes without
-    a way in or out are taken away again and again, less what merely lies between cycles."""
-    cut = cut or checkpointed
-    links = cut(edges(records).select("source", "target").distinct())
-    count = links.count()
-    while True:
-        sources, targets = links.select(F.col("source").alias("n")).distinct(), links.select(F.col("target").alias("n")).distinct()
-        both = sources.join(targets, "n")
-        kept = cut(links.join(both, F.col("source") == F.col("n"), "left_semi").join(both, F.col("target") == F.col("n"), "left_semi"))
-        left = kept.count()
-        if left == count or not left:
-            break
-        links, count = kept, left
-    reach = kept
-    size = reach.count()
-    while size:
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.target") == F.col("b.source")).select(F.col("a.source").alias("source"), F.col("b.target").alias("target"))
-        reach = cut(reach.union(longer).distinct())
-        now = reach.count()
-        if now == size:
-            break
-        size = now
-    return reach.filter("source = target").select("source.*").distinct()
+def fanout(records: DataFrame, cut: Cut | None = None) -> DataFrame:
+    """How many different final columns each ultimate source column reaches; no path is enumerated, cycles do not matter."""
+    graph = Graph(records, cut)
+    reached = reach(graph.links.select("source", "target"), graph.finals, graph.cut).join(graph.heads, "node", "left_semi")
+    return reached.groupBy("node").agg(F.sum(F.bit_count("bits")).alias("targets")).select(F.col("node.table").alias("ultimate_source_table"), F.col("node.column").alias("ultimate_source_column"), "targets")
+
+
+def summary(records: DataFrame, cut: Cut | None = None) -> DataFrame:
+    """What ``chain_summary`` says of a graph's steps, from the two sides of each edge: heads above and finals below, by distance.
+
+    Where cycles are, chains by way of them are followed as paths, since only simple ones count.
+    """
+    graph = Graph(records, cut)
+    sides, cycles = graph.sides()
+    if cycles is not None and not cycles.isEmpty():
+        return chain_summary(chain_steps(records, cut))
+    sides = graph.cut(sides.groupBy("down", "node").agg(F.count("*").alias("k"), F.max("hops").alias("far"), F.max((F.col("hops") == 0).cast("int")).alias("own")))
+    up, down = sides.filter("down"), sides.filter("not down")
+    met = graph.links.select("source", "target").join(up.select(F.col("node").alias("source"), F.col("k").alias("a"), F.col("far").alias("fa"), F.col("own").alias("oa")), "source")
+    met = met.join(down.select(F.col("node").alias("target"), F.col("k").alias("b"), F.col("far").alias("fb"), F.col("own").alias("ob")), "target")
+    counted = met.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("steps"), F.countDistinct(F.when(F.col("oa") == 1, F.col("source"))).alias("sources"), F.countDistinct(F.when(F.col("ob") == 1, F.col("target"))).alias("targets"), F.sum(F.col("a") * F.col("b") - F.col("oa") * F.col("ob")).alias("multi_level_steps"), F.max(F.col("fa") + 1).alias("deepest"))
+    return counted
 
 
 def chain_summary(steps: DataFrame) -> DataFrame:
@@ -129,7 +285,7 @@ def chain_summary(steps: DataFrame) -> DataFrame:
 
 
 def chain_fanout(steps: DataFrame) -> DataFrame:
-    """How many different final columns each ultimate source column reaches."""
+    """How many different final columns each ultimate source column reaches, of steps as they were written."""
     target = F.struct("ultimate_target_table", "ultimate_target_column")
     return steps.groupBy("ultimate_source_table", "ultimate_source_column").agg(F.countDistinct(target).alias("targets"))
 

@@ -387,8 +387,8 @@ QUERIES: dict[str, Query] = {
     "chain_final_outputs": lambda s, d: chains.final_outputs(provenance(s, d)),
     "chain_paths": lambda s, d: _paths_as_text(chains.chain_paths(provenance(s, d))),
     "chain_steps": lambda s, d: chains.chain_steps(provenance(s, d)),
-    "chain_summary": lambda s, d: chains.chain_summary(chains.chain_steps(provenance(s, d))),
-    "chain_fanout": lambda s, d: chains.chain_fanout(chains.chain_steps(provenance(s, d))),
+    "chain_summary": lambda s, d: chains.summary(provenance(s, d)),
+    "chain_fanout": lambda s, d: chains.fanout(provenance(s, d)),
     "chain_cycle_nodes": lambda s, d: chains.cycle_nodes(circular(s, d)).select(F.col("table").alias("table_name"), F.col("column").alias("column_name")),
     "resolve_names": resolve_names,
     "resolve_stars": resolve_stars,
