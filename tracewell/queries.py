@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,79 @@ def circular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.unionByName(edge(c.filter("c_custkey % 5 = 0"), "customer", _key("c_custkey"), "nation", _key("c_nationkey")))
 
 
+def _edge(df: DataFrame, a, x, b, y) -> DataFrame:
+    as_col = lambda v: F.lit(v) if isinstance(v, str) else v
+    return df.select(as_col(a).alias("source_table"), as_col(x).alias("source_column"), as_col(b).alias("target_table"), as_col(y).alias("target_column"))
+
+
+def circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of five suppliers, every second ring led to the next by a column that is on no cycle; single ones lead to themselves."""
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    ring = s.withColumn("next", F.coalesce(F.lead("k").over(resolve.Window.partitionBy(F.expr("k div 5")).orderBy("k")), F.min("k").over(resolve.Window.partitionBy(F.expr("k div 5")))))
+    rings = _edge(ring, "supplier", _key("k"), "supplier", _key("next"))
+    ends = s.filter("k % 10 = 4")
+    bridge = _edge(ends, "supplier", _key("k"), "bridge", _key("k")).unionByName(_edge(ends, "bridge", _key("k"), "supplier", (F.col("k") + 1).cast("string")))
+    return circular(spark, sf_dir).unionByName(rings).unionByName(bridge)
+
+
+def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations lead into rings of five suppliers, each of which leads to its nation's output; dead ends lead in as well."""
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    ring = s.withColumn("next", F.coalesce(F.lead("k").over(resolve.Window.partitionBy(F.expr("k div 5")).orderBy("k")), F.min("k").over(resolve.Window.partitionBy(F.expr("k div 5")))))
+    parts = [
+        _edge(s.filter("k % 5 = 1"), "nation", _key("n"), "supplier", _key("k")),
+        _edge(ring, "supplier", _key("k"), "supplier", _key("next")),
+        _edge(s, "supplier", _key("k"), "", _key("n")),
+        _edge(s.filter("k % 7 = 0"), "nation", _key("n"), "ghost", F.concat(F.lit("g"), _key("k"))),
+        _edge(s.filter("k % 3 = 0"), "ghost", F.concat(F.lit("h"), _key("k")), "supplier", _key("k")),
+        _edge(s.filter("k % 4 = 0"), "nation", _key("n"), "", _key("n")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_TANGLED = """s AS (SELECT s_suppkey AS k, s_nationkey AS n, coalesce(lead(s_suppkey) OVER w, first(s_suppkey) OVER w) AS next FROM supplier WINDOW w AS (PARTITION BY s_suppkey // 5 ORDER BY s_suppkey)),
+r AS (SELECT DISTINCT * FROM (
+  SELECT 'nation' AS st, CAST(n AS VARCHAR) AS sc, 'supplier' AS tt, CAST(k AS VARCHAR) AS tc FROM s WHERE k % 5 = 1
+  UNION ALL SELECT 'supplier', CAST(k AS VARCHAR), 'supplier', CAST(next AS VARCHAR) FROM s UNION ALL SELECT 'supplier', CAST(k AS VARCHAR), '', CAST(n AS VARCHAR) FROM s
+  UNION ALL SELECT 'nation', CAST(n AS VARCHAR), 'ghost', 'g' || k FROM s WHERE k % 7 = 0 UNION ALL SELECT 'ghost', 'h' || k, 'supplier', CAST(k AS VARCHAR) FROM s WHERE k % 3 = 0
+  UNION ALL SELECT 'nation', CAST(n AS VARCHAR), '', CAST(n AS VARCHAR) FROM s WHERE k % 4 = 0) x),
+f AS (SELECT DISTINCT tt, tc FROM r WHERE tt IN ('', 'ghost')),
+p(head, path) AS (SELECT r.st || '.' || r.sc, [r.st || '.' || r.sc, r.tt || '.' || r.tc] FROM f JOIN r USING (tt, tc)
+  UNION ALL SELECT r.st || '.' || r.sc, list_prepend(r.st || '.' || r.sc, path) FROM p JOIN r ON r.tt || '.' || r.tc = head WHERE NOT list_contains(path, r.st || '.' || r.sc)),
+d AS (SELECT path FROM p WHERE head LIKE 'nation.%')"""
+_TANGLED_STEPS = f"""WITH RECURSIVE {_TANGLED}, e AS (SELECT path, unnest(range(1, len(path))) AS i FROM d)
+SELECT DISTINCT split_part(path[i], '.', 1) AS source_table, split_part(path[i], '.', 2) AS source_column, split_part(path[i + 1], '.', 1) AS target_table, split_part(path[i + 1], '.', 2) AS target_column,
+  split_part(path[1], '.', 1) AS ultimate_source_table, split_part(path[1], '.', 2) AS ultimate_source_column, split_part(path[-1], '.', 1) AS ultimate_target_table, split_part(path[-1], '.', 2) AS ultimate_target_column,
+  CAST(i AS INTEGER) AS level_top_to_bottom, CAST(len(path) - i AS INTEGER) AS level_bottom_to_top FROM e"""
+_TANGLED_FANOUT = f"WITH RECURSIVE {_TANGLED} SELECT 'nation' AS ultimate_source_table, split_part(path[1], '.', 2) AS ultimate_source_column, count(DISTINCT path[-1]) AS targets FROM d GROUP BY path[1]"
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tables: the columns of each go to the table of half its number, every third to the output of a SELECT."""
+    p = _table(spark, sf_dir, "part")
+    table = lambda k: F.concat(F.lit("t"), k.cast("string"))
+    target = F.when(F.col("p_partkey") % 3 > 0, table(F.expr("p_partkey div 2"))).otherwise("")
+    return provenance(spark, sf_dir).unionByName(_edge(p, table(F.col("p_partkey")), F.col("p_brand"), target, F.col("p_type")))
+
+
+_NAMED = """n AS (SELECT 't' || p_partkey AS st, p_brand AS sc, CASE WHEN p_partkey % 3 > 0 THEN 't' || (p_partkey // 2) ELSE '' END AS tt, p_type AS tc FROM part),
+made AS (SELECT DISTINCT tt FROM n WHERE tt <> '')"""
+
+
+def traced_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of every tenth customer, of finished orders, of a base column, and of columns that nobody has."""
+    ask = lambda df, t, c: df.select(F.lit(t).alias("table_name"), c.alias("column_name"))
+    targets = ask(_table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0"), "customer", _key("c_custkey"))
+    targets = targets.unionByName(ask(_table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), "orders", _key("o_orderkey")))
+    targets = targets.unionByName(ask(_table(spark, sf_dir, "region"), "region", _key("r_regionkey"))).unionByName(ask(_table(spark, sf_dir, "supplier"), "customer", F.concat(F.lit("none"), _key("s_suppkey"))))
+    return _paths_as_text(chains.trace(provenance(spark, sf_dir), targets))
+
+
+_TRACED_SQL = """SELECT 'region.' || n_regionkey || '>nation.' || n_nationkey || '>customer.' || c_custkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0
+UNION ALL SELECT 'region.' || n_regionkey || '>nation.' || n_nationkey || '>customer.' || c_custkey || '>orders.' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'region.' || r_regionkey FROM region"""
+
+
 _FULL = """
   SELECT CAST(n_regionkey AS VARCHAR) AS r, CAST(n_nationkey AS VARCHAR) AS n, CAST(c_custkey AS VARCHAR) AS c, CAST(o_orderkey AS VARCHAR) AS o, o_orderpriority AS p
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
@@ -381,15 +455,18 @@ def unpivot_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "chain_created_tables": lambda s, d: chains.created_tables(provenance(s, d)),
-    "chain_base_tables": lambda s, d: chains.base_tables(provenance(s, d)),
+    "chain_created_tables": lambda s, d: chains.created_tables(named(s, d)),
+    "chain_base_tables": lambda s, d: chains.base_tables(named(s, d)),
     "chain_edges": lambda s, d: chains.edges(provenance(s, d)).select(F.col("source.table").alias("source_table"), F.col("source.column").alias("source_column"), F.col("target.table").alias("target_table"), F.col("target.column").alias("target_column"), "from_base"),
-    "chain_final_outputs": lambda s, d: chains.final_outputs(provenance(s, d)),
+    "chain_final_outputs": lambda s, d: chains.final_outputs(named(s, d)),
     "chain_paths": lambda s, d: _paths_as_text(chains.chain_paths(provenance(s, d))),
     "chain_steps": lambda s, d: chains.chain_steps(provenance(s, d)),
     "chain_summary": lambda s, d: chains.summary(provenance(s, d)),
     "chain_fanout": lambda s, d: chains.fanout(provenance(s, d)),
-    "chain_cycle_nodes": lambda s, d: chains.cycle_nodes(circular(s, d)).select(F.col("table").alias("table_name"), F.col("column").alias("column_name")),
+    "chain_cycle_nodes": lambda s, d: chains.cycle_nodes(circuits(s, d)).select(F.col("table").alias("table_name"), F.col("column").alias("column_name")),
+    "chain_tangled_steps": lambda s, d: chains.chain_steps(tangled(s, d)),
+    "chain_tangled_fanout": lambda s, d: chains.fanout(tangled(s, d)),
+    "chain_trace": traced_columns,
     "resolve_names": resolve_names,
     "resolve_stars": resolve_stars,
     "resolve_lone_names": resolve_lone_names,
@@ -410,12 +487,15 @@ QUERIES: dict[str, Query] = {
 } | {name: _sql(text) for name, text in SQL.items()}
 
 ORACLES: dict[str, str] = {
-    "chain_created_tables": "SELECT 'nation' AS table_name WHERE EXISTS (SELECT 1 FROM nation) UNION ALL SELECT 'customer' WHERE EXISTS (SELECT 1 FROM customer) UNION ALL SELECT 'orders' WHERE EXISTS (SELECT 1 FROM orders)",
-    "chain_base_tables": "SELECT 'region' AS table_name WHERE EXISTS (SELECT 1 FROM nation)",
+    "chain_created_tables": f"WITH {_NAMED} SELECT 'nation' AS table_name WHERE EXISTS (SELECT 1 FROM nation) UNION ALL SELECT 'customer' WHERE EXISTS (SELECT 1 FROM customer) UNION ALL SELECT 'orders' WHERE EXISTS (SELECT 1 FROM orders) UNION ALL SELECT tt FROM made",
+    "chain_base_tables": f"WITH {_NAMED} SELECT 'region' AS table_name WHERE EXISTS (SELECT 1 FROM nation) UNION ALL SELECT DISTINCT st FROM n WHERE st NOT IN (SELECT tt FROM made)",
     "chain_edges": "SELECT 'region' AS source_table, CAST(n_regionkey AS VARCHAR) AS source_column, 'nation' AS target_table, CAST(n_nationkey AS VARCHAR) AS target_column, true AS from_base FROM nation UNION SELECT 'nation', CAST(c_nationkey AS VARCHAR), 'customer', CAST(c_custkey AS VARCHAR), false FROM customer UNION SELECT 'customer', CAST(o_custkey AS VARCHAR), 'orders', CAST(o_orderkey AS VARCHAR), false FROM orders UNION SELECT 'orders', CAST(o_orderkey AS VARCHAR), '', o_orderpriority, false FROM orders",
-    "chain_final_outputs": "SELECT DISTINCT '' AS target_table, o_orderpriority AS target_column FROM orders UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer) UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "chain_final_outputs": f"WITH {_NAMED} SELECT '' AS target_table, o_orderpriority AS target_column FROM orders UNION SELECT '', tc FROM n WHERE tt = '' UNION SELECT tt, tc FROM n WHERE tt <> '' AND NOT EXISTS (SELECT 1 FROM n u WHERE u.st = n.tt AND u.sc = n.tc) UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer) UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "chain_paths": f"WITH f AS ({_FULL}) SELECT 'region.' || r || '>nation.' || n || '>customer.' || c || '>orders.' || o || '>.' || p AS path FROM f UNION ALL SELECT 'region.' || n_regionkey || '>nation.' || n_nationkey || '>customer.' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'region.' || n_regionkey || '>nation.' || n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)",
-    "chain_cycle_nodes": "SELECT 'customer' AS table_name, CAST(c_custkey AS VARCHAR) AS column_name FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT DISTINCT 'nation', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey % 5 = 0",
+    "chain_cycle_nodes": "SELECT 'customer' AS table_name, CAST(c_custkey AS VARCHAR) AS column_name FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT DISTINCT 'nation', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier",
+    "chain_tangled_steps": _TANGLED_STEPS,
+    "chain_tangled_fanout": _TANGLED_FANOUT,
+    "chain_trace": _TRACED_SQL,
     "resolve_names": _NAMES_SQL,
     "resolve_stars": _STARS_SQL,
     "resolve_lone_names": _LONE_SQL,
