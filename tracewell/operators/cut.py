@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of spark.checkpoint.dir (one of our own where it is unset), so that plans
-    stay short and a lost executor costs nothing that was done before."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder below spark.checkpoint.dir, which driver and executors share; one of our own where that is unset and
+    all run on one machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tracewell-"))
+        found = spark.conf.get("spark.checkpoint.dir", "")
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: the executors need a folder that they share with the driver")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tracewell-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder, so that plans stay short and a lost executor costs nothing that was done before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

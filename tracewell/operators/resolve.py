@@ -85,56 +85,61 @@ def expand_stars(projections: DataFrame, columns: DataFrame) -> DataFrame:
     return rows.select("scope", "proj", el.alias("el"), "expression", F.col("name").alias("output_column"), F.lit(0).alias("origin_ord"), "origin_table", "origin_column")
 
 
+def _scoped(sources: DataFrame, columns: DataFrame, pivots: DataFrame) -> DataFrame:
+    """One row for each scope: file, s (its sources in order), k (the columns they show, with origins), pv (sources behind a pivot)."""
+    source = F.struct("src_ord", "alias", "kind", "table_name").alias("s")
+    shown = F.struct("name", "src_ord", "origin_ord", F.col("origin_table").alias("t"), F.col("origin_column").alias("c")).alias("k")
+    rows = sources.select("scope", "file", source).unionByName(columns.select("scope", shown), allowMissingColumns=True).unionByName(pivots.select("scope", F.col("src_ord").alias("pv")), allowMissingColumns=True)
+    return rows.groupBy("scope").agg(F.max("file").alias("file"), F.array_sort(F.collect_list("s")).alias("s"), F.array_sort(F.collect_list("k")).alias("k"), F.collect_set("pv").alias("pv"))
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """Adds what the sources answer (ans) and, where the first rules settle it, the answer (settled); else the tables in question."""
+    answer = "named_struct('src_ord', {}, 'origin_ord', {}, 't', {}, 'c', {})"
+    mine = "filter(k, y -> y.name = name)"
+    shown = f"transform(filter(own, y -> y.src_ord = x.src_ord), y -> {answer.format('y.src_ord', 'y.origin_ord', 'y.t', 'y.c')})"
+    blind = f"array({answer.format('x.src_ord', '0', 'CASE WHEN x.kind = \'table\' THEN x.table_name END', 'name')})"
+    kind = "array<struct<src_ord:int,origin_ord:int,t:string,c:string>>"
+    per_source = f"CASE WHEN exists(own, y -> y.src_ord = x.src_ord) THEN {shown} WHEN x.kind IN ('table', 'values') THEN {blind} ELSE CAST(array() AS {kind}) END"
+    sources = "coalesce(s, CAST(array() AS array<struct<src_ord:int,alias:string,kind:string,table_name:string>>))"
+    known = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(m).alias("means")) for p, m in sorted(PREFIXES, key=lambda x: (-len(x[0]), x[0]))])
+    one = lambda t: f"CAST(array({answer.format(0, 0, t, 'name')}) AS {kind})"
+    return (
+        asked.withColumns({"s": F.expr(sources), "own": F.expr(f"coalesce({mine}, array())"), "known": known})
+        .withColumns({"n_sources": F.size("s"), "asks": F.expr("CASE WHEN qualifier IS NULL THEN s ELSE slice(filter(s, x -> x.alias = qualifier), 1, 1) END"), "direct": F.expr("filter(s, x -> x.kind = 'table' AND NOT array_contains(pv, x.src_ord))")})
+        .withColumns({"ans": F.expr(f"CAST(flatten(transform(asks, x -> {per_source})) AS {kind})"), "hits": F.expr("transform(filter(direct, x -> exists(own, y -> y.src_ord = x.src_ord)), x -> x.table_name)"), "taking": F.expr("transform(direct, x -> x.table_name)")})
+        .withColumn("meant", F.expr("filter(known, p -> startswith(name, p.prefix) AND exists(taking, t -> endswith(t, p.means)))"))
+        .withColumn("settled", F.expr(f"CASE WHEN qualifier IS NOT NULL OR n_sources = 1 THEN ans WHEN size(hits) = 1 THEN {one('hits[0]')} WHEN size(meant) > 0 THEN {one('meant[0].means')} END"))
+        .withColumn("tables", F.expr("CASE WHEN settled IS NULL THEN array_distinct(filter(transform(ans, a -> a.t), t -> t IS NOT NULL)) ELSE array() END"))
+        .withColumn("open", F.expr("CASE WHEN size(tables) > 1 THEN array_except(tables, taking) ELSE array() END"))
+        .drop("s", "k", "pv", "own", "known", "asks", "direct", "meant")
+    )
+
+
 def resolve_refs(refs: DataFrame, sources: DataFrame, columns: DataFrame, catalog: DataFrame, pivots: DataFrame) -> DataFrame:
     """refs (scope, proj, ref_ord, qualifier, name) -> scope, proj, ref_ord, ans_ord, origin_table, origin_column.
 
     A qualified name is asked of the first source of that alias, an unqualified one of the only source. Among
     several sources the one table whose schema has the column decides, then the prefix of the name, then what
     the sources answer: of several tables the one whose schema alone has it, else the first table.
+
+    A scope's sources and columns are one row; references join it by scope, so a scope of very many references is split as
+    any skewed join, and the rules are functions over the arrays of that row. Only tables that came through
+    queries are looked up in the catalog, for the references they leave open.
     """
     ref = ["scope", "proj", "ref_ord"]
-    plain = sources.join(pivots.select("scope", "src_ord", F.lit(True).alias("pivoted")), ["scope", "src_ord"], "left").withColumn("direct", (F.col("kind") == "table") & F.col("pivoted").isNull())
-    counted = plain.groupBy("scope").agg(F.count("*").alias("n_sources"))
-    asked = refs.join(counted, "scope", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
-    pairs = asked.join(plain, "scope").filter(F.col("qualifier").isNull() | (F.col("qualifier") == F.col("alias")))
-    pairs = pairs.withColumn("least", F.min("src_ord").over(Window.partitionBy(*ref))).filter(F.col("qualifier").isNull() | (F.col("src_ord") == F.col("least")))
-    pairs = pairs.join(catalog.select("file", "table_name", F.col("column_name").alias("name"), F.lit(True).alias("listed")), ["file", "table_name", "name"], "left")
-    pairs = pairs.withColumn("hit", F.col("direct") & F.col("listed").isNotNull())
-
-    known = columns.select("scope", "src_ord", "name", F.col("origin_ord"), F.col("origin_table").alias("t"), F.col("origin_column").alias("c"))
-    answers = pairs.join(known, ["scope", "src_ord", "name"], "left")
-    blind = F.col("c").isNull() & F.col("t").isNull() & F.col("kind").isin("table", "values") & F.col("origin_ord").isNull()
-    answers = answers.withColumn("ok", F.col("origin_ord").isNotNull() | blind)
-    answers = answers.withColumns({"t": F.when(blind & (F.col("kind") == "table"), F.col("table_name")).otherwise(F.col("t")), "c": F.when(blind, F.col("name")).otherwise(F.col("c"))})
-    answers = answers.filter("ok").select(*ref, "file", "name", "qualifier", "n_sources", "src_ord", "direct", F.coalesce("origin_ord", F.lit(0)).alias("origin_ord"), "t", "c")
-
-    single = answers.filter("qualifier is not null or n_sources = 1").select(*ref, "src_ord", "origin_ord", "t", "c")
-    many = pairs.filter("qualifier is null and n_sources > 1")
-    hits = many.filter("hit").groupBy(*ref).agg(F.count("*").alias("k"), F.min("table_name").alias("t"), F.min("name").alias("c")).filter("k = 1")
-    hits = hits.select(*ref, F.lit(0).alias("src_ord"), F.lit(0).alias("origin_ord"), "t", "c")
-    spark = refs.sparkSession
-    prefixes = F.broadcast(spark.createDataFrame(PREFIXES, "prefix string, means string"))
-    meant = many.filter("direct").join(prefixes, F.startswith("name", "prefix") & F.endswith("table_name", "means"))
-    meant = _first(meant.join(hits.select(*ref), ref, "left_anti"), ref, [F.desc(F.length("prefix")), "prefix"])
-    meant = meant.select(*ref, F.lit(0).alias("src_ord"), F.lit(0).alias("origin_ord"), F.col("means").alias("t"), F.col("name").alias("c"))
-    settled = hits.select(*ref).union(meant.select(*ref))
-    rest = answers.filter("qualifier is null and n_sources > 1").join(settled, ref, "left_anti")
-    listed = catalog.select("file", F.col("table_name").alias("t"), F.col("column_name").alias("name"), F.lit(True).alias("has"))
-    rest = rest.join(listed, ["file", "t", "name"], "left")
-    over = Window.partitionBy(*ref)
-    tables, having = F.size(F.collect_set("t").over(over)), F.collect_set(F.when(F.col("has"), F.col("t"))).over(over)
-    taking = many.filter("direct").select(*ref, F.col("table_name").alias("t"), F.lit(True).alias("taking")).distinct()
-    rest = rest.join(taking, [*ref, "t"], "left").withColumns({"tables": tables, "having": having})
-    first = F.min(F.when(F.col("taking"), F.struct("src_ord", "origin_ord", "t"))).over(over)["t"]
-    rest = rest.withColumn("only", F.when(F.col("tables") <= 1, F.lit(None)).when(F.size("having") == 1, F.get("having", F.lit(0))).otherwise(first))
-    rest = rest.filter(F.col("only").isNull() | (F.col("t") == F.col("only"))).select(*ref, "src_ord", "origin_ord", "t", "c")
-
-    found = reduce(DataFrame.unionByName, [single, hits, meant, rest])
+    asked = _answered(refs.select(*ref, "qualifier", "name").join(_scoped(sources, columns, pivots), "scope", "left"))
+    closed, left = asked.filter(F.size("open") == 0), asked.filter(F.size("open") > 0)
+    listed = catalog.select("file", F.col("table_name").alias("t"), F.col("column_name").alias("name"))
+    having = left.select(*ref, "file", "name", F.explode("open").alias("t")).join(listed, ["file", "t", "name"]).groupBy(*ref).agg(F.collect_set("t").alias("more"))
+    both = closed.withColumn("more", F.array().cast("array<string>")).unionByName(left.join(having, ref, "left"))
+    both = both.withColumn("having", F.array_distinct(F.concat("hits", F.coalesce("more", F.array().cast("array<string>")))))
+    first = "filter(ans, a -> array_contains(taking, a.t))"
+    only = F.expr(f"CASE WHEN size(tables) <= 1 THEN NULL WHEN size(having) = 1 THEN having[0] WHEN size({first}) > 0 THEN array_min({first}).t END")
+    both = both.withColumn("only", only).withColumn("found", F.expr("coalesce(settled, CASE WHEN only IS NULL THEN ans ELSE filter(ans, a -> a.t = only) END)"))
     # a name that nobody answers stands for itself, but for one that an only source does not show
-    lost = asked.filter("qualifier is not null or n_sources <> 1").join(found.select(*ref).distinct(), ref, "left_anti")
-    lost = lost.select(*ref, F.lit(0).alias("src_ord"), F.lit(0).alias("origin_ord"), F.lit(None).cast("string").alias("t"), F.col("name").alias("c"))
-    answer = F.row_number().over(Window.partitionBy(*ref).orderBy("src_ord", "origin_ord")) - 1
-    return found.unionByName(lost).select(*ref, answer.alias("ans_ord"), F.col("t").alias("origin_table"), F.col("c").alias("origin_column"))
+    lost = F.expr("CASE WHEN size(found) = 0 AND (qualifier IS NOT NULL OR n_sources <> 1) THEN array(struct(0 AS src_ord, 0 AS origin_ord, CAST(NULL AS string) AS t, name AS c)) ELSE array_sort(found) END")
+    return both.select(*ref, F.posexplode(lost).alias("ans_ord", "a")).select(*ref, "ans_ord", F.col("a.t").alias("origin_table"), F.col("a.c").alias("origin_column"))
 
 
 def _concrete(t: Column, c: Column) -> Column:
@@ -172,6 +177,7 @@ def resolve(relations: dict[str, DataFrame], catalog: DataFrame, cut) -> DataFra
     """outputs of all scopes. catalog: file, table_name, column_name, ordinal; ``cut`` shortens the plan after each level."""
     spark: SparkSession = catalog.sparkSession
     outputs = spark.createDataFrame([], OUTPUTS)
+    done = []
     branches = relations["branches"]
     top = branches.agg(F.max("level")).first()[0]
     for level in range(-1 if top is None else 0, (top if top is not None else -1) + 1):
@@ -182,5 +188,6 @@ def resolve(relations: dict[str, DataFrame], catalog: DataFrame, cut) -> DataFra
         columns = cut(source_columns(here["sources"], catalog, index, here["pivots"]))
         answers = resolve_refs(here["refs"], here["sources"], columns, catalog, here["pivots"])
         new = expand_stars(here["projections"], columns).unionByName(projection_origins(here["projections"], answers, here["subs"], outputs))
-        outputs = cut(outputs.unionByName(new))
+        done.append(cut(new))  # earlier levels stay as they were written
+        outputs = reduce(DataFrame.unionByName, done)
     return outputs

@@ -1,17 +1,18 @@
 """Walks Spark's parsed plans and notes what lineage needs as rows of flat relations.
 
-The session's parser lives on the driver, so scripts are parsed there; what comes out are narrow rows,
-and everything after it is joins and windows over them. Relations:
+The session's parser lives on the driver, so statements are parsed there, each different text once; what comes out are
+narrow rows under the text's key, which go to the shared folder whenever they have become many. Everything after
+that is joins and windows. Scopes and queries are numbered within a statement. Relations, each with the key of its text:
 
-statements   file, stmt, kind, target_table, target_cols, root (query), error
-branches     query, branch, scope            the SELECTs of a query in order
+statements   kind, target_table, target_cols, root (query), error
+branches     query, branch, scope, level     the SELECTs of a query in order; a level is above all scopes it reads from
 sources      scope, src_ord, alias, kind, table_name, child, names      FROM items in order
 pivots       scope, src_ord, names, refs     generated columns and the columns they aggregate
 projections  scope, proj, kind, out_name, qualifier, expression, is_column
 refs         scope, proj, ref_ord, qualifier, name, inner (it stands in a nested SELECT)
 subs         scope, proj, sub_ord, sub_scope SELECTs nested in a projection
-assignments  file, stmt, n, target_column, expression, from_table, target_alias, from_alias, from_query
-assigned     file, stmt, n, ref_ord, qualifier, name
+assignments  n, target_column, expression, from_table, target_alias, from_alias, from_query
+assigned     n, ref_ord, qualifier, name
 """
 
 from __future__ import annotations
@@ -23,29 +24,81 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import normalized
-from ..sources.scripts import split_statements
 
 SCHEMAS = {
-    "statements": "file string, stmt int, wave int, kind string, target_table string, target_cols array<string>, root string, error string",
-    "branches": "query string, branch int, scope string, level int",
-    "sources": "file string, scope string, src_ord int, alias string, kind string, table_name string, child string, names array<string>",
-    "pivots": "scope string, src_ord int, names array<string>, refs array<string>",
-    "projections": "scope string, proj int, kind string, out_name string, qualifier string, expression string, is_column boolean",
-    "refs": "scope string, proj int, ref_ord int, qualifier string, name string, inner boolean",
-    "subs": "scope string, proj int, sub_ord int, sub_scope string",
-    "assignments": "file string, stmt int, n int, target_column string, expression string, from_table string, target_alias string, from_alias string, from_query string",
-    "assigned": "file string, stmt int, n int, ref_ord int, qualifier string, name string",
+    "statements": "key string, kind string, target_table string, target_cols array<string>, root string, error string",
+    "branches": "key string, query string, branch int, scope string, level int",
+    "sources": "key string, scope string, src_ord int, alias string, kind string, table_name string, child string, names array<string>",
+    "pivots": "key string, scope string, src_ord int, names array<string>, refs array<string>",
+    "projections": "key string, scope string, proj int, kind string, out_name string, qualifier string, expression string, is_column boolean",
+    "refs": "key string, scope string, proj int, ref_ord int, qualifier string, name string, inner boolean",
+    "subs": "key string, scope string, proj int, sub_ord int, sub_scope string",
+    "assignments": "key string, n int, target_column string, expression string, from_table string, target_alias string, from_alias string, from_query string",
+    "assigned": "key string, n int, ref_ord int, qualifier string, name string",
 }
+#: Columns that name a scope or query of the statement.
+PLACES = ("query", "scope", "child", "sub_scope", "root", "from_query")
 
 #: Plan nodes around a SELECT that say nothing about columns.
 _AROUND = {"Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Filter", "UnresolvedHaving", "WithWindowDefinition", "UnresolvedHint", "RepartitionByExpression", "Deduplicate", "Sample", "Tail", "UnresolvedQualify"}
 _SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
 _SETS = {"Union", "Intersect", "Except"}
 
-_UPDATE_FROM = re.compile(r"^\s*UPDATE\s+(?P<target>[\w.`]+)(?:\s+(?:AS\s+)?(?P<alias>(?!SET\b)\w+))?\s+SET\s+(?P<set>.*?)\s+FROM\s+(?P<source>[\w.`]+)(?:\s+(?:AS\s+)?(?P<salias>(?!WHERE\b)\w+))?(?:\s+WHERE\s+(?P<where>.*))?$", re.I | re.S)
+_UPDATE = re.compile(r"^\s*UPDATE\s+(?P<target>[\w.`]+)(?:\s+(?:AS\s+)?(?P<alias>(?!SET\b)\w+))?\s+SET\s+", re.I)
+_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|[()]|\b(?:FROM|WHERE)\b", re.I)
 _WITH_CTAS = re.compile(r"^(?P<with>\s*WITH\b.*\))\s*(?P<create>CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|VIEW)\s+[\w.`]+)\s+AS\s+(?P<query>.*)$", re.I | re.S)
 
 
+def update_from(sql: str) -> str | None:
+    """UPDATE ... FROM as the MERGE that Spark's grammar has; None for any other statement."""
+    head = _UPDATE.match(sql)
+    if not head:
+        return None
+    depth, at = 0, {}
+    for token in _TOKEN.finditer(sql, head.end()):
+        word = token.group().upper()
+        depth += (word == "(") - (word == ")")
+        if depth == 0 and word in ("FROM", "WHERE"):
+            at.setdefault(word, token.span())
+    if "FROM" not in at:
+        return None
+    begin, stop = at["FROM"][1], at["WHERE"][0] if "WHERE" in at else len(sql)
+    on = sql[at["WHERE"][1] :] if "WHERE" in at else "true"
+    return f"MERGE INTO {head['target']} {head['alias'] or ''} USING {sql[begin:stop].strip()} ON {on} WHEN MATCHED THEN UPDATE SET {sql[head.end() : at['FROM'][0]]}"
+
+
+def levels(branches: list[tuple], sources: list[tuple], subs: list[tuple]) -> dict[str, int]:
+    """Each scope's level, above all scopes it reads from; a way back to a scope that is being followed counts for nothing."""
+    scopes: dict[str, list[str]] = {}
+    for _, query, _, scope, _ in branches:
+        scopes.setdefault(query, []).append(scope)
+    below: dict[str, list[str]] = {}
+    for row in sources:
+        below.setdefault(row[1], []).extend(scopes.get(row[6], ()))
+    for _, scope, _, _, nested in subs:
+        below.setdefault(scope, []).append(nested)
+    level: dict[str, int] = {}
+    for _, _, _, first, _ in branches:
+        if first in level:
+            continue
+        path, height = [(first, iter(below.get(first, ())))], {first: -1}
+        while path:
+            scope, rest = path[-1]
+            for b in rest:
+                if b in level:
+                    height[scope] = max(height[scope], level[b])
+                elif b not in height:
+                    height[b] = -1
+                    path.append((b, iter(below.get(b, ()))))
+                    break
+            else:
+                path.pop()
+                level[scope] = 1 + height.pop(scope)
+                if path:
+                    height[path[-1][0]] = max(height[path[-1][0]], level[scope])
+    return level
+
+
 def _seq(scala) -> list:
     return [scala.apply(i) for i in range(scala.size())]
 
@@ -63,36 +116,45 @@ class Walker:
     spark: SparkSession
     mode: str = "compat"  # in compat a WITH in a nested query names no queries
     rows: dict[str, list[tuple]] = field(default_factory=lambda: {name: [] for name in SCHEMAS})
+    key: str = ""
     _made: int = 0
 
-    def script(self, file: str, text: str) -> None:
-        """All statements of a script. A statement that the parser rejects is a row with its error."""
-        parser, wave = self.spark._jsparkSession.sessionState().sqlParser(), 0
-        for stmt, sql in enumerate(split_statements(text)):
-            update = _UPDATE_FROM.match(sql)
-            parsed = sql
-            if update:
-                g = update.groupdict()
-                parsed = f"MERGE INTO {g['target']} {g['alias'] or ''} USING {g['source']} {g['salias'] or ''} ON {g['where'] or 'true'} WHEN MATCHED THEN UPDATE SET {g['set']}"
-            elif found := _WITH_CTAS.match(sql):
-                parsed = f"{found['create']} AS {found['with']} {found['query']}"
-            try:
-                plan = parser.parsePlan(parsed)
-            except Exception as error:  # noqa: BLE001  the parser's own, or py4j's around it
-                self.rows["statements"].append((file, stmt, wave, "error", None, [], None, str(error).strip().split("\n")[0]))
-                continue
-            self.file, self.sql, self.ctes, self.using = file, parsed, {}, (None, None, None, None)
-            made = self._statement(plan, stmt)
-            if made is not None:
-                kind, target, cols, root = made
-                self.rows["statements"].append((file, stmt, wave, "update" if update else kind, target, cols, root, None))
-                wave += kind == "ctas"
-
-    def _statement(self, plan, stmt: int) -> tuple | None:
+    def statement(self, key: str, sql: str) -> None:
+        """The rows of a statement. One that the parser rejects is a row with its error, one that says nothing about columns none."""
+        parser = self.spark._jsparkSession.sessionState().sqlParser()
+        update = update_from(sql)
+        parsed = update or sql
+        if not update and (found := _WITH_CTAS.match(sql)):
+            parsed = f"{found['create']} AS {found['with']} {found['query']}"
+        try:
+            plan = parser.parsePlan(parsed)
+        except Exception as error:  # noqa: BLE001  the parser's own, or py4j's around it
+            self.rows["statements"].append((key, "error", None, [], None, str(error).strip().split("\n")[0]))
+            return
+        self.key, self.sql, self.ctes, self.using, self._made = key, parsed, {}, (None, None, None, None), 0
+        before = {name: len(self.rows[name]) for name in ("branches", "sources", "subs")}
+        made = self._statement(plan)
+        own = {name: self.rows[name][n:] for name, n in before.items()}
+        level = levels(**own)
+        self.rows["branches"][before["branches"] :] = [(k, q, b, s, level[s]) for k, q, b, s, _ in own["branches"]]
+        if made is not None:
+            kind, target, cols, root = made
+            self.rows["statements"].append((key, "update" if update else kind, target, cols, root, None))
+
+    def held(self) -> int:
+        return sum(map(len, self.rows.values()))
+
+    def take(self) -> dict[str, DataFrame]:
+        """The rows so far as DataFrames; the next ones begin anew."""
+        out = {name: self.spark.createDataFrame(rows, SCHEMAS[name]) for name, rows in self.rows.items()}
+        self.rows = {name: [] for name in SCHEMAS}
+        return out
+
+    def _statement(self, plan) -> tuple | None:
         kind = _kind(plan)
         if kind == "UnresolvedWith":
             self._register(plan)
-            return self._statement(plan.child(), stmt)
+            return self._statement(plan.child())
         if kind in ("CreateTableAsSelect", "ReplaceTableAsSelect", "CreateView", "CreateViewCommand"):
             target = plan.name() if kind.endswith("Select") else (plan.child() if kind == "CreateView" else None)
             name = self._identifier(target) if target is not None else normalized(plan.name().unquotedString())
@@ -105,14 +167,14 @@ class Walker:
         if kind == "UpdateTable":
             target, table = self._identifier(plan.table()), plan.table()
             self.using = (None, normalized(table.identifier().name()) if _kind(table) == "SubqueryAlias" else None, None, None)
-            self._assign(stmt, [(a.key(), a.value()) for a in _seq(plan.assignments())], 0)
+            self._assign([(a.key(), a.value()) for a in _seq(plan.assignments())], 0)
             return "update", target, [], None
         if kind == "MergeIntoTable":
             n = 0
             self.using = self._using(plan)
             for action in [*_seq(plan.matchedActions()), *_seq(plan.notMatchedActions())]:
                 if _kind(action) in ("UpdateAction", "InsertAction"):
-                    n = self._assign(stmt, [(a.key(), a.value()) for a in _seq(action.assignments())], n)
+                    n = self._assign([(a.key(), a.value()) for a in _seq(action.assignments())], n)
             return "merge", self._identifier(plan.targetTable()), [], None
         root = self._root(plan)
         return ("select", None, [], root) if root else None
@@ -152,7 +214,7 @@ class Walker:
 
     def _new(self) -> str:
         self._made += 1
-        return f"{self.file}#{self._made}"
+        return str(self._made)
 
     def _strip(self, plan):
         while _kind(plan) in _AROUND:
@@ -174,7 +236,7 @@ class Walker:
             return None
         query = query or self._new()
         for branch, select in enumerate(selects):
-            self.rows["branches"].append((query, branch, self._select(select), 0))
+            self.rows["branches"].append((self.key, query, branch, self._select(select), 0))
         return query
 
     def _select(self, plan) -> str:
@@ -188,7 +250,7 @@ class Walker:
     def _from(self, plan, scope: str, at: list[int], alias: str | None = None, names: list | None = None) -> None:
         plan = self._strip(plan)
         kind = _kind(plan)
-        add = lambda key, what, table=None, child=None, cols=(): (self.rows["sources"].append((self.file, scope, at[0], key, what, table, child, list(cols))), at.__setitem__(0, at[0] + 1))
+        add = lambda key, what, table=None, child=None, cols=(): (self.rows["sources"].append((self.key, scope, at[0], key, what, table, child, list(cols))), at.__setitem__(0, at[0] + 1))
         if kind in ("Join", "AsOfJoin"):
             self._from(plan.left(), scope, at)
             self._from(plan.right(), scope, at)
@@ -211,7 +273,7 @@ class Walker:
             self._from(plan.child(), scope, at, alias)
             if at[0] > before:
                 refs = [normalized(_seq(a.nameParts())[-1]) for e in _seq(plan.aggregates()) for a in self._attributes(e)]
-                self.rows["pivots"].append((scope, at[0] - 1, self._generated(plan), refs))
+                self.rows["pivots"].append((self.key, scope, at[0] - 1, self._generated(plan), refs))
         elif kind in ("LocalRelation", "UnresolvedInlineTable"):
             width = [a.name() for a in _seq(plan.output())] if kind == "LocalRelation" else _seq(plan.names())
             add(alias or "_values", "values", cols=names or [normalized(c) for c in width])
@@ -263,7 +325,7 @@ class Walker:
         if "Star" in kind:
             target = item.target()
             qualifier = normalized(_seq(target.get())[-1]) if target.isDefined() else None
-            self.rows["projections"].append((scope, proj, "qualified" if qualifier else "star", None, qualifier, f"{qualifier}.*" if qualifier else "*", False))
+            self.rows["projections"].append((self.key, scope, proj, "qualified" if qualifier else "star", None, qualifier, f"{qualifier}.*" if qualifier else "*", False))
             return
         e, out = item, None
         if kind == "Alias":
@@ -273,48 +335,28 @@ class Walker:
         column = _kind(e) == "UnresolvedAttribute"
         if column and out is None:
             out = normalized(_seq(e.nameParts())[-1])
-        self.rows["projections"].append((scope, proj, "expression", out, None, self._text(e), column))
+        self.rows["projections"].append((self.key, scope, proj, "expression", out, None, self._text(e), column))
         for n, (a, inner) in enumerate(self._placed(e)):
             parts = _seq(a.nameParts())
-            self.rows["refs"].append((scope, proj, n, normalized(parts[-2]) if len(parts) > 1 else None, normalized(parts[-1]), inner))
+            self.rows["refs"].append((self.key, scope, proj, n, normalized(parts[-2]) if len(parts) > 1 else None, normalized(parts[-1]), inner))
         todo, n = deque([e]), 0
         while todo:
             x = todo.popleft()
             if _kind(x) in _SUBQUERIES:
                 before = len(self.rows["branches"])
                 self._query(x.plan())
-                for _, _, nested, _ in self.rows["branches"][before:]:
-                    self.rows["subs"].append((scope, proj, n, nested))
+                for _, _, _, nested, _ in self.rows["branches"][before:]:
+                    self.rows["subs"].append((self.key, scope, proj, n, nested))
                     n += 1
             todo.extend(_seq(x.children()))
 
-    def _assign(self, stmt: int, pairs: list, n: int) -> int:
+    def _assign(self, pairs: list, n: int) -> int:
         for key, value in pairs:
             if _kind(key) != "UnresolvedAttribute":
                 continue
-            self.rows["assignments"].append((self.file, stmt, n, normalized(_seq(key.nameParts())[-1]), self._text(value), *self.using))
+            self.rows["assignments"].append((self.key, n, normalized(_seq(key.nameParts())[-1]), self._text(value), *self.using))
             for k, a in enumerate(self._attributes(value)):
                 parts = _seq(a.nameParts())
-                self.rows["assigned"].append((self.file, stmt, n, k, normalized(parts[-2]) if len(parts) > 1 else None, normalized(parts[-1])))
+                self.rows["assigned"].append((self.key, n, k, normalized(parts[-2]) if len(parts) > 1 else None, normalized(parts[-1])))
             n += 1
         return n
-
-    def relations(self) -> dict[str, DataFrame]:
-        """The relations as DataFrames; branches get their level: above all scopes they read from, a cycle cut."""
-        scopes: dict[str, list[str]] = {}
-        for query, _, scope, _ in self.rows["branches"]:
-            scopes.setdefault(query, []).append(scope)
-        below: dict[str, set[str]] = {}
-        for row in self.rows["sources"]:
-            below.setdefault(row[1], set()).update(scopes.get(row[6], ()))
-        for scope, _, _, nested in self.rows["subs"]:
-            below.setdefault(scope, set()).add(nested)
-        level: dict[str, int] = {}
-
-        def rank(scope: str, path: frozenset) -> int:
-            if scope not in level:
-                level[scope] = 1 + max((rank(b, path | {scope}) for b in below.get(scope, ()) if b not in path and b != scope), default=-1)
-            return level[scope]
-
-        self.rows["branches"] = [(q, b, s, rank(s, frozenset())) for q, b, s, _ in self.rows["branches"]]
-        return {name: self.spark.createDataFrame(rows, SCHEMAS[name]) for name, rows in self.rows.items()}

@@ -1,4 +1,5 @@
-"""Table schemas as one relation: file (null: global), table_name, column_name, data_type, ordinal."""
+"""Table schemas as one relation: file (null: global), table_name, column_name, data_type, ordinal, root (the first key of the
+document that the table stands below)."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalized
 
-SCHEMA = "file string, table_name string, column_name string, data_type string, ordinal int"
+SCHEMA = "file string, table_name string, column_name string, data_type string, ordinal int, root string"
 
 
 def flatten(raw: dict, file: str | None = None) -> Iterator[tuple]:
@@ -26,7 +27,7 @@ def flatten(raw: dict, file: str | None = None) -> Iterator[tuple]:
                 yield from walk(f"{name}.{key}" if name else key, below)
 
     for key, node in raw.items():
-        yield from (row for row in walk(key, node) if row[1])
+        yield from ((*row, key) for row in walk(key, node) if row[1])
 
 
 def catalog_from_json(spark: SparkSession, raw: dict, file: str | None = None) -> DataFrame:
@@ -43,19 +44,25 @@ def catalog_from_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.groupBy(name.alias("table_name"), F.lower("col").alias("column_name")).agg(F.min("at").alias("at"), F.max_by("kind", "at").alias("kind"))
     order = F.row_number().over(Window.partitionBy("table_name").orderBy("at")) - 1
     kind = F.when(F.col("kind") == "", "unknown").otherwise(F.lower("kind"))
-    return rows.select(F.lit(None).cast("string").alias("file"), "table_name", "column_name", kind.alias("data_type"), order.cast("int").alias("ordinal"))
+    return rows.select(F.lit(None).cast("string").alias("file"), "table_name", "column_name", kind.alias("data_type"), order.cast("int").alias("ordinal"), F.col("table_name").alias("root"))
 
 
 def catalog_of(tables: dict[str, DataFrame]) -> DataFrame:
     """The schemas of DataFrames."""
     spark = next(iter(tables.values())).sparkSession
-    rows = [(None, normalized(t), normalized(c), kind, i) for t, df in tables.items() for i, (c, kind) in enumerate(df.dtypes)]
+    rows = [(None, normalized(t), normalized(c), kind, i, t) for t, df in tables.items() for i, (c, kind) in enumerate(df.dtypes)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def rooted(catalog: DataFrame) -> DataFrame:
+    """The catalog with a root for every row: where none is known, the table stands for itself."""
+    root = F.col("root") if "root" in catalog.columns else F.lit(None).cast("string")
+    return catalog.withColumn("root", F.coalesce(root, F.col("table_name")))
+
+
 def overlaid(base: DataFrame, local: DataFrame) -> DataFrame:
-    """local's tables over base's: a table that local has is taken from local alone."""
-    return local.unionByName(base.join(local.select("table_name").distinct(), "table_name", "left_anti"))
+    """local's rows over base's: a first key that local has hides all that base has below it."""
+    return rooted(local).unionByName(rooted(base).join(rooted(local).select("root").distinct(), "root", "left_anti"))
 
 
 def read_json(path: str) -> dict:
