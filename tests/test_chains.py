@@ -87,6 +87,74 @@ def test_random_graphs_and_recursive_sql(spark):
         assert {tuple(tuple(n.split("\t")) for n in r["path"]) for r in paths.collect()} == own
 
 
+def tarjan(rows):
+    """Nodes of components of two or more, or with an edge to themselves, by depth-first search."""
+    below = {}
+    for a, b in rows:
+        below.setdefault(a, set()).add(b)
+        below.setdefault(b, set())
+    index, low, stack, out = {}, {}, [], set()
+
+    def visit(v):
+        index[v] = low[v] = len(index)
+        stack.append(v)
+        for w in below[v]:
+            if w not in index:
+                visit(w)
+                low[v] = min(low[v], low[w])
+            elif w in stack:
+                low[v] = min(low[v], index[w])
+        if low[v] == index[v]:
+            at = stack.index(v)
+            if len(stack) - at > 1 or v in below[v]:
+                out.update(stack[at:])
+            del stack[at:]
+
+    for v in below:
+        if v not in index:
+            visit(v)
+    return out
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(11)
+    rows = []
+    for part in range(12):  # sparse and dense graphs side by side, so that all are decided in one run
+        n = rng.randrange(4, 14)
+        rows += [(f"p{part}", str(rng.randrange(n)), f"p{part}", str(rng.randrange(n))) for _ in range(rng.randrange(n // 2, 2 * n))]
+    rows += [("line", str(k), "line", str(k + 1)) for k in range(8)]
+    found = {tuple(r) for r in chains.cycle_nodes(spark.createDataFrame(rows, RECORD)).collect()}
+    assert found == tarjan([((a, b), (c, d)) for a, b, c, d in rows])
+
+
+def test_counts_on_a_ladder_of_diamonds(spark):
+    """2**20 paths and more, none of them followed: fanout by bitmaps, summary by the two sides of each edge."""
+    text = " ".join(f"n{k}.c>l{k}.c n{k}.c>r{k}.c l{k}.c>n{k + 1}.c r{k}.c>n{k + 1}.c" for k in range(20))
+    df = spark.createDataFrame(parse(text + " n20.c>.f n20.c>.g"), RECORD)
+    assert [tuple(r) for r in chains.fanout(df).collect()] == [("n0", "c", 2)]
+    assert chains.summary(df).first().asDict() == {"steps": 2 * 80 + 2, "sources": 1, "targets": 2, "multi_level_steps": 162, "deepest": 41}
+
+
+def test_summary_and_fanout_are_those_of_the_steps(spark):
+    rng = random.Random(3)
+    rows = []
+    for part in range(6):
+        rows += [(f"{part}{rng.choice('abcd')}", rng.choice("xy"), "" if (t := rng.choice(" bcde")) == " " else f"{part}{t}", f"{part}{rng.choice('xyz')}") for _ in range(8)]
+    rows = [r for r in rows if r[0] < r[2] or not r[2]]  # no cycles
+    df = spark.createDataFrame(rows, RECORD)
+    steps = spark.createDataFrame(sorted(brute(rows)), chains.chain_steps(df).schema)
+    assert {tuple(r) for r in chains.chain_steps(df).collect()} == brute(rows)
+    assert chains.summary(df).first() == chains.chain_summary(steps).first()
+    assert {tuple(r) for r in chains.fanout(df).collect()} == {tuple(r) for r in chains.chain_fanout(steps).collect()}
+
+
+def test_trace_of_columns(spark):
+    df = spark.createDataFrame(parse("a.c>b.c b.c>c.c c.c>b.c b.c>.f g.c>b.d h.x>g.c .o>.p q.c>.o g.z>.w"), RECORD)
+    targets = spark.createDataFrame([("b", "c"), (" b ", "c"), ("", "f"), ("c", "c"), ("a", "c"), (None, "lonely"), ("nobody", "x"), ("b", "d"), (None, "p"), ("", "w")], "table_name string, column_name string")
+    found = sorted(">".join(f"{n['table']}.{n['column']}" for n in r["path"]) for r in chains.trace(df, targets).collect())
+    assert found == sorted(["a.c>b.c", "a.c>b.c>.f", "a.c>b.c>c.c", "a.c", ".lonely", "h.x>g.c>b.d", "q.c>.o>.p"])
+
+
 def test_cycles(spark):
     found = {tuple(r) for r in chains.cycle_nodes(spark.createDataFrame(parse(GRAPHS["cycle"][0]), RECORD)).collect()}
     assert found == {("a", "c"), ("b", "c"), ("c", "c")}

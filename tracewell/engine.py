@@ -25,7 +25,7 @@ HELD = 100_000
 def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, text) -> file, stmt, sql."""
     for batch in batches:
-        rows = [(file, stmt, sql) for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for stmt, sql in enumerate(split_statements(text or ""))]
+        rows = [(file, stmt, sql.strip()) for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for stmt, sql in enumerate(split_statements(text or ""))]
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["file", "stmt", "sql"])
 
@@ -33,15 +33,30 @@ def _split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wave(relations: dict[str, DataFrame], catalog: DataFrame, cut, mode: str) -> DataFrame:
     """Records of statements that are known by (file, stmt), with the catalog of each under the same ``file``."""
     statements = relations["statements"].filter(F.col("error").isNull())
+    kinds = {r["kind"] for r in statements.select("kind").distinct().collect()}
     refs = relations["refs"] if mode == "compat" else relations["refs"].filter("not inner")
     outputs = resolve.resolve(relations | {"refs": refs}, catalog, cut)
     rows = records.elements(statements, outputs, relations["branches"])
     keep = ["file", "stmt", "idx", "origin_ord", "expression", "target_column", "target_table", "origin_table", "origin_column"]
-    changed = records.assigned(statements, relations["assignments"], relations["assigned"], catalog, outputs, relations["branches"], mode)
-    plain = records.created(rows, mode).select(*keep).unionByName(changed.select(*keep))
-    tidy = records.tidied(records.inserted(rows, catalog, mode).select(*keep).unionByName(records.selected(rows).select(*keep)))
+    plain, tidy = [], []
+    if kinds & {"update", "merge"}:
+        plain.append(records.assigned(statements, relations["assignments"], relations["assigned"], catalog, outputs, relations["branches"], mode).select(*keep))
+    if "ctas" in kinds:
+        plain.append(records.created(rows, mode).select(*keep))
+    if "insert" in kinds:
+        tidy.append(records.inserted(rows, catalog, mode).select(*keep))
+    if "select" in kinds:
+        tidy.append(records.selected(rows).select(*keep))
+    parts = []
+    if plain:
+        at = F.struct("idx", "origin_ord")
+        parts.append(reduce(DataFrame.unionByName, plain).select(*keep, at.alias("a"), at.alias("b")))
+    if tidy:
+        parts.append(records.tidied(reduce(DataFrame.unionByName, tidy)).select(*keep, F.col("target_seq").alias("a"), F.col("seq").alias("b")))
+    if not parts:
+        return catalog.sparkSession.createDataFrame([], FINAL)
     order = F.row_number().over(resolve.Window.partitionBy("file", "stmt").orderBy("a", "b"))
-    both = plain.select(*keep, F.struct("idx", "origin_ord").alias("a"), F.struct("idx", "origin_ord").alias("b")).unionByName(tidy.select(*keep, F.col("target_seq").alias("a"), F.col("seq").alias("b")))
+    both = reduce(DataFrame.unionByName, parts)
     return both.select("file", "stmt", (order - 1).alias("seq"), F.col("origin_table").alias("source_table"), F.col("origin_column").alias("source_column"), "expression", "target_column", "target_table")
 
 

@@ -71,11 +71,11 @@ class Graph:
     """The edges of records, read once: links (source, target, from_base), without edges from a column to itself.
 
     ``heads`` are where chains start: columns of base tables, and columns of no table that nothing leads to. ``finals`` are
-    the outputs that something leads to.
+    the outputs that something leads to. ``within`` limits both, to the nodes of its first and its second DataFrame.
     """
 
-    def __init__(self, records: DataFrame, cut: Cut | None = None):
-        self.cut = cut or checkpointed
+    def __init__(self, records: DataFrame, cut: Cut | None = None, within: tuple[DataFrame, DataFrame] | None = None):
+        self.cut, self.within = cut or checkpointed, within
         self.rows = self.cut(cleaned(records).filter("target_column <> '' or target_table <> ''").distinct())
         self.all = self.cut(edges(self.rows))
         self.links = self.all.filter("source <> target")
@@ -84,12 +84,14 @@ class Graph:
     def heads(self) -> DataFrame:
         lonely = self.all.filter("not from_base and source.table = ''").select(F.col("source").alias("node"))
         lonely = lonely.join(self.all.select(F.col("target").alias("node")), "node", "left_anti")
-        return self.all.filter("from_base").select(F.col("source").alias("node")).union(lonely).distinct()
+        found = self.all.filter("from_base").select(F.col("source").alias("node")).union(lonely).distinct()
+        return found.join(self.within[0], "node", "left_semi") if self.within else found
 
     @property
     def finals(self) -> DataFrame:
         ends = final_outputs(self.rows).select(node("target_table", "target_column").alias("node"))
-        return ends.join(self.links.select(F.col("target").alias("node")), "node", "left_semi")
+        ends = ends.join(self.links.select(F.col("target").alias("node")), "node", "left_semi")
+        return ends.join(self.within[1], "node", "left_semi") if self.within else ends
 
     def cyclic(self) -> DataFrame:
         """The nodes of cycles of two edges or more."""
@@ -127,13 +129,14 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.select(*[v.alias(name) for v, name in zip([*values, F.col("top"), F.col("bottom")], STEP, strict=True)])
 
 
-def chain_steps(records: DataFrame, cut: Cut | None = None) -> DataFrame:
+def chain_steps(records: DataFrame, cut: Cut | None = None, within: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """A row for each hop of each chain, with the chain's ends and the level from either; equal rows once.
 
     A column without sources starts a chain if its table is empty or a base table; other dead ends give none, nor
-    do paths that only run in a circle. Chains are simple paths: none comes to a column twice.
+    do paths that only run in a circle. Chains are simple paths: none comes to a column twice. ``within`` asks only for
+    chains from some nodes to some nodes (two DataFrames, node).
     """
-    graph = Graph(records, cut)
+    graph = Graph(records, cut, within)
     sides, cycles = graph.sides()
     above = sides.filter("down").select(F.col("node").alias("source"), F.col("end").alias("head"), (F.col("hops") + 1).alias("top"))
     below = sides.filter("not down").select(F.col("node").alias("target"), F.col("end").alias("final"), (F.col("hops") + 1).alias("bottom"))

@@ -48,18 +48,25 @@ def query_index(outputs: DataFrame, branches: DataFrame) -> DataFrame:
     return rows.select("query", "name", F.col("at").alias("pos"), "origin_ord", "origin_table", "origin_column")
 
 
-def source_columns(sources: DataFrame, catalog: DataFrame, index: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Every known column of every source: scope, src_ord, alias, col_ord, name, origin_ord, origin_table, origin_column."""
+def source_columns(sources: DataFrame, catalog: DataFrame, index: DataFrame | None, pivots: DataFrame | None, values: bool = True) -> DataFrame:
+    """Every known column of every source: scope, src_ord, alias, col_ord, name, origin_ord, origin_table, origin_column.
+
+    Where no source is a query, none is behind a pivot or none is VALUES, ``index`` or ``pivots`` may be None and ``values`` false.
+    """
     keep = ["scope", "src_ord", "alias"]
     none = F.lit(None).cast("string")
     place = lambda kind, ord_: F.struct(F.lit(kind).alias("part"), ord_.alias("branch"), F.lit(0).alias("proj"), F.lit(0).alias("el"))
     tables = sources.filter("kind = 'table'").join(catalog, ["file", "table_name"])
     tables = tables.select(*keep, place(0, F.col("ordinal")).alias("col_ord"), F.col("column_name").alias("name"), F.lit(0).alias("origin_ord"), F.col("table_name").alias("origin_table"), F.col("column_name").alias("origin_column"))
-    queries = sources.filter("kind = 'query'").join(index, F.col("child") == F.col("query"))
-    queries = queries.select(*keep, F.struct(F.lit(0).alias("part"), "pos.branch", "pos.proj", "pos.el").alias("col_ord"), "name", "origin_ord", "origin_table", "origin_column")
-    values = sources.filter("kind = 'values'").select(*keep, F.posexplode("names").alias("i", "name"))
-    values = values.select(*keep, place(0, F.col("i")).alias("col_ord"), "name", F.lit(0).alias("origin_ord"), none.alias("origin_table"), F.col("name").alias("origin_column"))
-    base = tables.unionByName(queries).unionByName(values)
+    base = tables
+    if index is not None:
+        queries = sources.filter("kind = 'query'").join(index, F.col("child") == F.col("query"))
+        base = base.unionByName(queries.select(*keep, F.struct(F.lit(0).alias("part"), "pos.branch", "pos.proj", "pos.el").alias("col_ord"), "name", "origin_ord", "origin_table", "origin_column"))
+    if values:
+        given = sources.filter("kind = 'values'").select(*keep, F.posexplode("names").alias("i", "name"))
+        base = base.unionByName(given.select(*keep, place(0, F.col("i")).alias("col_ord"), "name", F.lit(0).alias("origin_ord"), none.alias("origin_table"), F.col("name").alias("origin_column")))
+    if pivots is None:
+        return base
     # generated columns of a pivot: all columns its aggregates mention, or all base columns if they mention none
     pivoted = pivots.select("scope", "src_ord", F.col("names").alias("made"), "refs").join(sources.select(*keep, "kind", "table_name"), ["scope", "src_ord"])
     mentioned = pivoted.select(*keep, "made", "kind", "table_name", F.posexplode("refs").alias("ref_ord", "name"))
@@ -85,11 +92,13 @@ def expand_stars(projections: DataFrame, columns: DataFrame) -> DataFrame:
     return rows.select("scope", "proj", el.alias("el"), "expression", F.col("name").alias("output_column"), F.lit(0).alias("origin_ord"), "origin_table", "origin_column")
 
 
-def _scoped(sources: DataFrame, columns: DataFrame, pivots: DataFrame) -> DataFrame:
+def _scoped(sources: DataFrame, columns: DataFrame, pivots: DataFrame | None) -> DataFrame:
     """One row for each scope: file, s (its sources in order), k (the columns they show, with origins), pv (sources behind a pivot)."""
     source = F.struct("src_ord", "alias", "kind", "table_name").alias("s")
     shown = F.struct("name", "src_ord", "origin_ord", F.col("origin_table").alias("t"), F.col("origin_column").alias("c")).alias("k")
-    rows = sources.select("scope", "file", source).unionByName(columns.select("scope", shown), allowMissingColumns=True).unionByName(pivots.select("scope", F.col("src_ord").alias("pv")), allowMissingColumns=True)
+    rows = sources.select("scope", "file", source, F.lit(None).cast("int").alias("pv")).unionByName(columns.select("scope", shown), allowMissingColumns=True)
+    if pivots is not None:
+        rows = rows.unionByName(pivots.select("scope", F.col("src_ord").alias("pv")), allowMissingColumns=True)
     return rows.groupBy("scope").agg(F.max("file").alias("file"), F.array_sort(F.collect_list("s")).alias("s"), F.array_sort(F.collect_list("k")).alias("k"), F.collect_set("pv").alias("pv"))
 
 
@@ -116,7 +125,7 @@ def _answered(asked: DataFrame) -> DataFrame:
     )
 
 
-def resolve_refs(refs: DataFrame, sources: DataFrame, columns: DataFrame, catalog: DataFrame, pivots: DataFrame) -> DataFrame:
+def resolve_refs(refs: DataFrame, sources: DataFrame, columns: DataFrame, catalog: DataFrame, pivots: DataFrame | None, through: bool = True) -> DataFrame:
     """refs (scope, proj, ref_ord, qualifier, name) -> scope, proj, ref_ord, ans_ord, origin_table, origin_column.
 
     A qualified name is asked of the first source of that alias, an unqualified one of the only source. Among
@@ -125,15 +134,21 @@ def resolve_refs(refs: DataFrame, sources: DataFrame, columns: DataFrame, catalo
 
     A scope's sources and columns are one row; references join it by scope, so a scope of very many references is split as
     any skewed join, and the rules are functions over the arrays of that row. Only tables that came through
-    queries are looked up in the catalog, for the references they leave open.
+    queries are looked up in the catalog, for the references they leave open (``through``: whether there may be any).
     """
     ref = ["scope", "proj", "ref_ord"]
     asked = _answered(refs.select(*ref, "qualifier", "name").join(_scoped(sources, columns, pivots), "scope", "left"))
+    if not through:
+        return _chosen(asked.withColumn("having", F.col("hits")), ref)
     closed, left = asked.filter(F.size("open") == 0), asked.filter(F.size("open") > 0)
     listed = catalog.select("file", F.col("table_name").alias("t"), F.col("column_name").alias("name"))
     having = left.select(*ref, "file", "name", F.explode("open").alias("t")).join(listed, ["file", "t", "name"]).groupBy(*ref).agg(F.collect_set("t").alias("more"))
     both = closed.withColumn("more", F.array().cast("array<string>")).unionByName(left.join(having, ref, "left"))
-    both = both.withColumn("having", F.array_distinct(F.concat("hits", F.coalesce("more", F.array().cast("array<string>")))))
+    return _chosen(both.withColumn("having", F.array_distinct(F.concat("hits", F.coalesce("more", F.array().cast("array<string>"))))), ref)
+
+
+def _chosen(both: DataFrame, ref: list[str]) -> DataFrame:
+    """Of what the sources answer what the last rules leave, by the tables that have the name (having)."""
     first = "filter(ans, a -> array_contains(taking, a.t))"
     only = F.expr(f"CASE WHEN size(tables) <= 1 THEN NULL WHEN size(having) = 1 THEN having[0] WHEN size({first}) > 0 THEN array_min({first}).t END")
     both = both.withColumn("only", only).withColumn("found", F.expr("coalesce(settled, CASE WHEN only IS NULL THEN ans ELSE filter(ans, a -> a.t = only) END)"))
@@ -146,17 +161,17 @@ def _concrete(t: Column, c: Column) -> Column:
     return (F.coalesce(t, F.lit("")) != "") | (F.coalesce(c, F.lit("")) != "")
 
 
-def projection_origins(projections: DataFrame, answers: DataFrame, subs: DataFrame, outputs: DataFrame) -> DataFrame:
+def projection_origins(projections: DataFrame, answers: DataFrame, subs: DataFrame | None, outputs: DataFrame | None) -> DataFrame:
     """Rows of ``outputs`` for expressions: what nested SELECTs come from, then the columns, each origin once.
 
     Of the origins of one column name those with a table win. An expression of nothing has one empty origin.
     """
     key = ["scope", "proj"]
     expressions = projections.filter("kind = 'expression'")
-    nested = subs.join(outputs.withColumnsRenamed({"scope": "sub_scope", "proj": "sub_proj"}), "sub_scope").filter(_concrete(F.col("origin_table"), F.col("origin_column")))
-    nested = nested.select(*key, F.struct(F.lit(0).alias("a"), F.col("sub_ord").alias("b"), F.col("sub_proj").alias("c"), F.col("el").alias("d"), F.col("origin_ord").alias("e")).alias("at"), "origin_table", "origin_column")
+    nested = None if subs is None else subs.join(outputs.withColumnsRenamed({"scope": "sub_scope", "proj": "sub_proj"}), "sub_scope").filter(_concrete(F.col("origin_table"), F.col("origin_column")))
+    nested = None if nested is None else nested.select(*key, F.struct(F.lit(0).alias("a"), F.col("sub_ord").alias("b"), F.col("sub_proj").alias("c"), F.col("el").alias("d"), F.col("origin_ord").alias("e")).alias("at"), "origin_table", "origin_column")
     direct = answers.select(*key, F.struct(F.lit(1).alias("a"), F.col("ref_ord").alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), F.col("ans_ord").alias("e")).alias("at"), "origin_table", "origin_column")
-    rows = nested.unionByName(direct).join(expressions.select(*key), key)
+    rows = (direct if nested is None else nested.unionByName(direct)).join(expressions.select(*key), key)
     rows = rows.groupBy(*key, "origin_table", "origin_column").agg(F.min("at").alias("at"))
     named = Window.partitionBy(*key, "origin_column")
     rows = rows.withColumns({"tabled": F.max(F.col("origin_table").isNotNull().cast("int")).over(named), "group": F.min("at").over(named)})
@@ -174,20 +189,32 @@ def projection_origins(projections: DataFrame, answers: DataFrame, subs: DataFra
 
 
 def resolve(relations: dict[str, DataFrame], catalog: DataFrame, cut) -> DataFrame:
-    """outputs of all scopes. catalog: file, table_name, column_name, ordinal; ``cut`` shortens the plan after each level."""
+    """outputs of all scopes. catalog: file, table_name, column_name, ordinal; ``cut`` shortens the plan after each level.
+
+    What no statement has (pivots, VALUES, nested SELECTs, stars, queries as sources) has no part in the plans.
+    """
     spark: SparkSession = catalog.sparkSession
-    outputs = spark.createDataFrame([], OUTPUTS)
-    done = []
-    branches = relations["branches"]
+    branches, done = relations["branches"], []
     top = branches.agg(F.max("level")).first()[0]
-    for level in range(-1 if top is None else 0, (top if top is not None else -1) + 1):
-        scopes = branches.filter(F.col("level") == level).select("scope").distinct()
-        here = {name: relations[name].join(scopes, "scope", "left_semi") for name in ("sources", "pivots", "projections", "refs", "subs")}
-        ready = branches.withColumn("top", F.max("level").over(Window.partitionBy("query"))).filter(F.col("top") < level)
-        index = query_index(outputs, ready)
-        columns = cut(source_columns(here["sources"], catalog, index, here["pivots"]))
-        answers = resolve_refs(here["refs"], here["sources"], columns, catalog, here["pivots"])
-        new = expand_stars(here["projections"], columns).unionByName(projection_origins(here["projections"], answers, here["subs"], outputs))
+    if top is None:
+        return spark.createDataFrame([], OUTPUTS)
+    some = {name: not relations[name].isEmpty() for name in ("pivots", "subs")}
+    kinds = {r["kind"] for r in relations["sources"].select("kind").union(relations["projections"].select("kind")).distinct().collect()}
+    for level in range(top + 1):
+        here = {name: relations[name] for name in ("sources", "pivots", "projections", "refs", "subs")}
+        if top:
+            scopes = branches.filter(F.col("level") == level).select("scope").distinct()
+            here = {name: rows.join(scopes, "scope", "left_semi") for name, rows in here.items()}
+        outputs = reduce(DataFrame.unionByName, done) if done else None
+        index = None
+        if level and "query" in kinds:
+            ready = branches.withColumn("top", F.max("level").over(Window.partitionBy("query"))).filter(F.col("top") < level)
+            index = query_index(outputs, ready)
+        pivots = here["pivots"] if some["pivots"] else None
+        columns = cut(source_columns(here["sources"], catalog, index, pivots, "values" in kinds))
+        answers = resolve_refs(here["refs"], here["sources"], columns, catalog, pivots, index is not None or pivots is not None)
+        new = projection_origins(here["projections"], answers, here["subs"] if some["subs"] and level else None, outputs)
+        if kinds & {"star", "qualified"}:
+            new = expand_stars(here["projections"], columns).unionByName(new)
         done.append(cut(new))  # earlier levels stay as they were written
-        outputs = reduce(DataFrame.unionByName, done)
-    return outputs
+    return reduce(DataFrame.unionByName, done)

@@ -151,11 +151,11 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _source_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.source_columns(_scopes(spark, sf_dir), _schemas(spark, sf_dir), spark.createDataFrame([], _NO_INDEX), spark.createDataFrame([], _NO_PIVOTS))
+    return resolve.source_columns(_scopes(spark, sf_dir), _schemas(spark, sf_dir), None, None, False)
 
 
 def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resolve.resolve_refs(_refs(spark, sf_dir), _scopes(spark, sf_dir), _source_columns(spark, sf_dir), _schemas(spark, sf_dir), spark.createDataFrame([], _NO_PIVOTS))
+    out = resolve.resolve_refs(_refs(spark, sf_dir), _scopes(spark, sf_dir), _source_columns(spark, sf_dir), _schemas(spark, sf_dir), None, through=False)
     return out.select("scope", "ref_ord", "ans_ord", "origin_table", "origin_column")
 
 
