@@ -1,9 +1,10 @@
 """A linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Fitting sees a bounded sample of labelled rows: tasks count in how many texts of either label each hashed
-n-gram occurs, the counts are added block by block, and all n-grams whose log-count ratio stands out
-by ``least_z`` standard errors are kept with that ratio as their value. A logistic regression on those values
-is fitted by gradients that tasks sum over the sample's rows; the driver sees sums only. Scoring looks
+n-gram occurs, and the counts are added block by block. The value of an n-gram is its log-count ratio, shrunk by what
+chance explains of it (see ``shrunk_ratio``): with few texts as with many the values go to nothing without a
+threshold between. A logistic regression on those values is fitted by gradients that tasks sum over the sample's rows;
+the driver sees sums only. Scoring looks
 every n-gram of a whole text up in one table.
 """
 
@@ -22,6 +23,8 @@ from .common import hinted, staged
 BITS, BLOCK, ORDERS, SLICE = 20, 1 << 12, (3, 4, 5, 6), 1 << 20
 #: Terms of a gradient are rounded to this part of one, so that their sum does not depend on the order of tasks.
 GRAIN = 1 << 24
+#: Standard errors of a log-count ratio that are put down to chance.
+CHANCE = 2.0
 _STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,13 +57,16 @@ class Model:
     orders: tuple[int, ...] = ORDERS
 
     def scorer(self):
-        table = np.full(1 << BITS, -1, np.int32)
+        table, weights = np.full(1 << BITS, len(self.features), np.int32), np.append(self.weights, 0.0)
         table[self.features] = np.arange(len(self.features), dtype=np.int32)
+        mark = np.zeros(len(weights), bool)
 
         def score(text: str | None) -> float:
-            hits = [k[k >= 0] for k in (table[h] for h in hashed(prepared(text), self.orders))]
-            some = np.unique(np.concatenate(hits)) if hits else np.empty(0, np.int32)
-            return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[some].sum(), -60, 60))))
+            for h in hashed(prepared(text), self.orders):
+                mark[table[h]] = True
+            some = np.flatnonzero(mark)  # each n-gram once, in one order
+            mark[some] = False
+            return float(1 / (1 + np.exp(-np.clip(self.bias + weights[some].sum(), -60, 60))))
 
         return score
 
@@ -79,7 +85,16 @@ def _counts(orders: tuple[int, ...]):
     return run
 
 
-def _kept(of: tuple[int, int], least_z: float):
+def shrunk_ratio(no: np.ndarray, yes: np.ndarray, of: tuple[int, int], chance: float = CHANCE) -> np.ndarray:
+    """Log-count ratios of n-grams that so many texts of either label hold, times 1 - (chance / z)**2, at least 0, where z is the
+    ratio in standard errors. An n-gram of one text alone says nothing."""
+    ratio = np.log((yes + 1) / (of[1] + 2)) - np.log((no + 1) / (of[0] + 2))
+    error = 1 / (yes + 1) + 1 / (no + 1)
+    left = 1 - chance * chance * error / np.maximum(ratio * ratio, 1e-300)
+    return np.where((left > 0) & (yes + no > 1), ratio * left, 0.0)
+
+
+def _kept(of: tuple[int, int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -87,9 +102,8 @@ def _kept(of: tuple[int, int], least_z: float):
                 part = np.frombuffer(seen, np.int32).reshape(2, BLOCK)
                 sums[block] = sums[block] + part if block in sums else part
         for block, (no, yes) in sums.items():
-            ratio = np.log((yes + 1) / (of[1] + 2)) - np.log((no + 1) / (of[0] + 2))
-            z = np.abs(ratio) / np.sqrt(1 / (yes + 1) + 1 / (no + 1))
-            keep = np.nonzero(z >= least_z)[0]
+            ratio = shrunk_ratio(no, yes, of)
+            keep = np.nonzero(ratio)[0]
             yield pa.RecordBatch.from_arrays([pa.array([(keep + block * BLOCK).tobytes()], pa.binary()), pa.array([ratio[keep].tobytes()], pa.binary())], names=["features", "ratios"])
 
     return run
@@ -186,11 +200,11 @@ def sample(labels: DataFrame, id_col: str, label_col: str, use: Column, most: in
     return pick(0).union(pick(1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, least_z: float = 4.0, orders: tuple[int, ...] = ORDERS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, orders: tuple[int, ...] = ORDERS) -> Model:
     """Fits on at most ``most`` rows of each label among those that ``use`` allows (a documented bound).
 
     Of rows with one identifier the least text is used, so the bound holds however often one occurs.
-    All n-grams that stand out are kept. Without rows of both labels the score is the label's share alone.
+    All n-grams of two texts or more whose ratio is not chance alone are kept. Without rows of both labels the score is the label's share alone.
     """
     parts = 12
     picked = hinted(sample(labels, id_col, label_col, use, most))
@@ -200,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col:
     if not no or not yes:
         return Model(bias=float(np.log((yes + 0.5) / (no + 0.5))), orders=orders)
     blocks = rows.mapInArrow(_counts(orders), "block int, seen binary").repartition(parts, "block")
-    kept = blocks.mapInArrow(_kept((no, yes), least_z), "features binary, ratios binary").collect()
+    kept = blocks.mapInArrow(_kept((no, yes)), "features binary, ratios binary").collect()
     chosen, ratio = np.frombuffer(b"".join(r["features"] for r in kept), np.int64), np.frombuffer(b"".join(r["ratios"] for r in kept), np.float64)
     order = np.argsort(chosen)
     chosen, ratio = chosen[order], ratio[order]
