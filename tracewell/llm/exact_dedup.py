@@ -3,7 +3,8 @@
 Texts are equal when they are identical without white space. Each input partition first merges
 its own copies, so that however large a group is, at most a few rows of it per partition are
 shuffled. Representatives then go to partitions by length and content hash, where their full
-bytes are inserted into a Patricia trie; terminals hold the best row. A trie over its memory
+bytes are inserted into a Patricia trie; terminals hold the best row. A text that very many partitions
+hold is merged twice, first in shares of them, so that no task gets all its representatives. A trie over its memory
 budget spills its largest subtree to the task's own scratch file and goes through it afterwards.
 """
 
@@ -19,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, staged
+from .common import BLANKS, hinted, staged
 
 #: Bytes of text that a trie holds before it spills a subtree, or that a partition's own trie holds before it is emptied.
 TRIE_BYTES = 48 << 20
 BATCH = 512
+#: A text with more representatives is merged in so many shares first.
+SHARES = 64
 
 
 class Node:
@@ -158,6 +161,7 @@ def _local(budget: int):
         def merge(old, new):
             old[0].extend(new[0])
             old[1].extend(new[1])
+            trie.bytes += 80 * len(new[0])  # identifiers and sizes count as well, so a text of very many rows gives several representatives
             return old
 
         def flush(trie: Trie) -> Iterator[pa.RecordBatch]:
@@ -186,31 +190,67 @@ def _local(budget: int):
     return run
 
 
-OWNED = pa.schema([("part", pa.int32()), ("rep", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("own", pa.bool_())])
-OWNED_DDL = "part int, rep long, keep_id long, group_size long, own boolean"
+REPS = "part int, rep long, body binary, n long, i long, count long, best_part int, best_rep long"
+OWNED = pa.schema([("part", pa.int32()), ("rep", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("best_part", pa.int32()), ("best_rep", pa.int64())])
+OWNED_DDL = "part int, rep long, keep_id long, group_size long, best_part int, best_rep long"
+
+
+def _merged(budget: int, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bytes, list]]:
+    """Rows of REPS -> each text with its best row (its order, part, rep, identifier), how many rows have it, its representatives."""
+
+    def merge(old, new):
+        old[0] = min(old[0], new[0])
+        old[1] += new[1]
+        old[2].extend(new[2])
+        trie.bytes += 80
+        return old
+
+    trie = Trie(merge, budget)
+    for batch in batches:
+        for part, rep, body, n, doc_id, count, best_part, best_rep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            trie.add(body, [(*_order(n, doc_id), best_part, best_rep, doc_id, n), count, [(part, rep)]])
+    yield from trie.items()
 
 
 def _owners(budget: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merge(old, new):  # order of the best, rows, representatives
-            return (min(old[0], new[0]), old[1] + new[1], old[2] + new[2])
+    """Representatives -> who owns the text of each, and which row is the best."""
 
-        trie = Trie(merge, budget)
-        for batch in batches:
-            for part, rep, body, n, doc_id, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                trie.add(body, ((*_order(n, doc_id), part, rep, doc_id), count, [(part, rep)]))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for _, (best, count, reps) in trie.items():
-            rows += [(part, rep, best[-1], count, (part, rep) == best[3:5]) for part, rep in reps]
-            if len(rows) >= 10_000:
-                yield _batch(rows, OWNED)
-                rows = []
+        for _, (best, count, reps) in _merged(budget, batches):
+            for part, rep in reps:
+                rows.append((part, rep, best[-2], count, best[3], best[4]))
+                if len(rows) >= 10_000:
+                    yield _batch(rows, OWNED)
+                    rows = []
         if rows:
             yield _batch(rows, OWNED)
 
     return run
 
 
+SHARED = pa.schema([("part", pa.int32()), ("rep", pa.int64()), ("body", pa.binary()), ("n", pa.int64()), ("i", pa.int64()), ("count", pa.int64()), ("best_part", pa.int32()), ("best_rep", pa.int64()), ("of_part", pa.int32()), ("of_rep", pa.int64())])
+SHARED_DDL = f"{REPS}, of_part int, of_rep long"
+
+
+def _shares(budget: int):
+    """Representatives -> one for each text of the task, under a number of its own (parts below 0), and rows that tell for which others
+    it stands (of_part, of_rep; no body)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = -1 - TaskContext.get().partitionId(), []
+        for k, (body, (best, count, reps)) in enumerate(_merged(budget, batches)):
+            rows.append((own, k, body, best[-1], best[-2], count, best[3], best[4], None, None))
+            rows += [(own, k, None, None, None, None, None, None, part, rep) for part, rep in reps]
+            if len(rows) >= BATCH:
+                yield _batch(rows, SHARED)
+                rows = []
+        if rows:
+            yield _batch(rows, SHARED)
+
+    return run
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_code_points.
 
@@ -221,10 +261,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"), F.length(text_col).cast("long").alias("n"))
     local = staged(rows.mapInArrow(_local(budget), LOCAL_DDL), "dedup-local")
     at = F.col("best") + 1
-    reps = local.select("part", "rep", "body", F.element_at("sizes", at).alias("n"), F.element_at("ids", at).alias("i"), F.size("ids").cast("long").alias("count"), "length", "sha")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = reps.repartition(parts, "length", "sha").select("part", "rep", "body", "n", "i", "count")
-    owned = dealt.mapInArrow(_owners(budget), OWNED_DDL)
+    key = ["length", "sha"]
+    reps = local.select("part", "rep", "body", F.element_at("sizes", at).alias("n"), F.element_at("ids", at).alias("i"), F.size("ids").cast("long").alias("count"), F.col("part").alias("best_part"), F.col("rep").alias("best_rep"), *key)
+    parts, columns = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), [c.split(" ")[0] for c in REPS.split(", ")]
+    hot = staged(local.groupBy(*key).count().filter(F.col("count") > SHARES).select(*key), "dedup-hot")
+    if hot.isEmpty():
+        owned = reps.repartition(parts, *key).select(*columns).mapInArrow(_owners(budget), OWNED_DDL)
+    else:
+        hot = hinted(hot)
+        dealt = reps.join(hot, key).repartition(parts, *key, F.col("part") % SHARES)
+        shared = staged(dealt.select(*columns).mapInArrow(_shares(budget), SHARED_DDL), "dedup-shares")
+        stand = shared.filter("body is not null").select(*columns, F.length("body").cast("long").alias("length"), F.sha2("body", 256).alias("sha"))
+        rest = reps.join(hot, key, "left_anti").select(*columns, "length", F.lower(F.hex("sha")).alias("sha"))
+        owned = staged(rest.unionByName(stand).repartition(parts, *key).select(*columns).mapInArrow(_owners(budget), OWNED_DDL), "dedup-owned")
+        through = shared.filter("body is null").select("part", "rep", "of_part", "of_rep").join(owned.filter("part < 0"), ["part", "rep"])
+        owned = owned.filter("part >= 0").unionByName(through.select(F.col("of_part").alias("part"), F.col("of_rep").alias("rep"), "keep_id", "group_size", "best_part", "best_rep"))
+    owned = owned.withColumn("own", (F.col("part") == F.col("best_part")) & (F.col("rep") == F.col("best_rep"))).drop("best_part", "best_rep")
     members = local.select("part", "rep", F.lower(F.hex("sha")).alias("text_sha256"), "best", F.arrays_zip("ids", "sizes").alias("m")).join(owned, ["part", "rep"])
     out = members.select("*", F.posexplode("m").alias("pos", "x"))
     kept = F.col("own") & (F.col("pos") == F.col("best"))
