@@ -1,12 +1,13 @@
 """Classifiers: held-out accuracy on texts whose label shows in some words, and the edge cases."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import quality, toxicity
+from tracewell.llm import chargrams, quality, toxicity
 from tracewell.llm.chargrams import Model, hashed, regression
 
 
@@ -126,10 +127,46 @@ def test_every_gram_that_stands_out_is_kept(spark):
     for i, s in enumerate(sets):
         seen[i % 2, s] += 1
     ratio = np.log((seen[1] + 1) / 202) - np.log((seen[0] + 1) / 202)
-    out = np.nonzero(np.abs(ratio) / np.sqrt(1 / (seen[1] + 1) + 1 / (seen[0] + 1)) >= 4)[0]
-    assert len(out) > 2000 and model.features.tolist() == out.tolist()
+    z = np.abs(ratio) / np.sqrt(1 / (seen[1] + 1) + 1 / (seen[0] + 1))
+    out = np.nonzero((z > 2) & (seen.sum(axis=0) > 1))[0]
+    ratio *= 1 - 4 / np.maximum(z, 1e-9) ** 2
+    assert len(out) > 2000 and set(np.nonzero(z >= 4)[0]) <= set(out) and model.features.tolist() == out.tolist()
     # the sums of the tasks give what all rows at hand give
     w, b = regression([np.searchsorted(out, s[np.isin(s, out)]) for s in sets], np.arange(400) % 2, ratio[out])
     assert model.weights == pytest.approx(w, abs=1e-9) and model.bias == pytest.approx(b, abs=1e-9)
     score = model.scorer()
     assert np.mean([score(w) > score("p001") for w in bad]) == 1
+
+
+def test_ten_labelled_rows_of_each_kind_give_more_than_one_score(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(60)], k=12) + (["vileword"] if i % 2 else [])) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    model = chargrams.fit(docs, labels, "toxic", F.lit(True))
+    score = model.scorer()
+    assert len({score(t) for t in texts}) > 1
+    assert min(score(t) for t in texts[21::2]) > max(score(t) for t in texts[20::2])
+
+
+def test_scores_of_toxicity_by_plain_loops(labelled):
+    """Each score again from the model's table, n-gram by n-gram, with Python's whole numbers."""
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+
+    def plain(text):
+        data, seen = f" {(text or '').lower()} ".encode(), set()
+        for n in model.orders:
+            for at in range(len(data) - n + 1):
+                h = 0
+                for b in data[at : at + n]:
+                    h = (h * 0x100000001B3 + b) % 2**64
+                seen.add((h ^ (h >> 29)) * 0x9E3779B97F4A7C15 % 2**64 >> (64 - chargrams.BITS))
+        return 1 / (1 + math.exp(-(model.bias + sum(weight.get(x, 0.0) for x in seen))))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = toxicity.toxicity(docs, labels).filter("doc_id % 10 = 1 or doc_id >= 1000").collect()
+    assert len(found) > 60
+    for r in found:
+        assert r["score"] == pytest.approx(plain(texts[r["doc_id"]]), abs=1e-9)

@@ -64,6 +64,36 @@ def test_mixing_takes_less_of_less(docs):
     assert all(small[r["doc_id"]] <= r["taken"] for r in mixing.mix(docs, budget=0.6).collect())
 
 
+@pytest.mark.parametrize("other", [None, "x"])
+def test_mixing_among_rows_alike(spark, other):
+    """Where a budget ends among rows of one identifier and text, as many are taken as come nearest."""
+    rows = [(1, "one two three four", "hot", other)] * 1500 + [(k, "w " * (k % 7), f"s{k % 2}", other) for k in range(2, 200)] + [(None, None, None, other)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, h string").repartition(7)
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows) and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in found)
+    for source in ("hot", "s0", "s1"):
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    copies = sorted(r["copies"] for r in found if r["source"] == "hot")
+    assert copies[0] != copies[-1]  # some of the equal rows are taken once more, some are not
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.groupBy("source").count().orderBy("source").collect() == spark.createDataFrame([(s, sum(r["copies"] for r in found if r["source"] == s)) for s in ("hot", "s0", "s1", None)], "source string, count long").filter("count > 0").orderBy("source").collect()
+
+
+def test_exact_dedup_of_a_text_in_many_partitions(spark, monkeypatch):
+    """Texts that many partitions hold are merged in shares, then together; identifiers alone fill a budget as well."""
+    monkeypatch.setattr(exact_dedup, "SHARES", 4)
+    rows = [(k, "the same\ttext" if k % 3 else f"text {k // 6}", "s") for k in range(600)] + [(k, None, "s") for k in range(1000, 1400)] + [(None, "thesame text", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha string").repartition(30)
+    found = exact_dedup.exact_dedup(docs, budget=8000).collect()
+    groups = collections.defaultdict(list)
+    for i, text, _ in rows:
+        groups[BLANK.sub("", text or "")].append((-len(text or ""), i is None, i or 0, i))
+    expected = {i: (min(own)[3], len(own)) for own in groups.values() for *_, i in own}
+    assert len(found) == len(rows) and all((r["keep_id"], r["group_size"]) == expected[r["doc_id"]] for r in found)
+    assert sorted(r["keep_id"] for r in found if r["kept"]) == sorted(min(own)[3] for own in groups.values())
+
+
 @pytest.mark.parametrize("budget", [exact_dedup.TRIE_BYTES, 3000])
 def test_exact_dedup(docs, rows, empty, budget):
     found = exact_dedup.exact_dedup(docs, budget=budget).collect()
