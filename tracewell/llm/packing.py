@@ -1,9 +1,9 @@
 """Packing documents into training sequences, each seed followed by its nearest texts.
 
 The terms of a document are its token ids. How many documents hold a term, and how long documents are, is counted
-over all of them. A signature of each document, the sides of some planes on which its weighted terms lie,
-deals the documents out by range, so that texts with the same rare terms meet, however large a group; in that
-order they form shards of bounded size. A shard has an inverted index with BM25 weights of those overall
+over all of them. A sketch of each document, a random projection of its weighted terms, is dealt to the nearest of some
+centres, which are fitted on a bounded sample, and within those by the sides of planes on which it lies, so that texts
+with the same terms stand near each other, however large a group; in that order they form shards of bounded size. A shard has an inverted index with BM25 weights of those overall
 counts. A window's seed is the document that stands at its start; the unused documents nearest to it
 follow, best first, until the window is full, and what does not fit opens the next window. Copies of a text do
 not share a window while there is another text. A shard's last window is cut at powers of two, so it needs no padding.
@@ -26,7 +26,9 @@ from .encoding import ids as pieces_of
 from .encoding import load
 
 WINDOW, END = 2048, 1
-SHARD_TOKENS, SHARD_DOCS, PLANES, BLOCK = 600_000, 4096, 16, 1 << 12
+SHARD_TOKENS, SHARD_DOCS, BLOCK = 600_000, 4096, 1 << 12
+#: Numbers of a sketch; centres, and documents on average that they are fitted on; sides of planes within a centre.
+SKETCH, CENTRES, SAMPLE, SIDES = 32, 64, 4096, 16
 K1, B = 1.2, 0.75
 
 
@@ -194,18 +196,58 @@ def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([seen.tobytes()], pa.binary())], names=["block", "seen"])
 
 
-def _signed(kind: str, seen: np.ndarray, total: int):
-    """Adds a signature: of the sum of a row's different terms, by weight, the sides of random planes, less what is usual."""
+class Sketches:
+    """Directions of documents: of the different terms of each the sum of random vectors by weight, less what is usual."""
+
+    def __init__(self, kind: str, seen: np.ndarray, total: int):
+        self.kind, self.different = kind, Different(len(seen))
+        self.normals = np.random.default_rng(17).standard_normal((len(seen), SKETCH)).astype(np.float32)
+        self.normals *= idf(seen, total)[:, None].astype(np.float32)
+        self.normals -= (seen @ self.normals / max(1, seen.sum())).astype(np.float32)
+
+    def of(self, ids: list[np.ndarray]) -> np.ndarray:
+        out = np.array([self.normals[self.different.of(x)].sum(axis=0) for x in ids]).reshape(len(ids), SKETCH)
+        return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
+
+
+def _sampled(kind: str, seen: np.ndarray, total: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches = Sketches(kind, seen, total)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sketches.of([np.frombuffer(x.as_buffer(), kind) for x in batch.column(0)]).astype("<f4").tobytes()], pa.binary())], names=["sketches"])
+
+    return run
+
+
+def centres(points: np.ndarray, most: int = CENTRES, rounds: int = 12) -> np.ndarray:
+    """K-means of sketches, in the order in which the centres lie along their main direction; one centre where points are few."""
+    k = min(most, len(points) // 8)
+    if k < 2:
+        return np.zeros((1, SKETCH), np.float32)
+    at = points[np.random.default_rng(5).choice(len(points), k, replace=False)].copy()
+    for _ in range(rounds):
+        own = nearest(points, at)
+        for j in range(k):
+            if (own == j).any():
+                at[j] = points[own == j].mean(axis=0)
+    main = np.linalg.svd(at - at.mean(axis=0), full_matrices=False)[2][0]
+    return at[np.argsort(at @ main, kind="stable")].astype(np.float32)
+
+
+def nearest(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.argmax(points @ at.T - 0.5 * (at * at).sum(axis=1), axis=1)
+
+
+def _signed(kind: str, seen: np.ndarray, total: int, at: np.ndarray):
+    """Adds a row's place among the others, its centre and then its sides, and a hash that copies share."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normals = np.random.default_rng(17).standard_normal((len(seen), PLANES)).astype(np.float32)
-        normals *= idf(seen, total)[:, None].astype(np.float32)
-        normals -= (seen @ normals / max(1, seen.sum())).astype(np.float32)
-        different = Different(len(seen))
+        sketches = Sketches(kind, seen, total)
         for batch in batches:
             own = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(2)]
-            sums = np.array([normals[different.of(x)].sum(axis=0) for x in own]).reshape(len(own), PLANES)
-            sig = (sums > 0) @ (1 << np.arange(PLANES)[::-1])
+            points = sketches.of(own)
+            centre = nearest(points, at) if len(own) else np.empty(0, np.int64)
+            sig = centre << SIDES | (points[:, :SIDES] > at[centre, :SIDES]) @ (1 << np.arange(SIDES)[::-1])
             same = [xxhash.xxh3_64_intdigest(x) >> 1 for x in own]
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int32()), pa.array(same, pa.int64()), *batch.columns], names=["sig", "same", "uid", "doc_id", "ids"])
 
@@ -275,7 +317,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     seen = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64)
     for r in blocks.mapInArrow(_added, "block int, seen binary").collect():
         seen[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["seen"], np.int64)
-    signed = staged(own.mapInArrow(_signed(kind, seen, total), f"sig int, same long, {TOKENS_DDL}"), "pack-signed")
+    some = own.filter(F.pmod(F.xxhash64("uid"), F.lit(max(1, total))) < SAMPLE).select("ids")
+    points = np.frombuffer(b"".join(r["sketches"] for r in some.mapInArrow(_sampled(kind, seen, total), "sketches binary").collect()), "<f4").reshape(-1, SKETCH)
+    signed = staged(own.mapInArrow(_signed(kind, seen, total, centres(points)), f"sig int, same long, {TOKENS_DDL}"), "pack-signed")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = signed.repartitionByRange(parts, "sig", "same", "uid").sortWithinPartitions("sig", "same", "uid").select("same", "doc_id", "ids")
     return dealt.mapInArrow(_pack(kind, window, shard_tokens, shard_docs, seen, total, mean, with_ids), DDL + (", ids binary" if with_ids else ""))
