@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -214,11 +215,12 @@ def test_packing(docs, rows, empty):
 def test_packing_follows_bm25_over_all_documents(docs, rows):
     """One shard against a plain greedy loop over BM25 with counts over all documents, copies kept apart."""
     docs = docs.coalesce(1)
+    before = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     docs.sparkSession.conf.set("spark.sql.shuffle.partitions", "1")
     try:
         found = packing.pack(docs, PATH, shard_tokens=10**9, shard_docs=10**9, with_ids=True, window=256).collect()
     finally:
-        docs.sparkSession.conf.set("spark.sql.shuffle.partitions", "8")
+        docs.sparkSession.conf.set("spark.sql.shuffle.partitions", before)
     texts = collections.defaultdict(bytes)
     for r in sorted(found, key=lambda r: (r["doc_id"], r["start"])):
         texts[r["doc_id"]] += r["ids"]
@@ -254,6 +256,21 @@ def test_packing_follows_bm25_over_all_documents(docs, rows):
     assert checked > 10
 
 
+def test_documents_of_a_topic_meet_across_shards(spark):
+    """Sixteen topics with words of their own, dealt over many shards: those in a window are of the topic of its first document."""
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    common, topics = [name() for _ in range(40)], [[name() for _ in range(50)] for _ in range(16)]
+    texts = [" ".join(rng.choices(common, k=25) + rng.choices(topics[i % 16], k=25)) for i in range(1600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = packing.pack(docs, PATH, shard_tokens=12_000, window=1024).collect()
+    windows = collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: r["offset"]):
+        windows[r["sequence_id"]].append(r["doc_id"] % 16)
+    same = [t == w[0] for w in windows.values() for t in w[1:]]
+    assert len(windows) > 100 and np.mean(same) > 0.8
+
+
 def test_copies_do_not_share_a_window():
     terms = [np.array([1, 2, 3]), np.array([1, 2, 3]), np.array([1, 2, 4]), np.array([1, 2, 3])]
     seen = np.array([0, 4, 4, 3, 1])
