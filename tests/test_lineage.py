@@ -68,6 +68,7 @@ CASES = {
     # pivots
     "pivot_key": ("SELECT meter FROM meters PIVOT (sum(amount) FOR kind IN ('day', 'night'))", "meter = meters.meter"),
     "pivot_made": ("SELECT day AS d FROM (SELECT kind, amount FROM meters) PIVOT (sum(amount) FOR kind IN ('day', 'night'))", "d = meters.amount"),
+    "pivot_of_join": ("SELECT town, day AS d, loan FROM readers r JOIN loans l ON r.reader = l.reader PIVOT (sum(fee) FOR isbn IN ('day', 'night'))", "town = readers.town; d = loans.fee; loan = loans.loan"),
     "pivot_of_two": ("SELECT day_total AS d FROM meters PIVOT (sum(amount) AS total, avg(cost) FOR kind IN ('day' AS day))", "d = meters.amount; d = meters.cost"),
     # targets
     "create": ("CREATE TABLE cheap AS SELECT isbn, price / 2 AS half FROM books", "cheap.isbn = books.isbn; cheap.half = books.price"),

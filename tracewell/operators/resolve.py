@@ -102,27 +102,41 @@ def _scoped(sources: DataFrame, columns: DataFrame, pivots: DataFrame | None) ->
     return rows.groupBy("scope").agg(F.max("file").alias("file"), F.array_sort(F.collect_list("s")).alias("s"), F.array_sort(F.collect_list("k")).alias("k"), F.collect_set("pv").alias("pv"))
 
 
+def _let(steps: list[dict[str, str]]) -> str:
+    """One SQL expression of several steps, each a struct of the fields so far and its own; a step names earlier fields as ``o.field``.
+
+    Every step is written once, however often later ones name it, so the expression stays as long as its steps.
+    """
+    out, known = "", []
+    for k, step in enumerate(steps):
+        named = lambda text: text.replace("o.", f"o{k}.")  # noqa: E731, B023
+        fields = [f"'{f}', o{k}.{f}" for f in known if f not in step] + [f"'{f}', {named(text)}" for f, text in step.items()]
+        body = f"named_struct({', '.join(fields)})"
+        out = f"transform(array({out}), o{k} -> {body})[0]" if out else body
+        known += [f for f in step if f not in known]
+    return out
+
+
 def _answered(asked: DataFrame) -> DataFrame:
     """Adds what the sources answer (ans) and, where the first rules settle it, the answer (settled); else the tables in question."""
-    answer = "named_struct('src_ord', {}, 'origin_ord', {}, 't', {}, 'c', {})"
-    mine = "filter(k, y -> y.name = name)"
-    shown = f"transform(filter(own, y -> y.src_ord = x.src_ord), y -> {answer.format('y.src_ord', 'y.origin_ord', 'y.t', 'y.c')})"
-    blind = f"array({answer.format('x.src_ord', '0', 'CASE WHEN x.kind = \'table\' THEN x.table_name END', 'name')})"
     kind = "array<struct<src_ord:int,origin_ord:int,t:string,c:string>>"
-    per_source = f"CASE WHEN exists(own, y -> y.src_ord = x.src_ord) THEN {shown} WHEN x.kind IN ('table', 'values') THEN {blind} ELSE CAST(array() AS {kind}) END"
-    sources = "coalesce(s, CAST(array() AS array<struct<src_ord:int,alias:string,kind:string,table_name:string>>))"
-    known = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(m).alias("means")) for p, m in sorted(PREFIXES, key=lambda x: (-len(x[0]), x[0]))])
-    one = lambda t: f"CAST(array({answer.format(0, 0, t, 'name')}) AS {kind})"
-    return (
-        asked.withColumns({"s": F.expr(sources), "own": F.expr(f"coalesce({mine}, array())"), "known": known})
-        .withColumns({"n_sources": F.size("s"), "asks": F.expr("CASE WHEN qualifier IS NULL THEN s ELSE slice(filter(s, x -> x.alias = qualifier), 1, 1) END"), "direct": F.expr("filter(s, x -> x.kind = 'table' AND NOT array_contains(pv, x.src_ord))")})
-        .withColumns({"ans": F.expr(f"CAST(flatten(transform(asks, x -> {per_source})) AS {kind})"), "hits": F.expr("transform(filter(direct, x -> exists(own, y -> y.src_ord = x.src_ord)), x -> x.table_name)"), "taking": F.expr("transform(direct, x -> x.table_name)")})
-        .withColumn("meant", F.expr("filter(known, p -> startswith(name, p.prefix) AND exists(taking, t -> endswith(t, p.means)))"))
-        .withColumn("settled", F.expr(f"CASE WHEN qualifier IS NOT NULL OR n_sources = 1 THEN ans WHEN size(hits) = 1 THEN {one('hits[0]')} WHEN size(meant) > 0 THEN {one('meant[0].means')} END"))
-        .withColumn("tables", F.expr("CASE WHEN settled IS NULL THEN array_distinct(filter(transform(ans, a -> a.t), t -> t IS NOT NULL)) ELSE array() END"))
-        .withColumn("open", F.expr("CASE WHEN size(tables) > 1 THEN array_except(tables, taking) ELSE array() END"))
-        .drop("s", "k", "pv", "own", "known", "asks", "direct", "meant")
-    )
+    answer = lambda a, b, t, c: f"named_struct('src_ord', {a}, 'origin_ord', {b}, 't', {t}, 'c', {c})"
+    shown = f"transform(filter(o.mine, y -> y.src_ord = x.src_ord), y -> {answer('y.src_ord', 'y.origin_ord', 'y.t', 'y.c')})"
+    blind = "array(" + answer("x.src_ord", "0", "CASE WHEN x.kind = 'table' THEN x.table_name END", "name") + ")"
+    per_source = f"CASE WHEN exists(o.mine, y -> y.src_ord = x.src_ord) THEN {shown} WHEN x.kind IN ('table', 'values') THEN {blind} ELSE CAST(array() AS {kind}) END"
+    prefixes = ", ".join(f"named_struct('prefix', '{p}', 'means', '{m}')" for p, m in sorted(PREFIXES, key=lambda x: (-len(x[0]), x[0])))
+    one = lambda t: f"CAST(array({answer(0, 0, t, 'name')}) AS {kind})"
+    steps = [
+        {"srcs": "coalesce(s, CAST(array() AS array<struct<src_ord:int,alias:string,kind:string,table_name:string>>))", "mine": "coalesce(filter(k, y -> y.name = name), array())"},
+        {"n": "size(o.srcs)", "asks": "CASE WHEN qualifier IS NULL THEN o.srcs ELSE slice(filter(o.srcs, x -> x.alias = qualifier), 1, 1) END", "direct": "filter(o.srcs, x -> x.kind = 'table' AND NOT array_contains(pv, x.src_ord))"},
+        {"ans": f"CAST(flatten(transform(o.asks, x -> {per_source})) AS {kind})", "hits": "transform(filter(o.direct, x -> exists(o.mine, y -> y.src_ord = x.src_ord)), x -> x.table_name)", "taking": "transform(o.direct, x -> x.table_name)"},
+        {"meant": f"filter(array({prefixes}), p -> startswith(name, p.prefix) AND exists(o.taking, t -> endswith(t, p.means)))"},
+        {"settled": f"CASE WHEN qualifier IS NOT NULL OR o.n = 1 THEN o.ans WHEN size(o.hits) = 1 THEN {one('o.hits[0]')} WHEN size(o.meant) > 0 THEN {one('o.meant[0].means')} END"},
+        {"tables": "CASE WHEN o.settled IS NULL THEN array_distinct(filter(transform(o.ans, a -> a.t), t -> t IS NOT NULL)) ELSE CAST(array() AS array<string>) END"},
+        {"open": "CASE WHEN size(o.tables) > 1 THEN array_except(o.tables, o.taking) ELSE CAST(array() AS array<string>) END"},
+    ]
+    rows = asked.withColumn("r", F.expr(_let(steps)))
+    return rows.select("scope", "proj", "ref_ord", "qualifier", "name", "file", F.col("r.n").alias("n_sources"), *[f"r.{c}" for c in ("ans", "hits", "taking", "settled", "tables", "open")])
 
 
 def resolve_refs(refs: DataFrame, sources: DataFrame, columns: DataFrame, catalog: DataFrame, pivots: DataFrame | None, through: bool = True) -> DataFrame:
@@ -149,12 +163,15 @@ def resolve_refs(refs: DataFrame, sources: DataFrame, columns: DataFrame, catalo
 
 def _chosen(both: DataFrame, ref: list[str]) -> DataFrame:
     """Of what the sources answer what the last rules leave, by the tables that have the name (having)."""
-    first = "filter(ans, a -> array_contains(taking, a.t))"
-    only = F.expr(f"CASE WHEN size(tables) <= 1 THEN NULL WHEN size(having) = 1 THEN having[0] WHEN size({first}) > 0 THEN array_min({first}).t END")
-    both = both.withColumn("only", only).withColumn("found", F.expr("coalesce(settled, CASE WHEN only IS NULL THEN ans ELSE filter(ans, a -> a.t = only) END)"))
-    # a name that nobody answers stands for itself, but for one that an only source does not show
-    lost = F.expr("CASE WHEN size(found) = 0 AND (qualifier IS NOT NULL OR n_sources <> 1) THEN array(struct(0 AS src_ord, 0 AS origin_ord, CAST(NULL AS string) AS t, name AS c)) ELSE array_sort(found) END")
-    return both.select(*ref, F.posexplode(lost).alias("ans_ord", "a")).select(*ref, "ans_ord", F.col("a.t").alias("origin_table"), F.col("a.c").alias("origin_column"))
+    steps = [
+        {"first": "filter(ans, a -> array_contains(taking, a.t))"},
+        {"table": "CASE WHEN size(tables) <= 1 THEN NULL WHEN size(having) = 1 THEN having[0] WHEN size(o.first) > 0 THEN array_min(o.first).t END"},
+        {"found": "coalesce(settled, CASE WHEN o.table IS NULL THEN ans ELSE filter(ans, a -> a.t = o.table) END)"},
+        # a name that nobody answers stands for itself, but for one that an only source does not show
+        {"all": "CASE WHEN size(o.found) = 0 AND (qualifier IS NOT NULL OR n_sources <> 1) THEN array(struct(0 AS src_ord, 0 AS origin_ord, CAST(NULL AS string) AS t, name AS c)) ELSE array_sort(o.found) END"},
+    ]
+    rows = both.select(*ref, F.expr(_let(steps))["all"].alias("all"))
+    return rows.select(*ref, F.posexplode_outer("all").alias("ans_ord", "a")).filter("ans_ord is not null").select(*ref, "ans_ord", F.col("a.t").alias("origin_table"), F.col("a.c").alias("origin_column"))
 
 
 def _concrete(t: Column, c: Column) -> Column:

@@ -270,7 +270,14 @@ class Walker:
             add(key, "query" if child else "table", None if child else table, child)
         elif kind == "Pivot":
             before = at[0]
-            self._from(plan.child(), scope, at, alias)
+            if _kind(self._strip(plan.child())) == "Join":  # what a pivot makes of a join has all columns of the join
+                query, inner = self._new(), self._new()
+                self._from(plan.child(), inner, [0])
+                self.rows["projections"].append((self.key, inner, 0, "star", None, None, "*", False))
+                self.rows["branches"].append((self.key, query, 0, inner, 0))
+                add(alias or "_q_pivot", "query", child=query)
+            else:
+                self._from(plan.child(), scope, at, alias)
             if at[0] > before:
                 refs = [normalized(_seq(a.nameParts())[-1]) for e in _seq(plan.aggregates()) for a in self._attributes(e)]
                 self.rows["pivots"].append((self.key, scope, at[0] - 1, self._generated(plan), refs))

@@ -138,7 +138,6 @@ def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "file string, table_name string, column_name string, ordinal int")
 
 
-_NO_PIVOTS = "scope string, src_ord int, names array<string>, refs array<string>"
 _NO_INDEX = "query string, name string, pos struct<branch:int,proj:int,el:int>, origin_ord int, origin_table string, origin_column string"
 
 
@@ -261,6 +260,10 @@ def inserted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.inserted(rows, schema).select("stmt", "idx", "origin_ord", "target_column", "origin_column")
 
 
+_CREATED_RESOLVED_SQL = f"WITH {_ELEMENTS} SELECT stmt, idx, origin_ord, 'sales' AS target_table, CASE WHEN stmt % 3 = 0 THEN (['AF', 'NO', 'AF'])[idx + 1] ELSE coalesce(output_column, first_column) END AS target_column, 'part' AS origin_table, origin_column FROM d"
+_INSERTED_RESOLVED_SQL = f"""WITH {_ELEMENTS}, p AS (SELECT *, dense_rank() OVER (PARTITION BY query, branch ORDER BY proj) AS place FROM d),
+t AS (SELECT *, CASE WHEN stmt % 3 = 0 THEN (['AF', 'NO', 'AF'])[place] ELSE (['AF', 'NO', 'p1_0'])[place] END AS target_column FROM p)
+SELECT stmt, idx, origin_ord, target_column, origin_column FROM t WHERE target_column IS NOT NULL"""
 _INSERTED_SQL = f"""WITH {_ELEMENTS},
 made AS (SELECT stmt, list(name ORDER BY idx) AS cols FROM (SELECT stmt, idx, coalesce(output_column, first_column) AS name FROM d WHERE origin_ord = 0) m WHERE name IN ('AF', 'NO', 'p1_0') GROUP BY stmt),
 c AS (SELECT d.*, CASE WHEN d.stmt % 3 = 0 THEN ['AF', 'NO', 'AF'] ELSE coalesce(made.cols, CAST([] AS VARCHAR[])) END AS cols FROM d LEFT JOIN made ON made.stmt = d.stmt),
@@ -327,10 +330,9 @@ def resolve_lone_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     scopes = _lone_scopes(spark, sf_dir)
     schema = spark.createDataFrame([("rows", "orders", "o_totalprice", 0), ("rows", "lineitem", "l_tax", 0), ("rows", "lineitem", "l_quantity", 1)], "file string, table_name string, column_name string, ordinal int")
     index = _table(spark, sf_dir, "nation").select(_key("n_nationkey").alias("query"), F.lit("shown").alias("name"), F.struct(F.lit(0).alias("branch"), F.lit(0).alias("proj"), F.lit(0).alias("el")).alias("pos"), F.lit(0).alias("origin_ord"), F.lit("nation").alias("origin_table"), F.col("n_name").alias("origin_column"))
-    none = spark.createDataFrame([], _NO_PIVOTS)
     asked = F.array(*[F.struct(F.lit(i).alias("ref_ord"), F.lit(q).cast("string").alias("qualifier"), F.lit(n).alias("name")) for i, (q, n) in enumerate([(None, "l_tax"), (None, "strange"), ("q", "shown"), ("nobody", "shown"), (None, "shown")])])
     refs = _table(spark, sf_dir, "customer").select(_key("c_custkey").alias("scope"), F.lit(0).alias("proj"), F.explode(asked).alias("r")).select("scope", "proj", "r.*")
-    out = resolve.resolve_refs(refs, scopes, resolve.source_columns(scopes, schema, index, none), schema, none)
+    out = resolve.resolve_refs(refs, scopes, resolve.source_columns(scopes, schema, index, None), schema, None)
     return out.select("scope", "ref_ord", "ans_ord", "origin_table", "origin_column")
 
 
@@ -344,6 +346,64 @@ a AS (
 SELECT scope, ref_ord, 0 AS ans_ord, origin_table, origin_column FROM a UNION ALL SELECT scope, 4, 1, 'nation', n_name FROM c WHERE k = 3"""
 
 
+def resolve_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer is a scope of a query and a table, of VALUES alone, or of VALUES and a table. Names that the query shows come
+    from a table whose schema alone has the name (nations) or from one whose schema does not (regions)."""
+    c = _table(spark, sf_dir, "customer")
+    source = lambda ord_, alias, kind, table=None, child=None, names=(): F.struct(F.lit(ord_).alias("src_ord"), F.lit(alias).alias("alias"), F.lit(kind).alias("kind"), F.lit(table).cast("string").alias("table_name"), (F.lit(None) if child is None else child).cast("string").alias("child"), F.array(*names).cast("array<string>").alias("names"))
+    k, orders = F.col("c_custkey") % 4, source(1, "o", "table", "orders")
+    values = source(0, "v", "values", names=(F.lit("shown"), F.concat(F.lit("v"), _key("c_nationkey"))))
+    kinds = F.when(k == 0, F.array(source(0, "q", "query", child=F.concat(F.lit("n"), _key("c_nationkey"))), orders)).when(k == 1, F.array(source(0, "q", "query", child=F.concat(F.lit("r"), _key("c_nationkey"))), orders)).when(k == 2, F.array(values)).otherwise(F.array(values, orders))
+    scopes = c.select(F.lit("rows").alias("file"), _key("c_custkey").alias("scope"), F.explode(kinds).alias("s")).select("file", "scope", "s.*")
+    schema = spark.createDataFrame([("rows", "orders", "o_totalprice", 0), ("rows", "nation", "shown", 0)], "file string, table_name string, column_name string, ordinal int")
+    pos = F.struct(F.lit(0).alias("branch"), F.lit(0).alias("proj"), F.lit(0).alias("el")).alias("pos")
+    shown = lambda tag, t: _table(spark, sf_dir, "nation").select(F.concat(F.lit(tag), _key("n_nationkey")).alias("query"), F.lit("shown").alias("name"), pos, F.lit(0).alias("origin_ord"), F.lit(t).alias("origin_table"), F.col("n_name").alias("origin_column"))
+    asked = F.array(*[F.struct(F.lit(i).alias("ref_ord"), F.lit(q).cast("string").alias("qualifier"), F.lit(n).alias("name")) for i, (q, n) in enumerate([(None, "shown"), (None, "o_totalprice"), ("v", "shown"), (None, "strange")])])
+    refs = c.select(_key("c_custkey").alias("scope"), F.lit(0).alias("proj"), F.explode(asked).alias("r")).select("scope", "proj", "r.*")
+    columns = resolve.source_columns(scopes, schema, shown("n", "nation").unionByName(shown("r", "region")), None)
+    return resolve.resolve_refs(refs, scopes, columns, schema, None).select("scope", "ref_ord", "ans_ord", "origin_table", "origin_column")
+
+
+_RULES_SQL = """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS scope, c_custkey % 4 AS k, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT scope, 0 AS ref_ord, 0 AS ans_ord, CASE k WHEN 0 THEN 'nation' WHEN 1 THEN 'orders' END AS origin_table, CASE WHEN k = 0 THEN n_name ELSE 'shown' END AS origin_column FROM c
+UNION ALL SELECT scope, 0, 1, 'orders', 'shown' FROM c WHERE k = 3
+UNION ALL SELECT scope, 1, 0, CASE WHEN k <> 2 THEN 'orders' END, 'o_totalprice' FROM c
+UNION ALL SELECT scope, 2, 0, NULL, 'shown' FROM c
+UNION ALL SELECT scope, 3, 0, CASE WHEN k < 2 THEN 'orders' END, 'strange' FROM c UNION ALL SELECT scope, 3, 1, 'orders', 'strange' FROM c WHERE k = 3"""
+
+
+def bare_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a column without more (every third an expression): line items are what it may come from, most of them nothing."""
+    scope = _key("o_orderkey").alias("scope")
+    bare = F.col("o_orderkey") % 3 > 0
+    projections = _table(spark, sf_dir, "orders").select(scope, F.lit(0).alias("proj"), F.lit("expression").alias("kind"), F.lit("v").alias("out_name"), F.lit(None).cast("string").alias("qualifier"), F.lit("v").alias("expression"), bare.alias("is_column"))
+    table, column = F.when((F.col("flag") == "A") & (F.col("n") > 5), "part"), F.when(F.col("n") % 2 == 0, "").otherwise(F.when((F.col("flag") == "A") & (F.col("n") > 5), "p"))
+    answers = _items(spark, sf_dir).select(scope, F.lit(0).alias("proj"), F.col("n").alias("ref_ord"), F.lit(0).alias("ans_ord"), table.alias("origin_table"), column.alias("origin_column"))
+    return resolve.projection_origins(projections, answers, None, None).select("scope", "origin_ord", "origin_table", "origin_column")
+
+
+_BARE_SQL = f"""WITH {_ITEMS},
+a AS (SELECT o_orderkey, n, CASE WHEN flag = 'A' AND n > 5 THEN 'part' END AS t, CASE WHEN n % 2 = 0 THEN '' WHEN flag = 'A' AND n > 5 THEN 'p' END AS c FROM i),
+g AS (SELECT o_orderkey, t, c, min(n) AS place FROM a GROUP BY o_orderkey, t, c),
+w AS (SELECT *, bool_or(t IS NOT NULL) OVER (PARTITION BY o_orderkey, c) AS tabled, min(place) OVER (PARTITION BY o_orderkey, c) AS first FROM g),
+o AS (SELECT o_orderkey, t, c, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY first, place) - 1 AS INTEGER) AS k, bool_or(coalesce(t, '') <> '' OR coalesce(c, '') <> '') OVER (PARTITION BY o_orderkey) AS found FROM w WHERE t IS NOT NULL OR NOT tabled),
+j AS (SELECT orders.o_orderkey, k, t, c, orders.o_orderkey % 3 > 0 AND NOT coalesce(found, false) AS blank FROM orders LEFT JOIN o USING (o_orderkey))
+SELECT CAST(o_orderkey AS VARCHAR) AS scope, coalesce(k, 0) AS origin_ord, CASE WHEN NOT blank THEN t END AS origin_table, CASE WHEN NOT blank THEN c END AS origin_column FROM j WHERE NOT blank OR coalesce(k, 0) = 0"""
+
+
+def created_columns_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by SQL's rules: a column list names the elements at their place."""
+    rows = records.elements(_statements(spark, sf_dir, "ctas"), _outputs(spark, sf_dir), _branches(spark, sf_dir))
+    return records.created(rows, "resolved").select("stmt", "idx", "origin_ord", "target_table", "target_column", "origin_table", "origin_column")
+
+
+def inserted_columns_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT by SQL's rules: the place alone decides, in each branch anew, among the listed columns or the schema's."""
+    rows = records.elements(_statements(spark, sf_dir, "insert"), _outputs(spark, sf_dir), _branches(spark, sf_dir))
+    schema = spark.createDataFrame([("rows", "sales", c, i) for i, c in enumerate(("AF", "NO", "p1_0"))], "file string, table_name string, column_name string, ordinal int")
+    return records.inserted(rows, schema, "resolved").select("stmt", "idx", "origin_ord", "target_column", "origin_column")
+
+
 def resolve_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of a table behind a pivot, for each customer: generated ones come from what the aggregate mentions, or from all."""
     c = _table(spark, sf_dir, "customer")
@@ -478,6 +538,10 @@ QUERIES: dict[str, Query] = {
     "records_created": created_columns,
     "records_inserted": inserted_columns,
     "records_assigned": assigned_columns,
+    "resolve_rules": resolve_rules,
+    "resolve_bare_columns": bare_columns,
+    "records_created_resolved": created_columns_resolved,
+    "records_inserted_resolved": inserted_columns_resolved,
     "exec_update": update_orders,
     "exec_merge": merge_customers,
     "exec_insert": insert_suppliers,
@@ -507,6 +571,10 @@ ORACLES: dict[str, str] = {
     "records_created": _CREATED_SQL,
     "records_inserted": _INSERTED_SQL,
     "records_assigned": _ASSIGNED_SQL,
+    "resolve_rules": _RULES_SQL,
+    "resolve_bare_columns": _BARE_SQL,
+    "records_created_resolved": _CREATED_RESOLVED_SQL,
+    "records_inserted_resolved": _INSERTED_RESOLVED_SQL,
     "exec_update": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'P' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders",
     "exec_merge": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE c_nationkey + 100 END AS c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
     "exec_insert": "SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier",
