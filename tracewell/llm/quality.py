@@ -19,12 +19,13 @@ ORDERS = (2, 3, 4)
 
 
 def url_host(url: Column) -> Column:
-    return F.coalesce(F.lower(F.parse_url(url, F.lit("HOST"))), F.lit(""))
+    """A URL's host in small letters; what is no URL has the empty one."""
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
 
 
 def url_path(url: Column) -> Column:
     """The first part of a URL's path."""
-    return F.coalesce(F.regexp_extract(F.parse_url(url, F.lit("PATH")), "^/([^/]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "^/([^/]*)", 1), F.lit(""))
 
 
 def _strength(groups: DataFrame, centre: Column) -> float:
