@@ -338,7 +338,7 @@ def _pairs(shared, buckets: int, often: bool):
         at_block, held, parts = None, 0, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            if not parts:
+            if not any(len(p[0]) for p in parts):
                 return
             bucket, key, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(bucket << np.uint64(2 * BITS) | key, kind="stable")
