@@ -147,17 +147,16 @@ def order_and_cut(lengths: np.ndarray, index: Index, same: np.ndarray, window: i
 TOKENS_DDL = "uid long, doc_id long, ids binary"
 
 
-class Different:
-    """The different terms of a document, in order."""
-
-    def __init__(self, terms: int):
-        self.mark = np.zeros(terms, bool)
-
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        self.mark[ids] = True
-        out = np.flatnonzero(self.mark)
-        self.mark[out] = False
-        return out
+def different(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different terms of some documents: document and term, in order; one sort for all of them."""
+    doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    ids = np.concatenate(own)
+    small = ids.dtype.itemsize == 2 and len(own) <= 1 << 16
+    key = doc.astype(np.uint32) << np.uint32(16) | ids if small else doc.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    bits = 16 if small else 32
+    return (key >> key.dtype.type(bits)).astype(np.int64), (key & key.dtype.type((1 << bits) - 1)).astype(np.int64)
 
 
 def _ids(path: str, end: int, kind: str, terms: int):
@@ -167,7 +166,7 @@ def _ids(path: str, end: int, kind: str, terms: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
-        seen, different = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64), Different(terms)
+        seen = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64)
         out = lambda uids, doc_ids, blobs: pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), doc_ids, pa.array(blobs, pa.binary())], names=["uid", "doc_id", "ids"])
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -177,8 +176,8 @@ def _ids(path: str, end: int, kind: str, terms: int):
                     found = [np.array(x, kind).tobytes() + tail for x in load(path).encode(texts, num_threads=1)]
                 else:
                     found = [b"".join([*values, tail]) for values, _ in pieces_of(path, "H" if kind == "<u2" else "I").of(texts)]
-                for x in found:
-                    seen[different.of(np.frombuffer(x, kind))] += 1
+                if found:
+                    seen += np.bincount(different([np.frombuffer(x, kind) for x in found])[1], minlength=len(seen))
                 yield out(np.arange(uid, uid + len(texts)), part.column(0), found)
                 uid += len(texts)
         blocks = [k for k in range(len(seen) // BLOCK) if seen[k * BLOCK : (k + 1) * BLOCK].any()]
@@ -199,20 +198,25 @@ def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Sketches:
     """Directions of documents: of the different terms of each the sum of random vectors by weight, less what is usual."""
 
-    def __init__(self, kind: str, seen: np.ndarray, total: int):
-        self.kind, self.different = kind, Different(len(seen))
+    def __init__(self, seen: np.ndarray, total: int):
         self.normals = np.random.default_rng(17).standard_normal((len(seen), SKETCH)).astype(np.float32)
         self.normals *= idf(seen, total)[:, None].astype(np.float32)
         self.normals -= (seen @ self.normals / max(1, seen.sum())).astype(np.float32)
 
     def of(self, ids: list[np.ndarray]) -> np.ndarray:
-        out = np.array([self.normals[self.different.of(x)].sum(axis=0) for x in ids]).reshape(len(ids), SKETCH)
+        """Documents have one id at least. Few are taken at a time."""
+        out = np.zeros((len(ids), SKETCH), np.float32)
+        for at in range(0, len(ids), 128):
+            doc, term = different(ids[at : at + 128])
+            stops = np.flatnonzero(np.diff(doc, append=-1)) + 1
+            for k, (a, b) in enumerate(zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)):
+                out[at + k] = self.normals[term[a:b]].sum(axis=0)
         return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
 
 
 def _sampled(kind: str, seen: np.ndarray, total: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches = Sketches(kind, seen, total)
+        sketches = Sketches(seen, total)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sketches.of([np.frombuffer(x.as_buffer(), kind) for x in batch.column(0)]).astype("<f4").tobytes()], pa.binary())], names=["sketches"])
 
@@ -242,7 +246,7 @@ def _signed(kind: str, seen: np.ndarray, total: int, at: np.ndarray):
     """Adds a row's place among the others, its centre and then its sides, and a hash that copies share."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches = Sketches(kind, seen, total)
+        sketches = Sketches(seen, total)
         for batch in batches:
             own = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(2)]
             points = sketches.of(own)
