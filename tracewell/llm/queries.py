@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, lexical, line_dedup, lm_score, mixing, negatives, ngram_join, packing, quality, substrings, token_counts, toxicity
+from .common import drop_staged as drop_staged
 from .common import table
 
 
