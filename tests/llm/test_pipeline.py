@@ -124,4 +124,4 @@ def test_registered():
     from __spark_entry__ import queries
 
     names = [n.split("_")[0] for n in queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11)) and "pipeline" in queries()
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 14)) and "pipeline" in queries()
