@@ -122,7 +122,10 @@ def counts(path: str) -> Pieces:
 
 
 def ids(path: str, code: str = "I") -> Pieces:
-    """Kept by worker process: a piece's ids as little-endian unsigned numbers of 32 bits, or of 16 with the code H."""
+    """Kept by worker process: a piece's ids as little-endian unsigned numbers of 32 bits, or of 16 with the code H.
+
+    Fewer than of counts, since each takes about 200 bytes.
+    """
     if (path, code) not in _PIECES:
-        _PIECES[path, code] = Pieces(path, lambda x: array(code, x).tobytes())
+        _PIECES[path, code] = Pieces(path, lambda x: array(code, x).tobytes(), 700_000)
     return _PIECES[path, code]

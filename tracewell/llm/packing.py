@@ -199,7 +199,7 @@ class Sketches:
     """Directions of documents: of the different terms of each the sum of random vectors by weight, less what is usual."""
 
     def __init__(self, seen: np.ndarray, total: int):
-        self.normals = np.random.default_rng(17).standard_normal((len(seen), SKETCH)).astype(np.float32)
+        self.normals = np.random.default_rng(17).standard_normal((len(seen), SKETCH), np.float32)
         self.normals *= idf(seen, total)[:, None].astype(np.float32)
         self.normals -= (seen @ self.normals / max(1, seen.sum())).astype(np.float32)
 
