@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hinted, staged
+from .worker import turn
 
 BITS, BLOCK, ORDERS, SLICE = 20, 1 << 12, (3, 4, 5, 6), 1 << 20
 #: Terms of a gradient are rounded to this part of one, so that their sum does not depend on the order of tasks.
@@ -73,6 +74,7 @@ class Model:
 
 def _counts(orders: tuple[int, ...]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("chargrams")
         seen, some = np.zeros((2, 1 << BITS), np.int32), False
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
@@ -96,6 +98,7 @@ def shrunk_ratio(no: np.ndarray, yes: np.ndarray, of: tuple[int, int], chance: f
 
 def _kept(of: tuple[int, int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("chargrams")
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -111,6 +114,7 @@ def _kept(of: tuple[int, int]):
 
 def _rows(features: np.ndarray, orders: tuple[int, ...]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("chargrams")
         table = np.full(1 << BITS, -1, np.int32)
         table[features] = np.arange(len(features), dtype=np.int32)
         for batch in batches:
@@ -184,6 +188,7 @@ def regression(rows: list[np.ndarray], labels: np.ndarray, value: np.ndarray, pe
 
 def _gradients(value: np.ndarray, weight: tuple[float, float], point: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("chargrams")
         out = np.zeros(len(point) + 1)
         for batch in batches:
             out += gradient([np.frombuffer(h, np.int32) for h in batch.column(1).to_pylist()], batch.column(0).to_numpy(), value, weight, point)
@@ -231,6 +236,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str], text_col: str = "t
     """The columns of docs named, and the score of each row's whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("chargrams")
         score = model.scorer()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)

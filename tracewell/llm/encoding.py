@@ -14,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from .worker import keeps
+
 #: Places where a text may be cut. White space here is what any Unicode version calls so.
 STABLE = re.compile("(?<=[^\\s\u180e])(?=[ \\t-\\r])")
 _ENDS_BLANK = re.compile("[\\s\u180e]\\Z")
@@ -112,6 +114,7 @@ class Pieces:
 
 
 _PIECES: dict[tuple, Pieces] = {}
+keeps("encoding", _PIECES.clear)
 
 
 def counts(path: str) -> Pieces:

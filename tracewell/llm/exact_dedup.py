@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, hinted, staged
+from .worker import turn
 
 #: Bytes of text that a trie holds before it spills a subtree, or that a partition's own trie holds before it is emptied.
 TRIE_BYTES = 48 << 20
@@ -156,6 +157,7 @@ def _local(budget: int):
     """Merges the copies within a partition. A row: a text, and the identifiers and sizes of the rows that have it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("dedup")
         part, rep = TaskContext.get().partitionId(), 0
 
         def merge(old, new):
@@ -216,6 +218,7 @@ def _owners(budget: int):
     """Representatives -> who owns the text of each, and which row is the best."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("dedup")
         rows = []
         for _, (best, count, reps) in _merged(budget, batches):
             for part, rep in reps:
@@ -238,6 +241,7 @@ def _shares(budget: int):
     it stands (of_part, of_rep; no body)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("dedup")
         own, rows = -1 - TaskContext.get().partitionId(), []
         for k, (body, (best, count, reps)) in enumerate(_merged(budget, batches)):
             rows.append((own, k, body, best[-1], best[-2], count, best[3], best[4], None, None))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import hinted, staged
 from .shingles import MinHash, bands_for, digest, grams
+from .worker import turn
 
 SMALL, BLOCK, HUB = 64, 256, 200
 
@@ -28,6 +29,7 @@ SIG_DDL = "doc_id long, th long, key binary, empty boolean, bands array<long>"
 
 def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("shingles")
         hashes = MinHash(bands, rows)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -46,6 +48,7 @@ def _signatures(n: int, bands: int, rows: int):
 
 def _grams(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("shingles")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 words = [(t or b"").split() for t in batch.column(0).slice(at, 256).to_pylist()]
@@ -131,6 +134,7 @@ def _verify(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array([keys[x] for x in some], pa.binary()), pa.array([keys[root[x]] for x in some], pa.binary()), pa.array(texts[some], pa.int64()), pa.array(docs[some], pa.int64())], schema=LINKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("shingles")
         at, held = None, []
         for batch in batches:
             names = [n for n in batch.schema.names if n != "grams"]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .encoding import ids as pieces_of
 from .encoding import load
+from .worker import turn
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS, SHARD_DOCS, BLOCK = 600_000, 4096, 1 << 12
@@ -165,6 +166,7 @@ def _ids(path: str, end: int, kind: str, terms: int):
     tail = np.array([end], kind).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("encoding")
         uid = TaskContext.get().partitionId() << 33
         seen = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64)
         out = lambda uids, doc_ids, blobs: pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), doc_ids, pa.array(blobs, pa.binary())], names=["uid", "doc_id", "ids"])

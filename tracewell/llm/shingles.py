@@ -8,6 +8,8 @@ import math
 import numpy as np
 import xxhash
 
+from .worker import keeps
+
 GRAM = 5
 _RNG = np.random.default_rng(7)
 _PLACE = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -27,6 +29,7 @@ class WordHashes(dict):
 
 
 WORDS = WordHashes()
+keeps("shingles", WORDS.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

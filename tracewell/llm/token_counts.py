@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import hinted, staged
 from .encoding import STABLE, counts, load
+from .worker import turn
 
 CHUNK, OVERLAP, WIDER = 32_768, 256, 16
 _TOKENIZERS: dict[str, object] = {}
@@ -23,6 +24,7 @@ _TOKENIZERS: dict[str, object] = {}
 
 def _count(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("encoding")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
