@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, small, staged
+from .common import hinted, staged
 
 #: Lines of a chunk at most, so that the pieces of a text are of bounded length.
 LONGEST = 32
@@ -20,6 +20,11 @@ LONGEST = 32
 FILLED = r"[^\x20\x09-\x0D]"
 
 
+def key_of(hashes: Column) -> Column:
+    """What pieces are grouped by, from the hashes of their lines."""
+    return F.unhex(F.md5(hashes))
+
+
 def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th (hash of the text) and pieces: array of (from, to, key), the first line and the last; those of blank lines only are null.
 
@@ -38,7 +43,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def piece(low: Column, high: Column) -> Column:
         part = lambda c: F.slice(c, low + 1, high - low + 1)
-        return F.when(F.exists(part("filled"), lambda x: x), F.struct(low.alias("from"), high.alias("to"), F.unhex(F.md5(F.array_join(part("hashes"), ""))).alias("key")))
+        return F.when(F.exists(part("filled"), lambda x: x), F.struct(low.alias("from"), high.alias("to"), key_of(F.array_join(part("hashes"), "")).alias("key")))
 
     def of(c: Column) -> Column:
         s, e = c["s"], c["e"]
@@ -49,28 +54,22 @@ def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("doc_id", "th", F.flatten(F.transform(chunks, of)).alias("pieces"))
 
 
-def _lists(found: DataFrame) -> DataFrame:
-    """A row for each document with places, for a join with documents: _list_id, _list_th and list."""
-    out = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("from", "to", "key")).alias("_list")).select(F.col("doc_id").alias("_list_id"), F.col("th").alias("_list_th"), "_list")
-    return F.broadcast(out) if small(found) else out
-
-
-def repeated_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces to remove: doc_id, th, from, to, key."""
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces whose hash occurs more than once: doc_id, th, from, to, key, and stays for the first of each hash."""
     # explode_outer, as for explode Spark infers a filter on the array and evaluates all that makes it once more for each use
     each = pieces(docs, id_col, text_col).select("doc_id", "th", F.explode_outer("pieces").alias("p")).filter("p is not null")
     places = staged(each.select("doc_id", "th", "p.from", "p.to", "p.key"), "line-places")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "from")).alias("first")
-    often = staged(places.groupBy("key").agg(F.count("*").alias("times"), first).filter("times > 1").drop("times"), "line-often")
-    found = staged(places.join(hinted(often), "key").distinct(), "line-found")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("lines"))
-    rows = rows.join(_lists(found), F.col("doc_id").eqNullSafe(F.col("_list_id")) & (F.col("th") == F.col("_list_th"))).select("lines", "_list")
-    body = lambda p: F.when(F.size("lines") > p["to"], F.array_join(F.slice("lines", p["from"] + 1, p["to"] - p["from"] + 1), "\n"))
-    bodies = rows.select(F.explode_outer(F.transform("_list", lambda p: F.struct(p["key"].alias("key"), body(p).alias("body")))).alias("p")).select("p.key", "p.body")
-    differ = staged(bodies.groupBy("key").agg((F.min("body") < F.max("body")).alias("differ")).filter("differ").select("key"), "line-differ")
+    often = places.groupBy("key").agg(F.count("*").alias("times"), first).filter("times > 1").drop("times")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("from") == F.col("first.from"))
-    return found.filter(~stays).join(hinted(differ), "key", "left_anti").select("doc_id", "th", "from", "to", "key")
+    return places.join(hinted(often), "key").select("doc_id", "th", "from", "to", "key", stays.alias("stays")).distinct()
+
+
+def _listed(docs: DataFrame, found: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """docs with _list, the pieces found in each. Texts travel once at every size, as no side is broadcast; Spark splits large keys of docs."""
+    lists = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("from", "to", "key", "stays")).alias("_list")).select(F.col("doc_id").alias("_list_id"), F.col("th").alias("_list_th"), "_list")
+    same = F.col(id_col).eqNullSafe(F.col("_list_id")) & (F.col("_th") == F.col("_list_th"))
+    return staged(docs.withColumn("_th", F.xxhash64(text)).join(lists.hint("merge"), same, "left").drop("_th", "_list_id", "_list_th"), "line-listed")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,16 +80,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hash is shared by different bytes stay everywhere. Rows alike in identifier and text are one document and are
     treated alike. An empty table gives none. Columns of docs of the three names are replaced.
     """
-    found = staged(repeated_pieces(docs, id_col, text_col), "line-hits")
+    found = staged(repeated(docs, id_col, text_col), "line-found")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_th", F.xxhash64(text)).join(_lists(found), F.col(id_col).eqNullSafe(F.col("_list_id")) & (F.col("_th") == F.col("_list_th")), "left")
-    gone = F.array_distinct(F.flatten(F.transform("_list", lambda p: F.sequence(p["from"], p["to"]))))
-    out = out.withColumns({"_gone": gone, "_lines": F.split(text, "\n", -1)})
+    listed = _listed(docs, found, id_col, text)
+    rows = listed.filter("_list is not null").select(F.split(text, "\n", -1).alias("lines"), "_list")
+    body = lambda p: F.when(F.size("lines") > p["to"], F.array_join(F.slice("lines", p["from"] + 1, p["to"] - p["from"] + 1), "\n"))
+    bodies = rows.select(F.explode_outer(F.transform("_list", lambda p: F.struct(p["key"].alias("key"), body(p).alias("body")))).alias("p")).select("p.key", "p.body")
+    differ = staged(bodies.groupBy("key").agg((F.min("body") < F.max("body")).alias("differ")).filter("differ").select("key"), "line-differ")
+    if not differ.isEmpty():
+        listed = _listed(docs, found.join(hinted(differ), "key", "left_anti"), id_col, text)
+    ranges = F.transform(F.filter("_list", lambda p: ~p["stays"]), lambda p: F.sequence(p["from"], p["to"]))
+    out = listed.withColumns({"_gone": F.array_distinct(F.flatten(ranges)), "_lines": F.split(text, "\n", -1)})
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    hit = F.col("_gone").isNotNull()
+    hit = F.size(F.coalesce("_gone", F.array())) > 0
     out = out.withColumns({"n_lines": F.size("_lines"), "removed_lines": F.when(hit, F.size("_gone")).otherwise(0), "clean_text": F.when(hit, kept).otherwise(text)})
-    return out.drop("_th", "_list_id", "_list_th", "_list", "_gone", "_lines")
+    return out.drop("_list", "_gone", "_lines")
 
 
 #: The same in DuckDB's SQL, for tables whose identifiers are unique.
