@@ -41,6 +41,7 @@ HEAD, SLOTS = 1 << 19, 1 << 19
 SINGLE, CLASSES, OFTEN = 28, 48, 256  # classes of one word, all classes, contexts whose pairs are dealt singly
 REGION, OWN = 1 << 11, 1 << 10  # rows of the weight table for a place, those of them with one word
 ROUNDS, RATE, STEP, PIECE = 2, 0.3, 4096, 4_000_000
+WIDE = 16  # rows that one group takes of a sum at a time
 FLUSH, BLOCK_DOCS, BLOCK_TOKENS = 400_000, 1 << 15, 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,7 +132,7 @@ def _tokenise(name: str, head):
         block, idx, held = TaskContext.get().partitionId() << 33, -1, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part, rows = batch.slice(at, 128), []
+                part, rows, met, times, slots, sizes = batch.slice(at, 128), [], [], [], [], []
                 for text in part.column(2):
                     words = tokens(text.as_py())
                     own = np.fromiter(map(ids.__getitem__, words), np.uint32, len(words))
@@ -140,11 +141,20 @@ def _tokenise(name: str, head):
                         block, idx, held = block + 1, 0, 0
                     held += len(own)
                     inside = own < HEAD
-                    rest = Counter(words[i] for i in np.nonzero(~inside)[0].tolist())
-                    tail = [{"word": w, "n": n, "known": known[ids[w] - HEAD], "unknown": unknown[ids[w] - HEAD]} for w, n in rest.items()]
-                    rows.append((block, idx, len(own), int((many[own[inside]] > 0).sum()), float(logs[own[inside]].sum()), own.tobytes(), tail))
+                    outside = np.nonzero(~inside)[0].tolist()
+                    rest = Counter(map(words.__getitem__, outside))
+                    met += rest
+                    times += rest.values()
+                    slots += dict(zip(map(words.__getitem__, outside), own[outside].tolist())).values()  # in the same order
+                    sizes.append(len(rest))
+                    rows.append((block, idx, len(own), int((many[own[inside]] > 0).sum()), float(logs[own[inside]].sum()), own.tobytes()))
+                if not rows:
+                    continue
+                slots = np.array(slots, np.int64) - HEAD
+                fields = [pa.array(met, pa.binary()), pa.array(times, pa.int64()), pa.array(known[slots]), pa.array(unknown[slots])]
+                tail = pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), pa.StructArray.from_arrays(fields, fields=list(_TAIL.value_type)))
                 cols = list(zip(*rows, strict=True))
-                cols = [cols[0], cols[1], part.column(0), part.column(1), *cols[2:]]
+                cols = [cols[0], cols[1], part.column(0), part.column(1), *cols[2:], tail]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, TOKENS, strict=True)], schema=TOKENS)
 
     return run
@@ -162,17 +172,17 @@ def before(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 
 def features(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Rows of the weight table for each token: one, two and three back, and both before."""
-    back = [before(ids, starts, k) for k in (1, 2, 3)]
-    row = lambda i: np.where(i < OWN, i, OWN + ((i.astype(np.uint64) * _MIX) >> np.uint64(40)).astype(np.int64) % (REGION - OWN))
-    pair = (((back[0] << BITS | back[1]).astype(np.uint64) * _MIX) >> np.uint64(32)).astype(np.int64) % REGION
-    return np.stack([row(back[0]), REGION + row(back[1]), 2 * REGION + row(back[2]), 3 * REGION + pair])
+    row = np.where(ids < OWN, ids, OWN + (((ids.astype(np.uint64) * _MIX) >> np.uint64(40)) % np.uint64(REGION - OWN)).astype(np.int64))
+    pair = ((before(ids, starts, 1) << BITS | before(ids, starts, 2)).astype(np.uint64) * _MIX) >> np.uint64(32)
+    # the end's row is 0, as its identifier is
+    return np.stack([*(k * REGION + before(row, starts, k + 1) for k in range(3)), 3 * REGION + (pair % np.uint64(REGION)).astype(np.int64)])
 
 
 def odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Each token's class scores less their largest."""
-    z = weights[rows[0]]
+    z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, axis=0)
     z += bias
     z -= z.max(axis=1, keepdims=True)
     return z
@@ -184,10 +194,38 @@ def class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.
     for low in range(0, len(cls), STEP):
         z, t = odds(weights, bias, rows[:, low : low + STEP]), cls[low : low + STEP]
         own = z[np.arange(len(t)), t]
-        out[low : low + STEP] = own - np.log(np.exp(z, out=z).sum(axis=1))
+        out[low : low + STEP] = own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
     return out / np.log(10)
 
 
+def sums(x: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of x's rows by groups: ``order`` names the rows, each group's begin at a place of ``at``.
+
+    Groups are cut in chunks of up to ``WIDE`` rows. All chunks' first rows are added to, at once, all their second
+    ones and so on, which is what makes it fast for many small groups; what chunks a group has behind its first are groups again.
+    """
+    size = np.diff(at, append=len(order))
+    chunks = (size + WIDE - 1) // WIDE
+    first = np.cumsum(chunks) - chunks
+    begin = np.repeat(at - first * WIDE, chunks) + np.arange(chunks.sum()) * WIDE
+    size = np.minimum(np.repeat(at + size, chunks) - begin, WIDE)
+    longest = np.argsort((WIDE - size).astype(np.uint16), kind="stable")
+    begin = begin[longest]
+    reach = len(size) - np.cumsum(np.bincount(size, minlength=WIDE + 1))  # how many chunks have more rows than that
+    out = x.take(order[begin], axis=0)
+    for j in range(1, WIDE):
+        out[: reach[j]] += x.take(order[begin[: reach[j]] + j], axis=0)
+    place = np.empty_like(longest)
+    place[longest] = np.arange(len(longest))
+    big = np.nonzero(chunks > 1)[0]
+    if len(big):
+        more = np.ones(len(size), bool)
+        more[first] = False
+        stops = np.cumsum(chunks[big] - 1)
+        out[place[first[big]]] += sums(out, place[more], stops - chunks[big] + 1)
+    return out.take(place[first], axis=0)
+
+
 def _texts(batch: pa.RecordBatch, column: int, most: int = 300_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Some rows of a batch at a time: from, to, their identifiers, and where each row's begin."""
     at = 0
@@ -208,19 +246,20 @@ def learn(weights: np.ndarray, power: np.ndarray, bias: np.ndarray, rows: np.nda
         r, t = rows[:, low : low + STEP], cls[low : low + STEP]
         e = odds(weights, bias, r)
         np.exp(e, out=e)
-        e /= e.sum(axis=1, keepdims=True)
+        e /= (e @ np.ones(e.shape[1], e.dtype))[:, None]
         e[np.arange(len(t)), t] -= 1
-        for f in r:
-            order = np.argsort(f, kind="stable")
-            f = f[order]
-            at = np.nonzero(np.diff(f, prepend=-1))[0]
-            ids, g = f[at], np.add.reduceat(e[order], at, axis=0)
-            p = power[ids]
-            p += g * g
-            power[ids] = p
-            g /= np.sqrt(p, out=p)
-            g *= np.float32(rate)
-            weights[ids] -= g
+        # no row of the table serves two features, so one step does for all; 16 bits are sorted in linear time
+        f = r.ravel().astype(np.uint16)
+        order = np.argsort(f, kind="stable")
+        f = f[order]
+        at = np.nonzero(np.diff(f.astype(np.int32), prepend=-1))[0]
+        ids, g = f[at], sums(e, order % len(t), at)
+        p = power.take(ids, axis=0)
+        p += g * g
+        power[ids] = p
+        g /= np.sqrt(p, out=p)
+        g *= np.float32(rate)
+        weights[ids] -= g
 
 
 def _train(shared, rate: float):
@@ -341,7 +380,7 @@ def _pairs(shared, buckets: int, often: bool):
             if not any(len(p[0]) for p in parts):
                 return
             bucket, key, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(bucket << np.uint64(2 * BITS) | key, kind="stable")
+            order = np.argsort(bucket << np.uint64(2 * BITS) | key)  # in which order rows stand at a key makes no difference
             bucket, key, doc = bucket[order], key[order], doc[order]
             cuts = np.nonzero(np.diff(bucket.astype(np.int64), prepend=-1))[0]
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
