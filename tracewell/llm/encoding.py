@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -18,7 +19,7 @@ from .worker import keeps
 
 #: Places where a text may be cut. White space here is what any Unicode version calls so.
 STABLE = re.compile("(?<=[^\\s\u180e])(?=[ \\t-\\r])")
-_ENDS_BLANK = re.compile("[\\s\u180e]\\Z")
+_BLANK = frozenset(re.findall("[\\s\\u180e]", "".join(map(chr, range(0x10000)))))  # none lies beyond
 
 
 def load(path: str):
@@ -49,11 +50,12 @@ class Pieces:
 
     Pieces are a text's words with the space before them; a word that ends in white space has no
     value and sends its text down the slower path, which cuts at every stable place.
+    ``values`` makes a list of values from ids and the places where pieces begin, and the last ends.
     """
 
-    def __init__(self, path: str, value, most: int = 1_200_000):
-        self.tokenizer, self.value, self.most = load(path), value, most
-        self.kept, self.blank = Kept(), False
+    def __init__(self, path: str, values, most: int = 1_200_000):
+        self.tokenizer, self.values, self.most = load(path), values, most
+        self.kept = Kept()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level files write a space
@@ -61,7 +63,8 @@ class Pieces:
     def encode(self, texts: list[str]) -> list:
         if not texts:
             return []
-        return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self.values(x, (0, len(x)))[0] for x in found]
 
     def spaced(self, words: list[str], run: int = 1000) -> list:
         """Values of words with a space before each. Many are encoded as one text, whose cuts are all stable; as
@@ -70,46 +73,46 @@ class Pieces:
         runs = [words[i : i + run] for i in range(0, len(words), run)]
         for at in range(0, len(runs), 16):
             part = runs[at : at + 16]
-            found = self.tokenizer.encode_batch_fast(["".join(" " + w for w in r) for r in part], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in part], add_special_tokens=False)
             for r, e in zip(part, found, strict=True):
                 ids = e.ids
-                starts = np.nonzero(self.opens[ids])[0].tolist()
+                starts = np.flatnonzero(self.opens[np.array(ids, np.intp)]).tolist()
                 if len(starts) != len(r) or starts[0]:
                     out += self.encode([" " + w for w in r])
                 else:
                     starts.append(len(ids))
-                    out += [self.value(ids[a:b]) for a, b in zip(starts, starts[1:])]
+                    out += self.values(ids, starts)
         return out
 
     def of(self, texts: list[str]) -> list[tuple[list, list[str]]]:
         """For each text the values of its pieces in order, and its words."""
         words = [t.split(" ") for t in texts]
         get, new = self.kept.__getitem__, self.kept.new
-        drafts = [list(map(get, w[1:])) for w in words]
-        if new:
-            fresh = list(dict.fromkeys(new))
-            new.clear()
-            todo = [w for w in fresh if w and not _ENDS_BLANK.search(w)]
-            self.kept.update(dict.fromkeys(fresh))
-            self.blank |= len(todo) < len(fresh)
-            self.kept.update(zip(todo, self.spaced(todo), strict=True))
-            for w, values in zip(words, drafts, strict=True):
-                for i in [i for i, v in enumerate(values, 1) if v is None]:
-                    values[i - 1] = get(w[i])
-        else:
-            fresh = []
-        firsts = self.encode([w[0] for w in words])
+        drafts, stops = [], [0]
+        for w in words:
+            drafts.append(list(map(get, w[1:])))
+            stops.append(len(new))
+        asked = new[:]
+        new.clear()
+        fresh = dict.fromkeys(asked)
+        todo = [w for w in fresh if w and w[-1] not in _BLANK]
+        blank = len(todo) < len(fresh)
+        found = dict(zip(todo, self.spaced(todo), strict=True))
+        fresh.update(found)
+        if len(self.kept) + len(found) <= self.most:  # words that end in white space are asked for again
+            self.kept.update(found)
         out = []
-        for text, w, values, first in zip(texts, words, drafts, firsts, strict=True):
-            if (self.blank and None in values) or (len(w) > 1 and (not w[0] or _ENDS_BLANK.search(w[0]))):
+        for k, (text, w, values, first) in enumerate(zip(texts, words, drafts, self.encode([w[0] for w in words]), strict=True)):
+            missed = [fresh[x] for x in asked[stops[k] : stops[k + 1]]]
+            if (blank and None in missed) or (len(w) > 1 and (not w[0] or w[0][-1] in _BLANK)):
                 # a last word may end as it likes, but that is rare enough to share the slow path
                 values = self.encode(STABLE.split(text))
             else:
+                if missed:
+                    rest = iter(missed)
+                    values = [next(rest) if v is None else v for v in values]
                 values.insert(0, first)
             out.append((values, w))
-        if len(self.kept) > self.most:
-            for w in fresh:
-                self.kept.pop(w, None)
         return out
 
 
@@ -120,7 +123,7 @@ keeps("encoding", _PIECES.clear)
 def counts(path: str) -> Pieces:
     """Kept by worker process: a piece's number of tokens."""
     if (path, "n") not in _PIECES:
-        _PIECES[path, "n"] = Pieces(path, len)
+        _PIECES[path, "n"] = Pieces(path, lambda ids, starts: np.diff(starts).tolist())
     return _PIECES[path, "n"]
 
 
@@ -130,5 +133,11 @@ def ids(path: str, code: str = "I") -> Pieces:
     Fewer than of counts, since each takes about 200 bytes.
     """
     if (path, code) not in _PIECES:
-        _PIECES[path, code] = Pieces(path, lambda x: array(code, x).tobytes(), 700_000)
+        size = array(code).itemsize
+
+        def values(ids: list[int], starts: Sequence[int]) -> list[bytes]:
+            whole = array(code, ids).tobytes()
+            return [whole[size * a : size * b] for a, b in zip(starts, starts[1:])]
+
+        _PIECES[path, code] = Pieces(path, values, 700_000)
     return _PIECES[path, code]

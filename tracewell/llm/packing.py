@@ -53,7 +53,7 @@ class Index:
         self.doc, self.weight = doc, idf(seen, total)[term] * tf * (K1 + 1) / (tf + norm)
         number = np.cumsum(np.diff(term, prepend=-1) != 0) - 1
         self.stops = np.cumsum(np.bincount(number))
-        order = np.argsort(doc, kind="stable")
+        order = np.argsort(doc.astype(np.min_scalar_type(self.n)), kind="stable")  # few bits are sorted in linear time
         self.terms, self.starts = number[order], np.searchsorted(doc[order], np.arange(self.n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
@@ -64,6 +64,12 @@ class Index:
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
+    def narrow(self, docs: np.ndarray) -> None:
+        """From now on scores are those of the documents marked in ``docs`` alone; others have none, but may be seeds."""
+        some = docs[self.doc]
+        self.doc, self.weight = self.doc[some], self.weight[some]
+        self.stops = np.concatenate([[0], np.cumsum(some)])[self.stops]
+
 
 def idf(seen: np.ndarray, total: int) -> np.ndarray:
     return np.log1p((total - seen + 0.5) / (seen + 0.5))
@@ -106,7 +112,7 @@ def order_and_cut(lengths: np.ndarray, index: Index, same: np.ndarray, window: i
                 inside[number[doc]] = left > 0
         return full
 
-    first, seed = 0, None
+    first, seed, indexed = 0, None, len(lengths)
     while True:
         free = unused & ~inside[number]
         if seed is None:
@@ -122,6 +128,10 @@ def order_and_cut(lengths: np.ndarray, index: Index, same: np.ndarray, window: i
         if seed is None or not free.any():
             seed = None
             continue
+        left = np.count_nonzero(unused)
+        if 4 * left < 3 * indexed:  # postings of what is used cost as much as others
+            index.narrow(unused)
+            indexed = left
         score = index.scores(seed)
         score[~free] = 0
         seed = None
