@@ -1,7 +1,10 @@
 """The inner loops of packing: the tokenizer's kept pieces, and an index that gets narrower."""
 
+import random
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tracewell.llm import encoding, packing
@@ -29,6 +32,47 @@ def test_ids_and_counts():
     encoding._PIECES.clear()
 
 
+def odd_texts(n=1500):
+    """Runs of characters that the pre-tokenizer treats in different ways, some in words that repeat."""
+    rng = random.Random(8)
+    some = [*"ab \n.,;!-'<|_ \t\r\x1c7", " ", " ", "\n", "\n\n", "  ", "'s", "'ll ", "Wort ", "wörd. ", ".\nĖta, ", "é", "×", "÷ ", "\xa0", "\x85 ", "\u1680", "\u2009 ", "\u3000", "\u180e ", "ж ", "з7", "語 ", "\u0301", "²", "\U0001f600 ", "<|endoftext|>", "\x00"]
+    return TEXTS + ["".join(rng.choices(some, k=rng.randrange(14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("file", "most"), [("byte_bpe_50k.json", 0), ("byte_bpe_50k.json", 40), ("byte_bpe_50k.json", 10**6), ("word_bpe_49k.json", 10**6)])
+def test_columns_are_the_librarys(file, most):
+    """Ids of whole columns, with pieces cut into pre-tokens where that is known to be the same, whatever is kept."""
+    path = public_tokenizers.path(file)
+    own, plain, texts = encoding.Ids(path, "H", most), encoding.load(path), odd_texts()
+    expected = [[*e.ids, 1] for e in plain.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array([None, *texts, None], pa.string())
+    for first, size in ((1, len(texts)), (1, 9), (5, 700), (300, 0), (14, 100)):
+        ids, stops = own.joined(column.slice(first, size), 1)
+        assert [x.tolist() for x in np.split(ids, stops)[:-1]] == expected[first - 1 : first - 1 + size] and len(stops) == size
+    assert own.joined(pa.array([None, ""], pa.large_string()), 7)[0].tolist() == [7, 7]
+    assert len(own.places) <= most and not own.places.new
+
+
+def test_words_share_what_is_kept():
+    """A word before a mark or a line is the word; only what is new goes to the library, and once."""
+    own = encoding.Ids(PATH, "H")
+    own.joined(pa.array(["Thanor one", "The one."]), 1)
+    assert set(own.places) == {"Thanor", " one", "The", "."}
+    own.joined(pa.array(["The one one. one.\nThe one", "Thanor."]), 1)
+    assert set(own.places) == {"Thanor", " one", "The", ".", "\n"}
+
+
+def test_parts_of_a_batch():
+    """Slices of bounded bytes hold every row, in order; a long text has one for itself or ends one."""
+    texts = ["x" * 50, None, "", "y" * 500, "z", "é" * 40, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
+    for size in (1, 60, 10**6):
+        found = list(packing.parts(batch, size))
+        assert [x for p in found for x in p.column(1).to_pylist()] == texts
+        assert all(sum(len((x or "").encode()) for x in p.column(1).to_pylist()[:-1]) < size for p in found)
+    assert len(found) == 1 and not list(packing.parts(batch.slice(0, 0)))
+
+
 def index(rng):
     terms = [rng.integers(0, 300, rng.integers(1, 90)) for _ in range(200)]
     seen = np.bincount(np.concatenate([np.unique(t) for t in terms]), minlength=300)

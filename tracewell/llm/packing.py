@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -173,31 +175,43 @@ def different(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _ids(path: str, end: int, kind: str, terms: int):
     """Rows (doc_id, text) to their ids, the last of them ``end``; behind them, with negative uid, in how many of the
     task's rows each term occurs, in blocks of terms."""
-    tail = np.array([end], kind).tobytes()
+
+    def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not path.endswith(".model"):
+            return pieces_of(path, "H" if kind == "<u2" else "I").joined(texts, end)
+        found = [np.array([*x, end], kind) for x in load(path).encode(texts.to_pylist(), num_threads=1)]
+        return np.concatenate(found), np.cumsum([len(x) for x in found])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn("encoding")
         uid = TaskContext.get().partitionId() << 33
         seen = np.zeros(-(-terms // BLOCK) * BLOCK, np.int64)
-        out = lambda uids, doc_ids, blobs: pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), doc_ids, pa.array(blobs, pa.binary())], names=["uid", "doc_id", "ids"])
+        out = lambda uids, doc_ids, blobs: pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), doc_ids, blobs], names=["uid", "doc_id", "ids"])
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = part.column(1).to_pylist()
-                if path.endswith(".model"):
-                    found = [np.array(x, kind).tobytes() + tail for x in load(path).encode(texts, num_threads=1)]
-                else:
-                    found = [b"".join([*values, tail]) for values, _ in pieces_of(path, "H" if kind == "<u2" else "I").of(texts)]
-                if found:
-                    seen += np.bincount(different([np.frombuffer(x, kind) for x in found])[1], minlength=len(seen))
-                yield out(np.arange(uid, uid + len(texts)), part.column(0), found)
-                uid += len(texts)
+            for part in parts(batch):
+                ids, stops = encoded(part.column(1))
+                stops = np.concatenate([[0], stops])
+                for at in range(0, part.num_rows, 128):
+                    seen += np.bincount(different([ids[a:b] for a, b in pairwise(stops[at : at + 129].tolist())])[1], minlength=len(seen))
+                blobs = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((stops * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield out(np.arange(uid, uid + part.num_rows), part.column(0), blobs)
+                uid += part.num_rows
         blocks = [k for k in range(len(seen) // BLOCK) if seen[k * BLOCK : (k + 1) * BLOCK].any()]
-        yield out([-k - 1 for k in blocks], pa.nulls(len(blocks), pa.int64()), [seen[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in blocks])
+        yield out([-k - 1 for k in blocks], pa.nulls(len(blocks), pa.int64()), pa.array([seen[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in blocks], pa.binary()))
 
     return run
 
 
+def parts(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most about so many bytes of text, one row at least."""
+    stops = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()).tolist()
+    first, begin = 0, 0
+    for k, stop in enumerate(stops):
+        if stop - begin >= size or k == batch.num_rows - 1:
+            yield batch.slice(first, k + 1 - first)
+            first, begin = k + 1, stop
+
+
 def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
