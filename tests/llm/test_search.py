@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import lexical, negatives, substrings
+from tracewell.llm import ann, lexical, negatives, substrings
 
 TERM = re.compile(lexical.TERM)
 
@@ -208,3 +208,19 @@ def test_long_texts_are_cut_into_slices_that_lose_no_window(monkeypatch):
             assert own == w[at : at + len(own)] and uids[t] == 7
             covered += range(at, at + int(y - x))
     assert sorted(covered) == list(range(3000 - 34))
+
+
+def test_ann_beams_are_narrow_rows_and_copies_walk_once(spark, monkeypatch):
+    """200 queries of 10 different vectors: ten walks, and no row of a beam holds lists or codes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 8)).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, x[i % 50].tolist()) for i in range(1000)], "vec_id long, embedding array<float>")
+    kept = {}
+    monkeypatch.setattr(ann, "staged", lambda d, name, put=ann.staged: kept.setdefault(name, []).append(put(d, name)) or kept[name][-1])
+    found = ann.nearest(df, F.col("vec_id") % 5 == 0).collect()
+    assert kept["ann-beams"] and all(t in ("bigint", "float", "boolean") for d in kept["ann-beams"] for _, t in d.dtypes)
+    assert all(d.select("q").distinct().count() == 10 for d in kept["ann-beams"])
+    s = x @ x.T
+    for q in range(0, 1000, 5):
+        got = [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert got == sorted((i for i in range(1000) if i != q), key=lambda i: (-s[q % 50, i % 50], i))[:20]

@@ -25,6 +25,8 @@ from .common import hinted, staged
 
 K, TABLES, LEAF, OFFERS, SETTLED = 32, 6, 400, 12, 0.02
 BEAM, STEP, ENTRIES = 160, 32, 32
+#: Up to this many nodes that ask are broadcast with their codes.
+ASKING = 50_000
 LISTS = pa.schema([("u", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 LISTS_DDL = "u long, ids array<long>, scores array<float>"
 GRAPH = LISTS.append(pa.field("new", pa.list_(pa.bool_())))
@@ -226,63 +228,44 @@ def graph(nodes: DataFrame, k: int = K, tables: int = TABLES, leaf: int = LEAF,
     return found.select("u", "ids", "scores")
 
 
-BEAMS_DDL = "q long, node long, code binary, ids array<long>, scores array<float>, open array<boolean>"
-
-
-def _step(beam: int, entries: list[dict]):
-    """Rows of a query's beam and what it met, and ``entries``: the best of all, those met for the first time open."""
-    schema = pa.schema([("q", pa.int64()), ("node", pa.int64()), ("code", pa.binary()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("open", pa.list_(pa.bool_()))])
-
-    more = np.array([e["id"] for e in entries], np.int64)
-    codes = _matrix(pa.array([e["code"] for e in entries], pa.binary())) if entries else None
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kept = []
-            for i in range(batch.num_rows):
-                of = lambda name: batch.column(name)[i]  # noqa: B023, E731
-                ids, scores, open_ = (of(c).values.to_numpy(zero_copy_only=False) for c in ("ids", "scores", "open"))
-                q = np.frombuffer(of("code").as_py(), np.float32)[:-2]
-                open_ = open_ & ~np.isin(ids, of("asked").values.to_numpy())
-                found = [(ids, scores, open_)]
-                met = [(of("met").values.field("id").to_numpy(), _matrix(of("met").values.field("code")))] if of("met").is_valid else []
-                for other, x in met + ([(more, codes)] if entries else []):
-                    new = ~np.isin(other, np.concatenate([f[0] for f in found]))
-                    found.append((other[new], x[new][:, :-2] @ q, np.ones(new.sum(), bool)))
-                ids, scores, open_ = (np.concatenate(c) for c in zip(*found, strict=True))
-                best = np.lexsort((ids, -scores))[:beam]
-                kept.append((ids[best], scores[best], open_[best]))
-            sizes = [np.array([len(k[0]) for k in kept])]
-            same = [batch.column(c).to_pylist() for c in ("q", "node", "code")]
-            yield _rows(schema, sizes, [*same, *(list(c) for c in zip(*kept, strict=True))])
+def _score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (q, id, code of the query, code of the node): their product."""
+    for batch in batches:
+        if batch.num_rows:
+            s = np.einsum("ij,ij->i", _matrix(batch.column(2))[:, :-2], _matrix(batch.column(3))[:, :-2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float32())], names=["q", "id", "score"])
 
-    return run
 
+def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, entries: DataFrame, beam: int = BEAM, step: int = STEP) -> DataFrame:
+    """starts: q, a node that asks, and its code; entries: nodes (id) that all queries meet first. Returns q, id: the nodes left in each query's beam, its own node among them.
 
-def walk(starts: DataFrame, nodes: DataFrame, edges: DataFrame, entries: list[dict], beam: int = BEAM, step: int = STEP) -> DataFrame:
-    """starts: q, node, code; entries: nodes (id, code) that all queries meet first. Returns q, id: the nodes left in each query's beam, its own node among them."""
+    A beam is rows, one for each node that it holds. What a query meets for the first time is scored where the
+    node's code is, so only (q, id, score) travel to the beam.
+    """
     edges = staged(edges.select("u", F.col("ids").alias("to")), "ann-edges")
     both = edges.select("u", F.explode("to").alias("v"))
     near = Window.partitionBy("v").orderBy(F.xxhash64("u", "v"), "u")
     back = both.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= K // 2).select(F.col("v").alias("u"), F.col("u").alias("v"))
     hops = staged(both.union(back).distinct(), "ann-hops")
-    zero = F.lit(float("inf")).cast("float")
-    state = staged(starts.select("q", "node", "code", F.array("node").alias("ids"), F.array(zero).alias("scores"), F.array(F.lit(True)).alias("open")), "ann-beams")
+    codes = hinted(starts.select("q", F.col("code").alias("own")), ASKING)
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    ahead = Window.partitionBy("q").orderBy(F.desc("open"), F.desc("score"), "id")
+    state = staged(starts.select("q", F.col("q").alias("id"), F.lit(float("inf")).cast("float").alias("score"), F.lit(True).alias("open"), F.lit(True).alias("asked")), "ann-beams")
+    first = starts.select("q").crossJoin(F.broadcast(entries))
     while True:
-        at = F.transform("ids", lambda i, k: F.when(F.get("open", k), i))
-        asking = state.withColumn("asked", F.slice(F.array_compact(at), 1, step))
-        front = asking.select("q", "asked", "ids").filter(F.size("asked") > 0)
+        front = state.filter("asked").select("q", F.col("id").alias("u"))
         if front.isEmpty():
-            return state.select("q", F.explode("ids").alias("id"))
-        front = front.select("q", "ids", F.explode("asked").alias("at"))
-        unseen = (F.col("at") == F.col("u")) & ~F.array_contains("ids", F.col("v"))
-        met = front.join(hops, unseen).select("q", F.col("v").alias("id")).repartition("id").distinct()
-        met = met.join(nodes, "id").groupBy("q").agg(F.collect_list(F.struct("id", "code")).alias("met"))
-        rows = asking.join(met, "q", "left").select(*state.columns, "asked", "met")
-        state = staged(rows.mapInArrow(_step(beam, entries), BEAMS_DDL), "ann-beams")
-        entries = []
+            return state.select("q", "id")
+        met = front.join(hops, "u").select("q", F.col("v").alias("id"))
+        met = met.union(first.select("q", "id")) if first is not None else met
+        met = met.withColumn("held", F.lit(False)).union(state.select("q", "id", F.lit(True)))
+        # dealt by id, so that neither the removal of repeated pairs nor the join deals them out again
+        met = met.repartition("id").groupBy("q", "id").agg(F.max("held").alias("held")).filter("not held")
+        scored = met.join(nodes, "id").join(codes, "q").select("q", "id", "own", "code").mapInArrow(_score, "q long, id long, score float")
+        held = state.select("q", "id", "score", (F.col("open") & ~F.col("asked")).alias("open")).union(scored.withColumn("open", F.lit(True)))
+        held = held.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r")
+        state = staged(held.withColumn("asked", F.col("open") & (F.row_number().over(ahead) <= step)), "ann-beams")
+        first = None
 
 
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, tables: int = TABLES, leaf: int = LEAF) -> DataFrame:
@@ -320,14 +303,16 @@ def _nearest(rows: DataFrame, queries: Column, top: int, tables: int, leaf: int)
     norm = firsts.agg(F.max(F.sqrt(squares))).first()[0] or 1.0
     nodes = staged(firsts.mapInArrow(_encode(float(norm)), "id long, code binary"), "ann-nodes")
     longest = firsts.orderBy(F.desc(squares), "id").limit(ENTRIES).select("id")
-    entries = [r.asDict() for r in nodes.join(F.broadcast(longest), "id").collect()]
-    # queries have numbers of their own, as an identifier may occur with several vectors
-    asked = rows.filter(queries).join(firsts, "x").select(F.monotonically_increasing_id().alias("q"), "vec_id", "id", "x")
-    asked = staged(asked, "ann-queries")
-    starts = asked.select("q", "id").join(nodes, "id").select("q", F.col("id").alias("node"), "code")
-    found = walk(starts, nodes, graph(nodes, tables=tables, leaf=leaf), entries)
+    # queries with the same vector walk the same way
+    asked = staged(rows.filter(queries).join(firsts, "x").select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "ann-queries")
+    starts = staged(asked.select(F.col("q").alias("id")).distinct().join(nodes, "id").select(F.col("id").alias("q"), "code"), "ann-starts")
+    found = walk(starts, nodes, graph(nodes, tables=tables, leaf=leaf), longest)
     exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
-    pairs = found.join(firsts.withColumnRenamed("x", "y"), "id").join(asked.select("q", F.col("vec_id").alias("query_id"), "x"), "q").select("q", "query_id", "id", exact.alias("score"))
-    spread = pairs.join(members, "id").filter("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    pairs = found.join(firsts.withColumnRenamed("x", "y"), "id").join(firsts.withColumnRenamed("id", "q"), "q").select("q", "id", exact.alias("score"))
+    # a query leaves out the rows of its own identifier, at most so many
+    own = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0
+    nearest_first = [F.desc("score"), F.col("vec_id")]
+    spread = pairs.join(members, "id").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*nearest_first))).filter(F.col("r") <= top + own)
+    spread = spread.join(asked, "q").filter("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("q", "query_id").orderBy(*nearest_first))
     return spread.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
