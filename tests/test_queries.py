@@ -35,3 +35,16 @@ def test_matches_oracle(spark, duck, name):
 
 def test_flagship_has_rows(spark, duck):
     assert flagship(spark, SF).count() > 0
+
+
+def test_recursion_goes_over_the_sessions_limit_of_rows(spark, duck):
+    """More rows than the session allows a recursion; the limit holds again afterwards."""
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100")
+    try:
+        found = QUERIES["exec_recursive"](spark, SF).toPandas()
+        assert spark.conf.get(limit) == "100"
+    finally:
+        spark.conf.set(limit, before)
+    assert canonical(found) == canonical(duck.execute(ORACLES["exec_recursive"]).df())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import chains, dml, records, resolve
+from .operators.cut import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -505,6 +506,24 @@ def _sql(text: str) -> Query:
     return run
 
 
+def _recursive(text: str) -> Query:
+    """A recursive query whose rounds end by themselves: while it runs, the session's limit of their rows is lifted."""
+    limit = "spark.sql.cteRecursionRowLimit"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = spark.conf.get(limit, None)
+        spark.conf.set(limit, "-1")
+        try:
+            return checkpointed(_sql(text)(spark, sf_dir))
+        finally:
+            if before is None:
+                spark.conf.unset(limit)
+            else:
+                spark.conf.set(limit, before)
+
+    return run
+
+
 def pivot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders")
     return o.groupBy("o_custkey").pivot("o_orderstatus", ["F", "O"]).agg(F.count(F.lit(1))).select("o_custkey", F.coalesce("F", F.lit(0)).alias("done"), F.coalesce("O", F.lit(0)).alias("open"))
@@ -548,7 +567,7 @@ QUERIES: dict[str, Query] = {
     "exec_ctas": ctas_then_select,
     "exec_pivot": pivot_orders,
     "exec_unpivot": unpivot_parts,
-} | {name: _sql(text) for name, text in SQL.items()}
+} | {name: (_recursive if "RECURSIVE" in text else _sql)(text) for name, text in SQL.items()}
 
 ORACLES: dict[str, str] = {
     "chain_created_tables": f"WITH {_NAMED} SELECT 'nation' AS table_name WHERE EXISTS (SELECT 1 FROM nation) UNION ALL SELECT 'customer' WHERE EXISTS (SELECT 1 FROM customer) UNION ALL SELECT 'orders' WHERE EXISTS (SELECT 1 FROM orders) UNION ALL SELECT tt FROM made",
