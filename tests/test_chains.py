@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tracewell.operators import chains
+from tracewell.operators.cut import checkpointed
 
 RECORD = "source_table string, source_column string, target_table string, target_column string"
 GRAPHS = {
@@ -181,3 +182,30 @@ def test_csv_round_trip(spark, tmp_path):
     written = sinks.write_csv(chains.chain_steps(records), str(tmp_path / "steps"), chains.STEP)
     assert written == 1
     assert spark.read.csv(str(tmp_path / "steps"), header=True).first()["ultimate_source_table"] == "a"
+
+
+def test_paths_write_no_more_than_their_edges_a_few_times(spark):
+    """One root, ten middles, 2000 leaves, five outputs: rows that are cut, the records and edges among them; and 36 hops in segments."""
+    text = " ".join([f"r.0>m.{k} " + " ".join(f"m.{k}>l.{j}" for j in range(k, 2000, 10)) for k in range(10)] + [f"l.{j}>.{j % 5}" for j in range(2000)])
+    rows = parse(text)
+    written = []
+
+    def cut(df):
+        df = checkpointed(df)
+        written.append(df.count())
+        return df
+
+    found = {tuple((n["table"], n["column"]) for n in r["path"]) for r in chains.chain_paths(spark.createDataFrame(rows, RECORD), cut).collect()}
+    assert found == {(("r", "0"), ("m", str(j % 10)), ("l", str(j)), ("", str(j % 5))) for j in range(2000)}
+    assert sum(written) < 4 * len(rows)
+    line = " ".join(f"{k}.c>{k + 1}.c" for k in range(36)) + " 20.c>.x 36.c>.y 36.c>.z"
+    found = sorted([n["table"] + n["column"] for n in r["path"]] for r in chains.chain_paths(spark.createDataFrame(parse(line), RECORD)).collect())
+    assert found == sorted([[f"{k}c" for k in range(21)] + ["x"], [f"{k}c" for k in range(37)] + ["y"], [f"{k}c" for k in range(37)] + ["z"]])
+
+
+def test_paths_in_short_segments_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(chains, "SEGMENT", 2)
+    monkeypatch.setattr(chains, "FEW", 0)
+    for name in ("deep", "cycle", "self", "tree"):
+        rows = parse(GRAPHS[name][0])
+        assert {tuple(r) for r in chains.explode_steps(chains.chain_paths(spark.createDataFrame(rows, RECORD))).collect()} == brute(rows)

@@ -6,7 +6,7 @@ never a target) and follows edges to a final output. Of what is asked, as little
 - steps: an edge stands in a chain for every source above it and every output below it, at every distance; both
   sides are carried along the edges once, and a step is an edge with one of each (``chain_steps``);
 - counts: which outputs a column reaches is carried in bitmaps (``fanout``), the numbers of steps come from the two sides (``summary``);
-- paths: rows of a forest, each with its parent, that become arrays at the end by doubling (``chain_paths``, ``trace``).
+- paths: grown from the heads as arrays; long ones are cut into segments, each with its parent, that are put together at the end by doubling (``chain_paths``, ``trace``).
 
 Only where edges form cycles do simple paths have to remember where they have been, and only those nodes.
 """
@@ -19,12 +19,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cut import checkpointed
+from .cut import checkpointed, written
 from .graph import components, reach
 
 STEP = ["source_table", "source_column", "target_table", "target_column", "ultimate_source_table", "ultimate_source_column", "ultimate_target_table", "ultimate_target_column", "level_top_to_bottom", "level_bottom_to_top"]
 #: So many hops are followed before the graph is asked for cycles; chains are rarely longer.
 UNCHECKED = 12
+#: A path's nodes are kept in segments of so many; up to this many rows are broadcast.
+SEGMENT, FEW = 16, 50_000
 Cut = Callable[[DataFrame], DataFrame]
 
 
@@ -51,7 +53,12 @@ def base_tables(records: DataFrame) -> DataFrame:
 
 def edges(records: DataFrame) -> DataFrame:
     """source, target, from_base: each different pair of columns once; pairs with an empty source are none."""
-    rows = cleaned(records).filter("target_column <> '' and (source_table <> '' or source_column <> '')").distinct()
+    return _edges(cleaned(records).distinct())
+
+
+def _edges(records: DataFrame) -> DataFrame:
+    """The edges of records that are cleaned and different."""
+    rows = records.filter("target_column <> '' and (source_table <> '' or source_column <> '')")
     base = base_tables(records).select(F.col("table_name").alias("source_table"), F.lit(True).alias("from_base"))
     rows = rows.join(base, "source_table", "left")
     return rows.select(node("source_table", "source_column").alias("source"), node("target_table", "target_column").alias("target"), F.coalesce("from_base", F.lit(False)).alias("from_base"))
@@ -77,7 +84,7 @@ class Graph:
     def __init__(self, records: DataFrame, cut: Cut | None = None, within: tuple[DataFrame, DataFrame] | None = None):
         self.cut, self.within = cut or checkpointed, within
         self.rows = self.cut(cleaned(records).filter("target_column <> '' or target_table <> ''").distinct())
-        self.all = self.cut(edges(self.rows))
+        self.all = self.cut(_edges(self.rows))
         self.links = self.all.filter("source <> target")
 
     @property
@@ -87,10 +94,13 @@ class Graph:
         found = self.all.filter("from_base").select(F.col("source").alias("node")).union(lonely).distinct()
         return found.join(self.within[0], "node", "left_semi") if self.within else found
 
+    @property
+    def outputs(self) -> DataFrame:
+        return final_outputs(self.rows).select(node("target_table", "target_column").alias("node"))
+
     @property
     def finals(self) -> DataFrame:
-        ends = final_outputs(self.rows).select(node("target_table", "target_column").alias("node"))
-        ends = ends.join(self.links.select(F.col("target").alias("node")), "node", "left_semi")
+        ends = self.outputs.join(self.links.select(F.col("target").alias("node")), "node", "left_semi")
         return ends.join(self.within[1], "node", "left_semi") if self.within else ends
 
     def cyclic(self) -> DataFrame:
@@ -170,25 +180,31 @@ def closed(links: DataFrame, ends: DataFrame, cut: Cut) -> DataFrame:
         known = reduce(DataFrame.unionByName, parts)
 
 
+def _lean(df: DataFrame) -> DataFrame:
+    """A cut table with a hint for joins: broadcast if it has few rows, else merged."""
+    return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
+
+
 def _paths(graph: Graph, ends: DataFrame, cycles: DataFrame | None = None, through: bool = False, most: int | None = None, prune: bool = False) -> DataFrame:
     """path: arrays of nodes from a head to an end, each simple path once; only those by way of a cycle's node with ``through``.
 
-    Paths grow upstream as rows (level, id, parent, node) that share what they have in common; ``seen`` holds the nodes
+    Paths grow downstream as arrays of up to ``SEGMENT`` nodes. A full one is kept with its parent, and what grows on from it
+    begins anew at its last node, so long paths share what they have in common; ``seen`` holds the nodes
     of cycles that a path has been to, all that it must not come to again. Where ``cycles`` is not given, it is found out when
     paths do not end, and growth starts again if there are any. ``prune`` first drops what leads from no head or to no end.
     """
     cut, links = graph.cut, _alive(graph, ends, cycles, through) if prune else graph.links
-    on = links.select("source", "target", "from_base")
+    on = links.select("source", F.col("target").alias("to"))
     none = F.array().cast("array<struct<table:string,column:string>>")
-    marked = (lambda df: df.join(cycles.select("node", F.lit(True).alias("cyclic")), "node", "left")) if cycles is not None else (lambda df: df.withColumn("cyclic", F.lit(None).cast("boolean")))
-    sourced = graph.all.select(F.col("target").alias("node")).distinct()
-    first = marked(ends.select("node").distinct()).select(F.lit(0).alias("level"), F.monotonically_increasing_id().alias("id"), F.lit(None).cast("long").alias("parent"), "node", F.lit(False).alias("from_base"), F.when(F.col("cyclic"), F.array("node")).otherwise(none).alias("seen"))
-    front, forest, ended, level = cut(first), [], [], 0
-    while True:
-        forest.append(front.select("level", "id", "parent", "node"))
-        if level:
-            over = front.filter("from_base").unionByName(front.filter("not from_base and node.table = ''").join(sourced, "node", "left_anti").select(*front.columns))
-            ended.append((over.filter(F.size("seen") > 0) if through else over).select("level", "id"))
+    last = F.element_at("path", -1)
+    on_cycle = None if cycles is None else _lean(cut(cycles.select(F.col("node").alias("to"), F.lit(True).alias("cyclic"))))
+    marked = lambda df: df.withColumn("cyclic", F.lit(None).cast("boolean")) if on_cycle is None else df.join(on_cycle, "to", "left")
+    ends = _lean(cut(ends.select("node").distinct()))
+    leading = cut(on.select(F.col("source.table").alias("table")).distinct())
+    few = leading.count() <= FEW  # else tables are no help to tell what goes on
+    front = cut(graph.heads.select(F.lit(None).cast("long").alias("parent"), F.array("node").alias("path"), none.alias("seen")))
+    segments, ended, level = [], [], 0
+    while not front.isEmpty():
         level += 1
         if most is not None and level > most:
             break
@@ -196,23 +212,34 @@ def _paths(graph: Graph, ends: DataFrame, cycles: DataFrame | None = None, throu
             found = graph.cyclic()
             if not found.isEmpty():
                 return _paths(graph, ends, found, through, most, True)
-        grown = front.filter("not from_base").select(F.col("id").alias("parent"), F.col("node").alias("target"), "seen").join(on, "target").select("parent", F.col("source").alias("node"), "from_base", "seen")
-        grown = marked(grown).filter(F.col("cyclic").isNull() | ~F.array_contains("seen", F.col("node")))
-        front = cut(grown.select(F.lit(level).alias("level"), F.monotonically_increasing_id().alias("id"), "parent", "node", "from_base", F.when(F.col("cyclic"), F.concat(F.array("node"), "seen")).otherwise(F.col("seen")).alias("seen")))
-        if front.isEmpty():
-            break
+        if level % SEGMENT == 0:
+            full = cut(front.withColumn("id", F.monotonically_increasing_id()))
+            segments.append(full.select("id", "parent", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")))
+            front = full.select(F.col("id").alias("parent"), F.array(last).alias("path"), "seen")
+        near = on
+        if few:  # the edges of the tables that paths have come to
+            at = front.select(last["table"].alias("at")).distinct()
+            near = on.join(F.broadcast(at), F.col("source.table") == F.col("at"), "left_semi")
+        grown = _lean(front).join(near, last == F.col("source")).select("parent", "path", "seen", "to")
+        grown = marked(grown).filter(F.col("cyclic").isNull() | ~F.array_contains("seen", F.col("to")))
+        grown = cut(grown.select("parent", F.concat("path", F.array("to")).alias("path"), F.when(F.col("cyclic"), F.concat("seen", F.array("to"))).otherwise(F.col("seen")).alias("seen")))
+        over = grown.join(ends, last == F.col("node"), "left_semi")
+        ended.append((over.filter(F.size("seen") > 0) if through else over).select(F.lit(len(segments)).alias("n"), "parent", "path"))
+        front = grown.join(F.broadcast(leading), last["table"] == F.col("table"), "left_semi") if few else grown
     if not ended:
-        return ends.select(F.array("node").alias("path")).limit(0)
-    rows = reduce(DataFrame.unionByName, forest).select(F.struct("level", "id").alias("row"), F.when(F.col("level") > 0, F.struct((F.col("level") - 1).alias("level"), F.col("parent").alias("id"))).alias("up"), F.array("node").alias("path"))
-    leaves = reduce(DataFrame.unionByName, ended).select(F.struct("level", "id").alias("row"))
+        return graph.links.select(F.array("source").alias("path")).limit(0)
+    leaves = reduce(DataFrame.unionByName, ended)
+    if not segments:
+        return leaves.select("path")
+    place = lambda n, id_: F.struct(F.col(n).alias("n") if isinstance(n, str) else n.alias("n"), F.col(id_).alias("id"))
+    rows = reduce(DataFrame.unionByName, [df.select(place(F.lit(n), "id").alias("row"), F.when(F.col("parent").isNotNull(), place(F.lit(n - 1), "parent")).alias("up"), "path") for n, df in enumerate(segments, 1)])
     span = 1
-    while span < len(forest):  # each round doubles the nodes that a row holds
+    while span < len(segments):  # each round doubles the segments that a row holds
         next_ = rows.select(F.col("row").alias("up"), F.col("path").alias("rest"), F.col("up").alias("further"))
-        rows = rows.join(next_, "up", "left").select("row", F.col("further").alias("up"), F.when(F.col("rest").isNotNull(), F.concat("path", "rest")).otherwise(F.col("path")).alias("path"))
+        rows = cut(rows.join(next_, "up", "left").select("row", F.col("further").alias("up"), F.when(F.col("rest").isNotNull(), F.concat("rest", "path")).otherwise(F.col("path")).alias("path")))
         span *= 2
-        if span < len(forest):
-            rows = cut(rows)
-    return rows.join(leaves, "row", "left_semi").select("path")
+    first = rows.select("row", F.col("path").alias("rest"))
+    return leaves.withColumn("row", F.when(F.col("parent").isNotNull(), place("n", "parent"))).join(first, "row", "left").select(F.when(F.col("rest").isNotNull(), F.concat("rest", "path")).otherwise(F.col("path")).alias("path"))
 
 
 def chain_paths(records: DataFrame, cut: Cut | None = None, most: int | None = None) -> DataFrame:
@@ -220,8 +247,8 @@ def chain_paths(records: DataFrame, cut: Cut | None = None, most: int | None = N
 
     Chains start and end as those of ``chain_steps``; ``most`` stops after so many hops (default: no limit).
     """
-    graph = Graph(records, cut)
-    return _paths(graph, graph.finals, None if most is None or most >= UNCHECKED else graph.cyclic(), most=most)
+    graph = Graph(records, cut or written)
+    return _paths(graph, graph.outputs, None if most is None or most >= UNCHECKED else graph.cyclic(), most=most)
 
 
 def trace(records: DataFrame, targets: DataFrame, cut: Cut | None = None) -> DataFrame:
